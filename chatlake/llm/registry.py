@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chatlake.llm import url_filter
+from chatlake.llm import mixing, url_filter
 
 
 def queries() -> dict:
-    return {"op10_url_filter": url_filter.op10}
+    return {"op9_mixing": mixing.op9, "op10_url_filter": url_filter.op10}
 
 
 def oracle_sql() -> dict[str, str]:
