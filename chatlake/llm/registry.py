@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chatlake.llm import mixing, url_filter
+from chatlake.llm import mixing, substring_dedup, url_filter
 
 
 def queries() -> dict:
-    return {"op9_mixing": mixing.op9, "op10_url_filter": url_filter.op10}
+    return {"op1_substring_dedup": substring_dedup.op1, "op9_mixing": mixing.op9, "op10_url_filter": url_filter.op10}
 
 
 def oracle_sql() -> dict[str, str]:
