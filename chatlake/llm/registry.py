@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chatlake.llm import mixing, ngram_join, substring_dedup, suffix_dedup, url_filter
+from chatlake.llm import embedding_dedup, mixing, ngram_join, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
-    return {"op1_substring_dedup": substring_dedup.op1, "op7_ngram_join": ngram_join.op7, "op8_suffix_array_dedup": suffix_dedup.op8, "op9_mixing": mixing.op9, "op10_url_filter": url_filter.op10}
+    return {"op1_substring_dedup": substring_dedup.op1, "op3_embedding_dedup": embedding_dedup.op3, "op7_ngram_join": ngram_join.op7, "op8_suffix_array_dedup": suffix_dedup.op8, "op9_mixing": mixing.op9, "op10_url_filter": url_filter.op10}
 
 
 def oracle_sql() -> dict[str, str]:
