@@ -181,7 +181,7 @@ def repeated_spans(docs: DataFrame, engine: Engine, window: int = WINDOW, gram:
 
     def cut_from(some: DataFrame, whole: bool, schema: str) -> DataFrame:
         wants = some.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "content", "start", "windows")).alias("wants"))
-        rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").dropDuplicates(["doc_id", "text_key"])
+        rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
         return rows.join(wants, ["doc_id", "text_key"]).mapInArrow(_cut(window, whole), schema)
 
     spark = docs.sparkSession
