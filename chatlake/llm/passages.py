@@ -98,37 +98,41 @@ def candidate_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return stored(every.join(stored(shared, "keys"), "key"), "candidates")
 
 
-def _cut(window: int, whole: bool):
-    """Cut the wanted pieces out of the texts: their words, or the hash of each of their windows."""
+CUT = "key long, content long, owner long, words binary, start int, hash long"
+
+
+def _cut(window: int, max_texts: int):
+    """Cut the wanted pieces out of the texts: a piece's words, or, where its key has over ``max_texts`` texts, the hash of each window."""
+    names = [c.split()[0] for c in CUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wants, ids, tks = b.column("wants"), b.column("doc_id"), b.column("text_key")
+            wants, ids = b.column("wants"), b.column("doc_id")
             for w in T.words(b.column("text")):
                 own = wants.slice(w.row0, w.rows)
-                counts = np.diff(np.asarray(own.offsets))
                 flat = own.flatten()
-                row = np.repeat(np.arange(w.rows), counts)
-                if not len(row):
-                    continue
+                row = np.repeat(np.arange(w.rows), np.asarray(own.value_lengths()))
                 at = w.first[row] + np.asarray(flat.field("start"))
                 windows = np.asarray(flat.field("windows")).astype(np.int64)
-                if whole:
-                    off = np.zeros(len(at) + 1, np.int64)
-                    np.cumsum(8 * (windows + window - 1), out=off[1:])
-                    idx = np.repeat(at - off[:-1] // 8, off[1:] // 8 - off[:-1] // 8) + np.arange(off[-1] // 8)
-                    body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(w.hashes[idx].tobytes())])
-                    yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("content"), ids.take(pa.array(row + w.row0)), body.cast(pa.binary())], ["key", "content", "owner", "words"])
-                else:
-                    n = windows.sum()
-                    first = np.repeat(at, windows)
-                    rel = np.arange(n) - np.repeat(np.cumsum(windows) - windows, windows)
-                    pick = pa.array(np.repeat(np.arange(len(at)), windows))
-                    which = T.span_hash(w.hashes, first + rel, first + rel + window)
-                    yield pa.RecordBatch.from_arrays(
-                        [flat.field("key").take(pick), flat.field("content").take(pick), ids.take(pa.array(np.repeat(row + w.row0, windows))), pa.array(rel.astype(np.int32)), _signed(which)],
-                        ["key", "content", "owner", "start", "hash"],
-                    )
+                hot = np.asarray(flat.field("n_texts")) > max_texts
+                for some in (np.flatnonzero(~hot), np.flatnonzero(hot)):
+                    if not len(some):
+                        continue
+                    first, n = at[some], windows[some]
+                    if hot[some[0]]:
+                        rel = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        begin = np.repeat(first, n) + rel
+                        some = np.repeat(some, n)
+                        cells = [pa.nulls(len(some), pa.binary()), pa.array(rel.astype(np.int32)), _signed(T.span_hash(w.hashes, begin, begin + window))]
+                    else:
+                        size = n + window - 1
+                        off = np.zeros(len(size) + 1, np.int64)
+                        np.cumsum(size, out=off[1:])
+                        idx = np.repeat(first - off[:-1], size) + np.arange(off[-1])
+                        body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer((8 * off).tobytes()), pa.py_buffer(w.hashes[idx].tobytes())])
+                        cells = [body.cast(pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.int64())]
+                    pick = pa.array(some)
+                    yield pa.RecordBatch.from_arrays([flat.field("key").take(pick), flat.field("content").take(pick), ids.take(pa.array(row[some] + w.row0)), *cells], names)
 
     return run
 
@@ -179,22 +183,16 @@ def repeated_spans(docs: DataFrame, engine: Engine, window: int = WINDOW, gram:
     kinds = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1"), "kinds")
     differ = stored(texts.join(kinds, "key"), "differ")
 
-    def cut_from(some: DataFrame, whole: bool, schema: str) -> DataFrame:
-        wants = some.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "content", "start", "windows")).alias("wants"))
-        rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-        return rows.join(wants, ["doc_id", "text_key"]).mapInArrow(_cut(window, whole), schema)
-
-    spark = docs.sparkSession
-    words = cut_from(differ.filter(F.col("n_texts") <= max_texts), True, "key long, content long, owner long, words binary")
-    dealt = words.repartition(partitions(spark), "key").sortWithinPartitions("key", "owner", "content")
+    wants = differ.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "content", "start", "windows", "n_texts")).alias("wants"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    cut = stored(rows.join(wants, ["doc_id", "text_key"]).mapInArrow(_cut(window, max_texts), CUT), "cut")
+    words = cut.filter("words is not null").select("key", "content", "owner", "words")
+    dealt = words.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "owner", "content")
     compared = dealt.mapInArrow(_compare(engine, chunk_words), "key long, content long, start int, windows int, other long")
-    found = compared
-    hot = differ.filter(F.col("n_texts") > max_texts)
-    if not hot.isEmpty():
-        hashes = stored(cut_from(hot, False, "key long, content long, owner long, start int, hash long"), "windows")
-        least = stored(hashes.groupBy("hash").agg(F.min("owner").alias("other"), F.max("owner").alias("last")).filter("other < last").drop("last"), "owners")
-        met = hashes.join(least, "hash").filter("other < owner")
-        found = found.unionByName(met.select("key", "content", "start", F.lit(1).alias("windows"), "other"))
+    hashes = cut.filter("words is null").select("key", "content", "owner", "start", "hash")
+    least = stored(hashes.groupBy("hash").agg(F.min("owner").alias("other"), F.max("owner").alias("last")).filter("other < last").drop("last"), "owners")
+    met = hashes.join(least, "hash").filter("other < owner")
+    found = compared.unionByName(met.select("key", "content", "start", F.lit(1).alias("windows"), "other"))
     found = stored(found, "found").withColumnsRenamed({"start": "at", "windows": "n"})
     held = cand.join(texts.select("key", "content", F.col("doc_id").alias("owner")), ["key", "content"])
     copies = held.filter("doc_id > owner").select("doc_id", "text_key", "start", "windows", F.col("owner").alias("other"))
