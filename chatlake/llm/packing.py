@@ -18,6 +18,7 @@ empty result; other columns are not carried.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,8 @@ from chatlake.llm.scratch import stored
 
 SEQUENCE = 1024
 END_ID = 2
-BLOCK_ITEMS, ISLANDS, EPOCHS = 1024, 2, 2
-POPULATION, BIRTHS, ELITES = 4, 8, 2
+BLOCK_ITEMS, ISLANDS, EPOCHS = 8192, 2, 2
+POPULATION, BIRTHS, ELITES = 4, 6, 2
 WELL_FILLED = 0.995
 LEVELS = 4
 #: Token strings that the tokenizer reads as one id.
@@ -130,6 +131,53 @@ class Packing:
         return [list(b) for b in self.bins.values()]
 
 
+def brim_fill(sizes: list[int], capacity: int, order: list[int]) -> Packing:
+    """A founder of a population: each bin takes the next item and then, if any do, one or two that fill it to the brim.
+
+    Which sizes are left is one bit mask, and its mirror image tells which sizes have a partner of a wanted sum.
+    """
+    left: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in reversed(order):
+        left[sizes[i]].append(i)
+    there = sum(1 << s for s in range(1, capacity + 1) if left[s])
+    mirror = sum(1 << (capacity - s) for s in range(1, capacity + 1) if left[s])
+    out, used = Packing(sizes, capacity), [False] * len(sizes)
+
+    def take(size: int) -> int:
+        nonlocal there, mirror
+        i = left[size].pop()
+        used[i] = True
+        if not left[size]:
+            there &= ~(1 << size)
+            mirror &= ~(1 << (capacity - size))
+        return i
+
+    for first in order:
+        if used[first]:
+            continue
+        left[sizes[first]].remove(first) if left[sizes[first]][-1] != first else left[sizes[first]].pop()
+        left[sizes[first]].append(first)
+        bin_, room = [take(sizes[first])], capacity - sizes[first]
+        while room:
+            if left[room]:
+                bin_.append(take(room))
+                break
+            pairs = there & (mirror >> (capacity - room)) & ((1 << room) - 1)
+            if room % 2 == 0 and len(left[room // 2]) < 2:
+                pairs &= ~(1 << (room // 2))
+            if pairs:
+                one = pairs.bit_length() - 1
+                bin_ += [take(one), take(room - one)]
+                break
+            smaller = (there & ((1 << room) - 1)).bit_length() - 1
+            if smaller < 1:
+                break
+            bin_.append(take(smaller))
+            room -= smaller
+        out.add_bin(bin_)
+    return out
+
+
 def packing_of(genome: list[list[int]], sizes: list[int], capacity: int) -> Packing:
     p = Packing(sizes, capacity)
     for b in genome:
@@ -162,39 +210,42 @@ def crossover(mother: list[list[int]], father: list[list[int]], sizes: list[int]
 
 
 def swap_in(p: Packing, displaced: list[int]) -> None:
-    """Let a displaced item take the place of a smaller one where it fills a bin to the brim."""
+    """Let each bin with room trade one of its items for a displaced one that fills it better, the larger gain first."""
     sizes = p.sizes
-    by_size: dict[int, list[int]] = {}
-    for i in displaced:
-        by_size.setdefault(sizes[i], []).append(i)
+    waiting = sorted((sizes[i], i) for i in displaced)
     for b in [b for b, f in p.fill.items() if f < p.capacity]:
-        room = p.capacity - p.fill[b]
+        room, gain, trade = p.capacity - p.fill[b], 0, None
         for at, old in enumerate(p.bins[b]):
-            fits = by_size.get(sizes[old] + room)
-            if fits:
-                new = fits.pop()
-                if not fits:
-                    del by_size[sizes[new]]
-                p._lift(b)
-                p.bins[b][at] = new
-                p.fill[b] += room
-                p._put(b)
-                by_size.setdefault(sizes[old], []).append(old)
-                break
-    displaced[:] = [i for items in by_size.values() for i in items]
+            k = bisect.bisect_right(waiting, (sizes[old] + room, len(sizes))) - 1
+            if k >= 0 and waiting[k][0] - sizes[old] > gain:
+                gain, trade = waiting[k][0] - sizes[old], (at, k)
+                if gain == room:
+                    break
+        if trade:
+            at, k = trade
+            old, new = p.bins[b][at], waiting.pop(k)[1]
+            p._lift(b)
+            p.bins[b][at] = new
+            p.fill[b] += gain
+            p._put(b)
+            bisect.insort(waiting, (sizes[old], old))
+    displaced[:] = [i for _, i in waiting]
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[list[list[int]]], seed: list[int]) -> list[list[list[int]]]:
     """One island's epoch: its elites after BIRTHS crossovers, the best first."""
     rng = np.random.default_rng(seed)
     people = [packing_of(g, sizes, capacity) for g in elites]
-    noise = 0.0 if seed[-1] == 0 and not elites else 0.05
     while len(people) < POPULATION:
-        weight = np.array(sizes) * (1.0 + noise * rng.standard_normal(len(sizes)))
+        nth = len(people) + seed[-1]
+        weight = np.array(sizes) * (1.0 + (0.03 * rng.standard_normal(len(sizes)) if nth else 0.0))
+        order = np.argsort(-weight, kind="stable").tolist()
+        if nth % 2 == 0:
+            people.append(brim_fill(sizes, capacity, order))
+            continue
         p = Packing(sizes, capacity)
-        p.place(np.argsort(-weight, kind="stable").tolist())
+        p.place(order)
         people.append(p)
-        noise = 0.05
     bound = -(-sum(sizes) // capacity)
     people.sort(key=Packing.fitness, reverse=True)
     for _ in range(BIRTHS):
