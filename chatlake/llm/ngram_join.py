@@ -2,10 +2,12 @@
 
 Documents with one shingle set are one class. Sets that can be linked share a
 token among the first few of each in one global order (prefix filter), so classes meet
-by such tokens; all that share a token with the same first document are one group, and
-a signature tree over each group finds the links (``signature_tree``). Tokens that
-many documents have come last in the order, so they bring documents together only
-where nothing rarer can. A group too large for a task is cut into blocks, and pairs of
+by such tokens, in groups of those that share a token with the same first document.
+Tokens that many documents have come last in the order, so they bring documents
+together only where nothing rarer can. Signature trees are traversed twice
+(``signature_tree``): over each group with sizes and bitmaps alone, which leaves few
+possible links, and over each component of those with whole sets, which settles them;
+so a set travels once. A group too large for a task is cut into blocks, and pairs of
 blocks are compared, each in a task of its own; no pair is left out.
 
 Defined cases: a null or empty text has an empty set and no links; a text of fewer
@@ -26,13 +28,14 @@ from pyspark.sql import functions as F
 from chatlake.llm import text as T
 from chatlake.llm.components import components
 from chatlake.llm.scratch import partitions, stored
-from chatlake.llm.signature_tree import SignatureTree
+from chatlake.llm.signature_tree import SignatureTree, bitmap, chains
 
 SHINGLE = 5
 PERCENT = 80
 #: A token is common if this share of documents has it: at most COMMON times the mean set size are.
 COMMON = 400
-GROUP_SETS, GROUP_TOKENS = 2000, 2_000_000
+#: Of a block: sets that meet by bitmaps, and tokens of sets that meet whole.
+GROUP_SETS, GROUP_TOKENS = 4000, 2_000_000
 
 
 def shingles(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +85,7 @@ def _signatures(k: int):
 
 
 def _prefixes(k: int, percent: int, common: np.ndarray):
-    """The prefix of each row's set: tokens in order of hash, common ones last."""
+    """Size, bitmap and prefix of each row's set; a prefix is in order of hash, common tokens last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,71 +99,84 @@ def _prefixes(k: int, percent: int, common: np.ndarray):
                 keep = place < np.repeat(prefix_length(n, percent), n)
                 out = tokens[order][keep]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=w.rows))])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.row0, w.rows), _lists(ends, out)], ["doc_id", "prefix"])
+                bits = [bitmap(tokens[off[i] : off[i + 1]]) if n[i] else None for i in range(w.rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(w.row0, w.rows), pa.array(n.astype(np.int64)), pa.array(bits, pa.binary()), _lists(ends, out)], ["doc_id", "n", "bits", "prefix"]
+                )
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of (token, doc) to distinct (home, doc): home is the least document that has the token too."""
-    held = [np.stack([np.asarray(b.column("token")), np.asarray(b.column("doc_id"))]) for b in batches if b.num_rows]
-    if not held:
-        return
-    token, doc = np.concatenate(held, axis=1)
-    del held
-    order = np.lexsort((doc, token))
-    token, doc = token[order], doc[order]
-    head = np.append(True, token[1:] != token[:-1])
-    at = np.flatnonzero(head)
-    size = np.diff(np.append(at, len(token)))
-    home = np.repeat(doc[at], size)
-    several = np.repeat(doc[at] != doc[at + size - 1], size)
-    home, doc = home[several], doc[several]
-    order = np.lexsort((doc, home))
-    home, doc = home[order], doc[order]
-    new = np.ones(len(home), bool)
-    new[1:] = (home[1:] != home[:-1]) | (doc[1:] != doc[:-1])
-    for i in range(0, int(new.sum()), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(home[new][i : i + 100_000]), pa.array(doc[new][i : i + 100_000])], ["home", "doc_id"])
-
-
-def _sets(k: int):
-    """Each candidate's whole set, once for every block pair of its groups."""
+def _meet(percent: int):
+    """A partition of (token, doc, n) to distinct (home, doc).
+
+    Documents with one token form chains of sizes that can be linked; home is the least document of such a chain.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([np.asarray(b.column(c)) for c in ("token", "doc_id", "n")]) for b in batches if b.num_rows]
+        if not held:
+            return
+        token, doc, n = np.concatenate(held, axis=1)
+        del held
+        order = np.lexsort((n, token))
+        token, doc, n = token[order], doc[order], n[order]
+        head = np.append(True, (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:]))
+        at = np.flatnonzero(head)
+        size = np.diff(np.append(at, len(token)))
+        least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+        several = np.repeat(least != most, size)
+        home, doc = np.repeat(least, size)[several], doc[several]
+        order = np.lexsort((doc, home))
+        home, doc = home[order], doc[order]
+        new = np.ones(len(home), bool)
+        new[1:] = (home[1:] != home[:-1]) | (doc[1:] != doc[:-1])
+        home, doc = home[new], doc[new]
+        for i in range(0, len(home), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(home[i : i + 100_000]), pa.array(doc[i : i + 100_000])], ["home", "doc_id"])
+
+    return run
+
+
+def _whole(k: int):
+    """The tokens of each row's set, little-endian."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            groups = b.column("groups")
+            rest = [b.column(c) for c in ("doc_id", "home", "blocks")]
             for w in T.words(b.column("text"), lower=True):
                 tokens, off = shingles(w, k)
-                own = groups.slice(w.row0, w.rows).to_pylist()
-                for i, wanted in enumerate(own):
-                    body = tokens[off[i] : off[i + 1]].tobytes()
-                    if not body:
-                        continue
-                    doc = b.column("doc_id")[w.row0 + i].as_py()
-                    rows = []
-                    for g in wanted:
-                        mine = (doc * 0x9E3779B1 >> 8) % g["blocks"]
-                        rows += [(g["home"], min(mine, x), max(mine, x), mine) for x in range(g["blocks"])]
-                    for at in range(0, len(rows), 64):  # a large set many times over must not be one batch
-                        home, one, two, mine = zip(*rows[at : at + 64], strict=True)
-                        columns = [pa.array(x, pa.int64()) for x in (home, one, two, mine, [doc] * len(home))]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array([body] * len(home), pa.binary())], ["home", "block_a", "block_b", "block", "doc_id", "tokens"])
+                sets = pa.array([tokens[off[i] : off[i + 1]].tobytes() for i in range(w.rows)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(w.row0, w.rows) for c in rest), pa.array(np.diff(off).astype(np.int64)), sets], ["doc_id", "home", "blocks", "n", "body"])
 
     return run
 
 
-def _link(percent: int):
-    """A partition sorted by group and block pair to links (a, b) that connect what is connected in each."""
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """(home, block_a, block_b, block, doc_id, n, body): each row once for every pair of blocks that its own is in."""
+    own = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("a"), F.greatest("block", x).alias("b")))
+    dealt = own.withColumn("p", F.explode(pairs)).select("home", F.col("p.a").alias("block_a"), F.col("p.b").alias("block_b"), "block", "doc_id", "n", "body")
+    by = ["home", "block_a", "block_b"]
+    return dealt.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "doc_id")
+
+
+def _link(percent: int, exact: bool):
+    """A partition of ``in_blocks`` to links (a, b) that connect what is connected in each block pair."""
 
-    def settle(pair: tuple[int, int], docs: list[int], blocks: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        if len(sets) < 2:
-            return []
-        roots = SignatureTree(sets, percent).connect(None if pair[0] == pair[1] else blocks)
-        return [(docs[i], docs[r]) for i, r in enumerate(roots) if docs[i] != docs[r]]
+    def settle(crossing: bool, docs: list[int], blocks: list[int], sizes: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+        out = []
+        for chain in chains(sizes, percent):
+            if len(chain) < 2:
+                continue
+            sets = [np.frombuffer(bodies[i], np.uint64) for i in chain] if exact else None
+            bits = [bitmap(s) for s in sets] if exact else [bodies[i] for i in chain]
+            roots = SignatureTree([sizes[i] for i in chain], bits, percent, sets).connect([blocks[i] for i in chain] if crossing else None)
+            out += [(docs[i], docs[chain[r]]) for i, r in zip(chain, roots, strict=True) if docs[i] != docs[chain[r]]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, docs, blocks, sets = None, [], [], []
+        key, held = None, ([], [], [], [])
         links: list[tuple[int, int]] = []
 
         def batch() -> pa.RecordBatch:
@@ -168,20 +184,19 @@ def _link(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for x in batches:
-            c = [x.column(n).to_pylist() for n in ("home", "block_a", "block_b", "block", "doc_id")]
-            for home, one, two, mine, doc, body in zip(*c, x.column("tokens"), strict=True):
+            c = [x.column(n).to_pylist() for n in ("home", "block_a", "block_b", "doc_id", "block", "n", "body")]
+            for home, one, two, *row in zip(*c, strict=True):
                 if (home, one, two) != key:
                     if key:
-                        links += settle(key[1:], docs, blocks, sets)
-                    key, docs, blocks, sets = (home, one, two), [], [], []
-                docs.append(doc)
-                blocks.append(mine)
-                sets.append(np.frombuffer(body.as_buffer(), np.uint64))
+                        links += settle(key[1] != key[2], *held)
+                    key, held = (home, one, two), ([], [], [], [])
+                for cells, value in zip(held, row, strict=True):
+                    cells.append(value)
             if len(links) > 50_000:
                 yield batch()
                 links.clear()
         if key:
-            links += settle(key[1:], docs, blocks, sets)
+            links += settle(key[1] != key[2], *held)
         yield batch()
 
     return run
@@ -201,17 +216,21 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     linkable = sizes.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "classes")
     firsts = stored(classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n_shingles").alias("n")), "firsts")
-    prefixes = texts.filter("doc_id is not null").mapInArrow(_prefixes(shingle, percent, late), "doc_id long, prefix array<long>")
-    tokens = prefixes.join(firsts.select("doc_id"), "doc_id").select("doc_id", F.explode("prefix").alias("token"))
-    met = tokens.repartition(partitions(spark), "token").mapInArrow(_meet, "home long, doc_id long")
-    met = stored(met.distinct(), "met")
-    n = F.col("n")
-    homes = met.join(firsts, "doc_id").groupBy("home").agg(F.greatest(F.ceil(F.count(n) / GROUP_SETS), F.ceil(F.sum(n) / GROUP_TOKENS)).alias("blocks"))
-    groups = met.join(stored(homes, "homes"), "home").groupBy("doc_id").agg(F.collect_list(F.struct("home", "blocks")).alias("groups"))
-    schema = "home long, block_a long, block_b long, block long, doc_id long, tokens binary"
-    sets = texts.join(groups, "doc_id").mapInArrow(_sets(shingle), schema)
-    dealt = sets.repartition(partitions(spark), "home", "block_a", "block_b").sortWithinPartitions("home", "block_a", "block_b", "doc_id")
-    links = stored(dealt.mapInArrow(_link(percent), "a long, b long"), "links")
+    prefixes = stored(texts.filter("doc_id is not null").mapInArrow(_prefixes(shingle, percent, late), "doc_id long, n long, bits binary, prefix array<long>").filter("n > 0"), "prefixes")
+    first = prefixes.join(firsts.select("doc_id"), "doc_id")
+    tokens = first.select("doc_id", "n", F.explode("prefix").alias("token"))
+    met = stored(tokens.repartition(partitions(spark), "token").mapInArrow(_meet(percent), "home long, doc_id long").distinct(), "met")
+    homes = met.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).alias("blocks"))
+    groups = met.join(stored(homes, "homes"), "home")
+    signed = groups.join(prefixes.select("doc_id", "n", F.col("bits").alias("body")), "doc_id")
+    possible = stored(in_blocks(signed).mapInArrow(_link(percent, False), "a long, b long"), "possible")
+
+    group = components(possible).withColumnsRenamed({"node": "doc_id", "component": "home"})
+    of_size = stored(group.join(firsts, "doc_id"), "grouped")
+    loads = of_size.groupBy("home").agg(F.greatest(F.ceil(F.count("n") / GROUP_SETS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("blocks"))
+    wanted = of_size.join(stored(loads, "loads"), "home").select("doc_id", "home", "blocks")
+    sets = texts.join(wanted, "doc_id").mapInArrow(_whole(shingle), "doc_id long, home long, blocks long, n long, body binary").filter("n > 0")
+    links = stored(in_blocks(sets).mapInArrow(_link(percent, True), "a long, b long"), "links")
 
     same = linkable.join(classes.filter("first < last"), ["h1", "h2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     found_in = components(links.unionByName(same)).withColumnRenamed("node", "doc_id")

@@ -40,31 +40,61 @@ class UnionFind:
         self.up[max(i, j)] = min(i, j)
 
 
+def width_for(n: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two, at least twice n, so it can be folded to any smaller width."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The token bitmap of a set, little-endian."""
+    width = width_for(len(tokens))
+    bits = np.zeros(width, bool)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, width: int) -> int:
+    """A bitmap as an integer of ``width`` bits: token t is bit t modulo width."""
+    x, have = int.from_bytes(bits, "little"), 8 * len(bits)
+    while have > width:
+        have //= 2
+        x = (x >> have) | (x & ((1 << have) - 1))
+    return x
+
+
+def chains(sizes: list[int], percent: int) -> list[list[int]]:
+    """Positions in order of size, cut where a set is too small to be linked to the next larger one."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if not out or 100 * sizes[out[-1][-1]] < percent * sizes[i]:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
 class SignatureTree:
-    """Sets of token hashes (sorted, distinct), in order of size and then of their least token."""
+    """Sets by size and bitmap, in order of size; ``sets`` (sorted, distinct tokens) make links exact.
 
-    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+    Without ``sets`` a pair is linked if sizes and bitmaps allow it: no true link is missing then.
+    """
+
+    def __init__(self, sizes: list[int], bitmaps: list[bytes], percent: int, sets: list[np.ndarray] | None = None) -> None:
         self.percent = percent
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        self.order, self.sets = order, [sets[i] for i in order]
-        top = max(len(s) for s in sets)
-        width = min(1 << 14, 1 << (4 * top - 1).bit_length())
-        self.width = max(width, 64)
-        self.bitmaps = [self._bitmap(s) for s in self.sets]
-        self.root = self._build(0, len(sets))
-
-    def _bitmap(self, s: np.ndarray) -> int:
-        bits = np.zeros(self.width, bool)
-        bits[(s & np.uint64(self.width - 1)).astype(np.int64)] = True
-        return int.from_bytes(np.packbits(bits).tobytes(), "big")
+        width = min(8 * len(b) for b in bitmaps)
+        whole = [folded(b, width) for b in bitmaps]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], whole[i]))
+        self.order, self.sizes, self.bitmaps = order, [sizes[i] for i in order], [whole[i] for i in order]
+        self.counts = [b.bit_count() for b in self.bitmaps]
+        self.sets = sets and [sets[i] for i in order]
+        self.root = self._build(0, len(sizes))
 
     def _build(self, lo: int, hi: int) -> Node:
         if hi - lo <= LEAF:
             bits, counts = 0, []
             for i in range(lo, hi):
                 bits |= self.bitmaps[i]
-                counts.append(self.bitmaps[i].bit_count())
-            return Node(range(lo, hi), bits, min(counts), len(self.sets[lo]), len(self.sets[hi - 1]))
+                counts.append(self.counts[i])
+            return Node(range(lo, hi), bits, min(counts), self.sizes[lo], self.sizes[hi - 1])
         a, b = self._build(lo, (lo + hi) // 2), self._build((lo + hi) // 2, hi)
         return Node(range(lo, hi), a.bits | b.bits, min(a.least_bits, b.least_bits), a.smallest, b.largest, (a, b))
 
@@ -77,31 +107,32 @@ class SignatureTree:
         return (100 + self.percent) * most >= self.percent * (a.smallest + b.smallest)
 
     def linked(self, i: int, j: int) -> bool:
-        a, b = self.sets[i], self.sets[j]
-        if 100 * min(len(a), len(b)) < self.percent * max(len(a), len(b)):
+        n, m = self.sizes[i], self.sizes[j]
+        if 100 * min(n, m) < self.percent * max(n, m):
+            return False
+        most = min(n - self.counts[i], m - self.counts[j]) + (self.bitmaps[i] & self.bitmaps[j]).bit_count()
+        if (100 + self.percent) * most < self.percent * (n + m):
             return False
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * shared >= self.percent * (len(a) + len(b) - shared)
+        if self.sets is None:
+            return True
+        shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return 100 * shared >= self.percent * (n + m - shared)
 
     def connect(self, side: list[int] | None = None) -> list[int]:
         """A root for each set, equal for connected ones, in the order given to the tree.
 
         With ``side``, only pairs of sets on different sides are compared.
         """
-        uf = UnionFind(len(self.sets))
-        sides = [0] * len(self.sets) if side is None else [side[i] for i in self.order]
+        uf = UnionFind(len(self.sizes))
+        sides = [0] * len(self.sizes) if side is None else [side[i] for i in self.order]
 
         def whole(n: Node) -> int | None:
             root = uf.find(n.members[0])
             return root if all(uf.find(i) == root for i in n.members) else None
 
         def pair(i: int, j: int) -> None:
-            if (side is None or sides[i] != sides[j]) and uf.find(i) != uf.find(j):
-                shared = (self.bitmaps[i] & self.bitmaps[j]).bit_count()
-                n, m = len(self.sets[i]), len(self.sets[j])
-                most = min(n - self.bitmaps[i].bit_count(), m - self.bitmaps[j].bit_count()) + shared
-                if (100 + self.percent) * most >= self.percent * (n + m) and self.linked(i, j):
-                    uf.union(i, j)
+            if (side is None or sides[i] != sides[j]) and uf.find(i) != uf.find(j) and self.linked(i, j):
+                uf.union(i, j)
 
         todo = [(self.root, self.root)]
         while todo:
@@ -128,8 +159,8 @@ class SignatureTree:
                 for i in a.members:
                     for j in b.members:
                         pair(i, j)
-        roots = [uf.find(i) for i in range(len(self.sets))]
-        out = [0] * len(self.sets)
+        roots = [uf.find(i) for i in range(len(self.sizes))]
+        out = [0] * len(self.sizes)
         for place, i in enumerate(self.order):
             out[i] = self.order[roots[place]]
         return out
