@@ -76,6 +76,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     data: np.ndarray
+    offsets: np.ndarray
     row0: int
 
     @property
@@ -134,7 +135,7 @@ def words(column: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE
     for row0, data, off in chunks(column):
         starts, ends, first = runs(~separators[data], off)
         hashes = span_hash((_LOWER if lower else _BYTE)[data], starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        yield Words(hashes, first, starts, ends, data, row0)
+        yield Words(hashes, first, starts, ends, data, off, row0)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
