@@ -17,9 +17,14 @@ LEAF = 8
 
 @dataclass
 class Node:
+    """``bits`` is the OR at the node's own width, ``half`` the same folded once; with the least counts of a set below."""
+
     members: range
+    width: int
     bits: int
+    half: int
     least_bits: int
+    least_half: int
     smallest: int
     largest: int
     parts: tuple[Node, Node] | None = None
@@ -41,7 +46,7 @@ class UnionFind:
 
 
 def width_for(n: int) -> int:
-    """Bits of the bitmap of a set of n: a power of two, at least twice n, so it can be folded to any smaller width."""
+    """Bits of the bitmap of a set of n: a power of two, at least twice n, so it can be folded to half of it."""
     return max(64, 1 << (2 * n - 1).bit_length())
 
 
@@ -53,15 +58,6 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def folded(bits: bytes, width: int) -> int:
-    """A bitmap as an integer of ``width`` bits: token t is bit t modulo width."""
-    x, have = int.from_bytes(bits, "little"), 8 * len(bits)
-    while have > width:
-        have //= 2
-        x = (x >> have) | (x & ((1 << have) - 1))
-    return x
-
-
 def chains(sizes: list[int], percent: int) -> list[list[int]]:
     """Positions in order of size, cut where a set is too small to be linked to the next larger one."""
     out: list[list[int]] = []
@@ -76,47 +72,64 @@ class SignatureTree:
     """Sets by size and bitmap, in order of size; ``sets`` (sorted, distinct tokens) make links exact.
 
     Without ``sets`` a pair is linked if sizes and bitmaps allow it: no true link is missing then.
+    There is one tree for each width of bitmap. Sets that can be linked have equal widths, or
+    widths a factor of two apart, and then the wider bitmap is folded once.
     """
 
     def __init__(self, sizes: list[int], bitmaps: list[bytes], percent: int, sets: list[np.ndarray] | None = None) -> None:
+        if percent < 50:
+            raise ValueError("bitmaps are compared for similarities of one half and more")
         self.percent = percent
-        width = min(8 * len(b) for b in bitmaps)
-        whole = [folded(b, width) for b in bitmaps]
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], whole[i]))
-        self.order, self.sizes, self.bitmaps = order, [sizes[i] for i in order], [whole[i] for i in order]
-        self.counts = [b.bit_count() for b in self.bitmaps]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], bitmaps[i]))
+        self.order, self.sizes = order, [sizes[i] for i in order]
+        self.widths = [8 * len(bitmaps[i]) for i in order]
+        self.bits = [int.from_bytes(bitmaps[i], "little") for i in order]
+        self.half = [(b >> (w // 2)) | (b & ((1 << (w // 2)) - 1)) for b, w in zip(self.bits, self.widths, strict=True)]
+        self.n_bits, self.n_half = [b.bit_count() for b in self.bits], [b.bit_count() for b in self.half]
         self.sets = sets and [sets[i] for i in order]
-        self.root = self._build(0, len(sizes))
+        cuts = [i for i in range(len(order)) if not i or self.widths[i] != self.widths[i - 1]] + [len(order)]
+        self.roots = [self._build(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _build(self, lo: int, hi: int) -> Node:
         if hi - lo <= LEAF:
-            bits, counts = 0, []
+            bits = half = 0
             for i in range(lo, hi):
-                bits |= self.bitmaps[i]
-                counts.append(self.counts[i])
-            return Node(range(lo, hi), bits, min(counts), self.sizes[lo], self.sizes[hi - 1])
+                bits |= self.bits[i]
+                half |= self.half[i]
+            return Node(range(lo, hi), self.widths[lo], bits, half, min(self.n_bits[lo:hi]), min(self.n_half[lo:hi]), self.sizes[lo], self.sizes[hi - 1])
         a, b = self._build(lo, (lo + hi) // 2), self._build((lo + hi) // 2, hi)
-        return Node(range(lo, hi), a.bits | b.bits, min(a.least_bits, b.least_bits), a.smallest, b.largest, (a, b))
+        least, least_half = min(a.least_bits, b.least_bits), min(a.least_half, b.least_half)
+        return Node(range(lo, hi), a.width, a.bits | b.bits, a.half | b.half, least, least_half, a.smallest, b.largest, (a, b))
 
     def _possible(self, a: Node, b: Node) -> bool:
         """Whether a set below a and one below b can overlap enough: overlap >= percent of the union."""
         if 100 * a.largest < self.percent * b.smallest or 100 * b.largest < self.percent * a.smallest:
             return False
-        shared = (a.bits & b.bits).bit_count()
-        most = min(a.largest - max(0, a.least_bits - shared), b.largest - max(0, b.least_bits - shared))
+        if a.width == b.width:
+            shared, least_a, least_b = (a.bits & b.bits).bit_count(), a.least_bits, b.least_bits
+        elif a.width < b.width:
+            shared, least_a, least_b = (a.bits & b.half).bit_count(), a.least_bits, b.least_half
+        else:
+            shared, least_a, least_b = (a.half & b.bits).bit_count(), a.least_half, b.least_bits
+        most = min(a.largest - max(0, least_a - shared), b.largest - max(0, least_b - shared))
         return (100 + self.percent) * most >= self.percent * (a.smallest + b.smallest)
 
     def linked(self, i: int, j: int) -> bool:
         n, m = self.sizes[i], self.sizes[j]
         if 100 * min(n, m) < self.percent * max(n, m):
             return False
-        most = min(n - self.counts[i], m - self.counts[j]) + (self.bitmaps[i] & self.bitmaps[j]).bit_count()
-        if (100 + self.percent) * most < self.percent * (n + m):
+        if self.widths[i] == self.widths[j]:
+            shared, own_i, own_j = (self.bits[i] & self.bits[j]).bit_count(), self.n_bits[i], self.n_bits[j]
+        elif self.widths[i] < self.widths[j]:
+            shared, own_i, own_j = (self.bits[i] & self.half[j]).bit_count(), self.n_bits[i], self.n_half[j]
+        else:
+            shared, own_i, own_j = (self.half[i] & self.bits[j]).bit_count(), self.n_half[i], self.n_bits[j]
+        if (100 + self.percent) * (min(n - own_i, m - own_j) + shared) < self.percent * (n + m):
             return False
         if self.sets is None:
             return True
-        shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-        return 100 * shared >= self.percent * (n + m - shared)
+        common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return 100 * common >= self.percent * (n + m - common)
 
     def connect(self, side: list[int] | None = None) -> list[int]:
         """A root for each set, equal for connected ones, in the order given to the tree.
@@ -134,7 +147,8 @@ class SignatureTree:
             if (side is None or sides[i] != sides[j]) and uf.find(i) != uf.find(j) and self.linked(i, j):
                 uf.union(i, j)
 
-        todo = [(self.root, self.root)]
+        todo = [(a, b) for a, b in zip(self.roots[:-1], self.roots[1:], strict=True) if b.width == 2 * a.width]
+        todo += [(r, r) for r in self.roots]
         while todo:
             a, b = todo.pop()
             if a is b:
