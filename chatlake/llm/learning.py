@@ -18,7 +18,7 @@ def sampled_labels(labels: DataFrame, label: str, held_out: Column, rows: int) -
     Only 0 and 1 are labels; an id that has both is left out.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out)
-    one = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).filter("label = other")
+    one = known.groupBy("doc_id").agg(F.min(F.col(label).cast("long")).alias("label"), F.max(F.col(label).cast("long")).alias("other")).filter("label = other")
     return one.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 

