@@ -1,3 +1,5 @@
 """Registered query plans: each module has QUERIES and ORACLES."""
 
-MODULES: list = []
+from chatlake.plans import chat_queries, message_queries
+
+MODULES = [chat_queries, message_queries]
