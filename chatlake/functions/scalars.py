@@ -53,7 +53,7 @@ def to_double(c: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB, with one decimal above bytes."""
-    step = lambda k, unit: F.format_string(f"%.1f {unit}", n / F.lit(float(1024**k)))
+    step = lambda k, unit: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**k)), 1))
     return (
         F.when(n.isNull() | (n < 0), "")
         .when(n < 1024, F.format_string("%d B", n))

@@ -43,7 +43,7 @@ def parse_bookmarks(raw: DataFrame) -> DataFrame:
         F.coalesce(first_filled(r["desc"], r["weburlitem"]["pagedesc"], F.when(F.size("items") == 1, first["desc"])), F.lit("")).alias("desc"),
         F.coalesce(first_filled(r["weburlitem"]["clean_url"], r["source"]["link"], first["url"]), F.lit("")).alias("url"),
         r["source"]["fromusr"].alias("from"), r["source"]["realchatname"].alias("sender"),
-        F.filter(F.transform(F.coalesce(r["taglist"]["tag"], F.array().cast("array<string>")), F.trim), lambda t: F.coalesce(t, F.lit("")) != "").alias("tags"),
+        F.filter(F.transform(F.coalesce(r["taglist"]["tag"], F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: F.coalesce(t, F.lit("")) != "").alias("tags"),
         F.when(first_filled(place["poiname"], place["label"]).isNotNull() | to_double(place["lat"]).isNotNull(), first_filled(place["poiname"], place["label"])).alias("location"), "items",
     )
 
