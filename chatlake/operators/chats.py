@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalars import match_rank, pick_name, table_name_for
 
-SYSTEM_USERNAMES = ("filehelper", "fmessage", "medianote", "floatbottle", "newsapp", "notifymessage", "weixin", "qqmail", "tmessage", "helper_entry")
+# Usernames of accounts that are services.
+SYSTEM_USERNAMES = (
+    "appbrand_notify_message", "blogapp", "brandservicesessionholder", "brandsessionholder", "cardpackage", "chatroom_notify", "downloaderapp", "exmail_tool",
+    "facebookapp", "feedsapp", "filehelper", "floatbottle", "fmessage", "gamecenter", "googlecontact", "helper_entry", "lbsapp", "linkedinplugin",
+    "masssendapp", "medianote", "mphelper", "newsapp", "notification_messages", "notifymessage", "officialaccounts", "opencustomerservicemsg", "qmessage",
+    "qqmail", "qqsync", "shakeapp", "tmessage", "userexperience_alarm", "voicevoipapp", "voiceinputapp", "voip", "voipmsg",
+)
 
 
 def list_chats(messages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -25,9 +33,10 @@ def is_group_name(username: Column) -> Column:
     return F.endswith(username, F.lit("@chatroom"))
 
 
-def is_not_a_person(username: Column, verify_flag: Column) -> Column:
-    """Accounts that are services: official ones, the built-in ones, and those with a verify flag."""
-    return F.startswith(username, F.lit("gh_")) | username.isin(*SYSTEM_USERNAMES) | F.startswith(username, F.lit("@")) | (F.coalesce(verify_flag, F.lit(0)) != 0)
+def is_not_a_person(username: Column, verify_flag: Column, more: Sequence[str] = (), person_prefix: str = "wxid_") -> Column:
+    """Accounts that are services: official ones, the built-in ones and ``more``, and verified ones whose name isn't a person's or a room's."""
+    verified = (F.coalesce(verify_flag, F.lit(0)) != 0) & ~F.startswith(username, F.lit(person_prefix)) & ~F.contains(username, F.lit("@"))
+    return F.startswith(username, F.lit("gh_")) | username.isin(*SYSTEM_USERNAMES, *more) | F.startswith(username, F.lit("@")) | verified
 
 
 def with_names(chats: DataFrame, names: Column) -> DataFrame:

@@ -88,6 +88,12 @@ def test_short_terms_fold_ascii_only(spark):
     assert sorted(r.local_id for r in search.trigram_search(df, posted, ["tale"]).collect()) == [1, 3]
 
 
+def test_services_are_no_persons(spark):
+    rows = [("gh_a", 0, True), ("filehelper", 0, True), ("@x", 0, True), ("wxid_v", 8, False), ("shop", 8, True), ("5@chatroom", 8, False), ("bob", None, False), ("own", 0, True)]
+    df = spark.createDataFrame(rows, "u string, v int, want boolean")
+    assert df.filter(chats.is_not_a_person(F.col("u"), F.col("v"), ["own"]) != F.col("want")).count() == 0
+
+
 def test_posts(spark):
     xml = "<p><TimelineObject><id></id><username>u</username><createTime>9</createTime><contentDesc>hi</contentDesc><location poiName='' city='' latitude='0' longitude='0'/><ContentObject><type>1</type><mediaList><media><id>7</id><type>2</type><url>http://x</url><size width='3' height='4'/></media></mediaList></ContentObject></TimelineObject><LocalExtraInfo><nickname>N</nickname><comment_user_list><user_comment><username>b</username><create_time>5</create_time><content>late</content></user_comment><user_comment><username>c</username><create_time>4</create_time><b_deleted>1</b_deleted></user_comment><user_comment><username>d</username><create_time>3</create_time><content></content><imagelist><imageinfo>1</imageinfo></imagelist></user_comment></comment_user_list></LocalExtraInfo></p>"
     raw = spark.createDataFrame([(-3574554073709551615, "x", xml), (2, "y", "<broken"), (3, "z", "<!DOCTYPE a><p/>"), (4, "w", None)], "tid long, user_name string, content string")
