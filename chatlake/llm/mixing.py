@@ -31,6 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_RATIO = 2.0
 BLOCK_ROWS = 512
+TRADES = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,32 +96,51 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     return np.asarray(p)
 
 
-def landing(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The last fractional units: of all ways to settle them, the one nearest to the token total, then to the count."""
-    p = pi.copy()
+def landing(pi: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Settle the last fractional units of ``pi``, which a flight made of ``start``.
+
+    Of all ways to settle them the one nearest to the token total is taken, then to the count; then a
+    unit taken and one left out trade places, TRADES times at most, while that comes nearer to the token total.
+    """
+    p, goal = pi.copy(), float((start * size).sum())
     left = np.flatnonzero((p > 0) & (p < 1))
-    while len(left) > 10:  # equal or hopeless units: settle the smallest by rounding
+    while len(left) > 10:  # units that no step could move: settle the smallest by rounding
         k = left[np.argmin(size[left])]
         p[k] = np.round(p[k])
         left = np.flatnonzero((p > 0) & (p < 1))
-    best, goal, count = None, (p[left] * size[left]).sum(), p[left].sum()
+    best, fixed, count = None, p.copy(), start.sum()
+    fixed[left] = 0
+    have = (fixed * size).sum()
     for bits in range(1 << len(left)):
         x = np.array([bits >> i & 1 for i in range(len(left))], float)
-        cost = (abs((x * size[left]).sum() - goal), abs(x.sum() - count))
+        cost = (abs(have + (x * size[left]).sum() - goal), abs(fixed.sum() + x.sum() - count))
         if best is None or cost < best[0]:
             best = (cost, x)
     if best is not None:
         p[left] = best[1]
+    for _ in range(TRADES):
+        over = (p * size).sum() - goal
+        ones, zeros = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not over or not len(ones) or not len(zeros):
+            break
+        rest = np.abs(over - (size[ones][:, None] - size[zeros][None, :]))
+        i, j = np.unravel_index(int(rest.argmin()), rest.shape)
+        if rest[i, j] >= abs(over):
+            break
+        p[ones[i]], p[zeros[j]] = 0.0, 1.0
     return p
 
 
-def _settle(last: bool, seed: int):
+def _settle(seed: int):
+    """One block's flight, and its landing where the block is all that is open of its source."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_key", "size", "row"], kind="stable")
-        size = pdf["size"].to_numpy(float)
-        start = int(np.bitwise_xor.reduce(pdf["doc_key"].to_numpy().view(np.uint64)))
-        p = flight(pdf["pi"].to_numpy(float), size, np.random.default_rng([seed, start & 0xFFFFFFFF, len(pdf)]))
-        return pdf.drop(columns="block").assign(pi=landing(p, size) if last else p)
+        size, start = pdf["size"].to_numpy(float), pdf["pi"].to_numpy(float)
+        mark = int(np.bitwise_xor.reduce(pdf["doc_key"].to_numpy().view(np.uint64)))
+        p = flight(start, size, np.random.default_rng([seed, mark & 0xFFFFFFFF, len(pdf)]))
+        whole = pdf["n_open"].iloc[0] <= BLOCK_ROWS
+        return pdf.drop(columns="block").assign(pi=landing(p, size, start) if whole else p)
 
     return run
 
@@ -129,32 +149,23 @@ def cube_sample(rows: DataFrame, seed: int = 1) -> DataFrame:
     """``rows`` has row, doc_key, source_key, n_open, size, pi; returns (row, extra 0/1) for all of them.
 
     Every level treats blocks of about BLOCK_ROWS rows of one source and leaves at
-    most two a block; a source's last level is one block, with the landing.
+    most two a block; a source that is one block lands there.
     """
     schema = "row long, doc_key long, source_key long, n_open long, size long, pi double"
-    todo, done, level = rows, [], 0
+    names = [c.split()[0] for c in schema.split(", ")]
+    todo, done, level = rows, None, 0
     while True:
-        counts = todo.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_open"))
-        n_blocks = counts.agg(F.max(F.ceil(F.col("n_open") / BLOCK_ROWS))).first()[0]
-        if n_blocks is None:
-            break
-        last = n_blocks <= 1
         if level:
-            todo = todo.drop("n_open").join(stored(counts, "open"), "source_key")
-        blocks = F.greatest(F.ceil(F.col("n_open") / BLOCK_ROWS), F.lit(1))
-        block = F.pmod(F.xxhash64("doc_key", "size", F.lit(seed + level)), blocks).alias("block")
-        names = [c.split()[0] for c in schema.split(", ")]
-        settled = todo.select(*names, block).groupBy("source_key", "block").applyInPandas(_settle(last, seed + level), schema)
-        out = stored(settled, "cube")
-        done.append(out.filter("pi = 0 or pi = 1") if not last else out)
-        if last:
-            break
+            counts = stored(todo.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_open")), "open")
+            if counts.isEmpty():
+                break
+            todo = todo.drop("n_open").join(counts, "source_key")
+        block = F.pmod(F.xxhash64("doc_key", "size", F.lit(seed + level)), F.ceil(F.col("n_open") / BLOCK_ROWS)).alias("block")
+        out = stored(todo.select(*names, block).groupBy("source_key", "block").applyInPandas(_settle(seed + level), schema), "cube")
+        settled = out.filter("pi = 0 or pi = 1").select("row", F.col("pi").cast("int").alias("extra"))
+        done = settled if done is None else done.unionByName(settled)
         todo, level = out.filter("pi > 0 and pi < 1"), level + 1
-    out = None
-    for d in done:
-        d = d.select("row", F.col("pi").cast("int").alias("extra"))
-        out = d if out is None else out.unionByName(d)
-    return out if out is not None else rows.select("row", F.lit(0).alias("extra"))
+    return done
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -160,6 +160,8 @@ def test_flight_keeps_the_balance():
     p = mixing.flight(pi, size, np.random.default_rng(1))
     assert ((p > 0) & (p < 1)).sum() <= 2
     assert abs(p.sum() - pi.sum()) < 1e-6 and abs((p * size).sum() - (pi * size).sum()) < 1e-3
+    landed = mixing.landing(p, size, pi)
+    assert set(landed.tolist()) <= {0.0, 1.0} and abs((landed * size).sum() - (pi * size).sum()) < 5
 
 
 def test_pack_documents(spark):
