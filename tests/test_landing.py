@@ -2,7 +2,7 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
-from chatlake.operators import bookmarks, feed, render_records
+from chatlake.operators import bookmarks, feed, jobs, render_records
 from chatlake.sources import shards
 
 
@@ -49,3 +49,22 @@ def test_compact_view(spark):
     df = spark.createDataFrame(rows, "chat string, db int, dbr int, local_id long, ts long, sender string, kind string, text string")
     assert render_records.compact(df).first().view == "-- 1970-01-01\n00:01 x: hi\n-- 1970-01-02\n01:00 y: [图片] #0:2"
     assert render_records.compact(df.filter(F.lit(False))).count() == 0
+
+
+def test_jobs(spark, tmp_path):
+    df = spark.createDataFrame([("u1", "Bob"), ("u2", "Bob"), ("u3", "A/b")], "username string, display string")
+    assert dict(map(tuple, jobs.export_names(df, "md").collect())) == {"u1": "Bob_u1_full.md", "u2": "Bob_u2_full.md", "u3": "A_b_full.md"}
+    now, old = (spark.createDataFrame(rows, "chat string, digest string") for rows in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "0")]))
+    assert sorted(r.chat for r in jobs.changed_documents(now, old).collect()) == ["b", "c"]
+    log = f"{tmp_path}/log"
+    for row in (("sync", 1, "ok"), ("sync", 3, "failed"), ("export", 2, "ok")):
+        jobs.append_log(spark.createDataFrame([row], "job string, time long, status string"), log)
+    got = {r.job: (r.last.status, r.runs, r.failures) for r in jobs.last_run(jobs.read_log(spark, log, "job string, time long, status string")).collect()}
+    assert got == {"sync": ("failed", 2, 1), "export": ("ok", 1, 0)}
+    people = spark.createDataFrame([("p", 1, "contact", 1, "x"), ("p", 2, "stranger", 0, "y"), ("q", 3, "stranger", 0, "z"), ("q", 4, "stranger", 0, "w")], "pattern string, key int, source string, local_type int, display string")
+    assert sorted(r.key for r in jobs.prefer_friends(people).collect()) == [1, 3, 4]
+    posts = spark.createDataFrame([("u", "1", "Uma"), ("u", "2", "Uma"), ("v", "3", "umar"), ("me1", "4", None)], "username string, id string, nickname string")
+    assert [tuple(r) for r in jobs.author_of(posts, "Uma", "me1").collect()] == [("u", 2, 0)]
+    assert [tuple(r) for r in jobs.author_of(posts, "我", "me1").collect()] == [("me1", 1, 0)]
+    files = spark.createDataFrame([("_h", b"\xff\xd8\xff"), ("_h", b"zz"), ("_t", b"\x89PNG")], "variant string, content binary")
+    assert sorted(map(tuple, jobs.media_audit(files, 10).collect())) == [("_h", "bin", 1, 0), ("_h", "jpg", 1, 1), ("_t", "png", 1, 1)]
