@@ -25,7 +25,7 @@ BOOKMARK = f"""favitem STRUCT<_type: STRING, title: STRING, desc: STRING, source
 def parse_bookmarks(raw: DataFrame) -> DataFrame:
     """Bookmarks of rows (local_id, type, update_time, content); ``kind`` is null where the XML can't be parsed."""
     x = F.from_xml(F.concat(F.lit("<_r>"), clean_xml(F.col("content")), F.lit("</_r>")), BOOKMARK)["favitem"]
-    rows = raw.withColumn("_x", x)
+    rows = raw.withColumn("_x", F.explode(F.array(x)))  # parsed once, whatever filters follow
     r = F.col("_x")
     item = lambda d: F.struct(
         F.coalesce(lookup(KINDS, to_long(d["_datatype"]).cast("int")), F.lit("other")).alias("kind"), F.coalesce(d["datatitle"], F.lit("")).alias("title"), F.coalesce(d["datadesc"], F.lit("")).alias("desc"),

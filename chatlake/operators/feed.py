@@ -36,7 +36,8 @@ def _people(users: Column) -> Column:
 def parse_posts(raw: DataFrame) -> DataFrame:
     """Posts of rows (tid, user_name, content); what can't be parsed has a null ``kind`` and is counted by ``parse_stats``."""
     x = F.from_xml(F.regexp_replace(clean_xml(F.col("content")), r"(?s)^\s+", ""), POST)
-    rows = raw.withColumn("_x", x).withColumns({"_t": F.col("_x.TimelineObject"), "_e": F.col("_x.LocalExtraInfo")}).withColumn("_c", F.col("_t.ContentObject"))
+    # A generator between the parser and what reads its fields: filters stop there, so that no text is parsed twice.
+    rows = raw.withColumn("_x", F.explode(F.array(x))).withColumns({"_t": F.col("_x.TimelineObject"), "_e": F.col("_x.LocalExtraInfo")}).withColumn("_c", F.col("_t.ContentObject"))
     t, c, e = F.col("_t"), F.col("_c"), F.col("_e")
     rows = rows.withColumns(
         {

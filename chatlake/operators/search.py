@@ -35,9 +35,10 @@ def search(messages: DataFrame, terms: Sequence[str], exclude_kinds: Sequence[st
 
 def trigram_postings(messages: DataFrame) -> DataFrame:
     """(gram, chat, local_id): every distinct three characters of every lower-cased text."""
-    low = F.lower("text")
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substring(low, i, F.lit(GRAM)))
-    return messages.filter(F.length("text") >= GRAM).select("chat", "local_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    rows = messages.filter(F.length("text") >= GRAM).select("chat", "local_id", F.split(F.lower("text"), "").alias("_c"))
+    at = F.sequence(F.lit(1), F.size("_c") - (GRAM - 1))
+    grams = F.transform(at, lambda i: F.concat(*[F.element_at("_c", i + k) for k in range(GRAM)]))
+    return rows.select("chat", "local_id", F.explode(F.array_distinct(F.when(F.size("_c") >= GRAM, grams))).alias("gram"))
 
 
 def trigram_search(messages: DataFrame, postings: DataFrame, terms: Sequence[str], exclude_kinds: Sequence[str] = ()) -> DataFrame:
