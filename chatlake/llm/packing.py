@@ -71,6 +71,7 @@ def _pieces(sequence: int, path: str | None):
                 [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            pa.default_memory_pool().release_unused()
 
     return run
 
