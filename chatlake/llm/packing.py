@@ -10,7 +10,8 @@ bins stay; documents of the others are dealt anew, into far fewer blocks, so wha
 block wastes at its edge is packed with what others waste.
 
 Defined cases: a null text is an empty one, a single END_ID; the string of a special
-token in a text is that token, as the tokenizer reads it; rows that repeat are
+token in a text is that token, as the tokenizer reads it; a run of whitespace may be
+of any length in the default vocabulary; rows that repeat are
 packed each on its own; a null doc_id is carried as it is; an empty table gives an
 empty result; other columns are not carried.
 """
@@ -51,13 +52,31 @@ def encoder(path: str | None = None):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@functools.cache
+def json_tokenizer():
+    """The same vocabulary as ``encoder``'s default in its JSON file: slower, but it has no bound on a run of whitespace."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def token_ids(text: str, path: str | None = None) -> np.ndarray:
+    """The text's ids; the pattern of ``encoder`` runs out of stack on about a million whitespace characters in a row."""
+    try:
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        if path is not None:
+            raise
+        return np.array(json_tokenizer().encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def _pieces(sequence: int, path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column("text")):
-                ids = np.append(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), END_ID).astype("<u4")
+                ids = np.append(token_ids(text.as_py() or "", path), END_ID).astype("<u4")
                 head = (len(ids) - 1) % sequence + 1
                 cuts = [0, *range(head, len(ids) + 1, sequence)]
                 body = memoryview(ids).cast("B")
@@ -297,9 +316,10 @@ def pack_items(items: DataFrame, capacity: int = SEQUENCE, seed: int = 5) -> Dat
             met = islands.join(guests, ["block", "island"]).withColumn("elites", F.concat("elites", "guests")).select(*[c.split()[0] for c in state.split(", ")])
             islands = stored(met.mapInArrow(_epoch(capacity, seed + epoch), state), "islands")
         best = islands.groupBy("block").agg(F.min_by(F.struct("sizes", "items", F.col("elites")[0].alias("bins")), F.struct(F.size(F.col("elites")[0]), "island")).alias("best"))
-        bins = best.select("block", "best.sizes", "best.items", F.posexplode("best.bins").alias("bin", "members"))
-        members = F.transform("members", lambda i: F.struct(F.element_at("items", i + 1).alias("item"), F.element_at("sizes", i + 1).alias("length")))
-        bins = bins.select("block", "bin", members.alias("m")).withColumn("fill", F.aggregate("m", F.lit(0), lambda a, v: a + v["length"]))
+        member = lambda i: F.struct(F.element_at("best.items", i + 1).alias("item"), F.element_at("best.sizes", i + 1).alias("length"))
+        # Members are looked up before the explode: its rows are held until a block is through, and would each have a copy of the block's arrays.
+        filled = best.select("block", F.transform("best.bins", lambda b: F.transform(b, member)).alias("bins"))
+        bins = filled.select("block", F.posexplode("bins").alias("bin", "m")).withColumn("fill", F.aggregate("m", F.lit(0), lambda a, v: a + v["length"]))
         each = bins.select("block", "bin", "fill", "m", F.posexplode("m").alias("at", "v"))
         offset = F.aggregate(F.slice("m", 1, F.col("at")), F.lit(0), lambda a, v: a + v["length"])
         sequence = F.shiftleft(F.lit(level).cast("long"), 56) + F.shiftleft(F.col("block"), 20) + F.col("bin")

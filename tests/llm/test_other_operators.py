@@ -192,6 +192,21 @@ def test_pack_documents(spark):
     assert packing.pack_documents(doc_frame(spark, [])).count() == 0
 
 
+def test_long_runs_of_whitespace_are_packed(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [" " * 2_000_000, "ab " + "\n" * 1_500_000 + "<|endoftext|> cd", "x"]
+    got = packing.pack_documents(doc_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for d, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        want += [(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+
+
 def test_evolution_keeps_every_item():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1024, 500).tolist()
