@@ -7,10 +7,11 @@ apart. The pair sum takes one pass over the terms: half of (sum of factors) squa
 the sum of their squares.
 
 Training sees at most TRAIN_DOCS labelled documents, whole, picked by a hash of their
-id; only terms in MIN_DOCS of them at least, whose share differs between the two labels by
-MIN_Z standard errors, have weights: the rest of a vocabulary of hundreds of
-thousands would be learned by heart. Scoring sees every term of every
-document, a chunk of documents at a time.
+id; every term in MIN_DOCS of them at least has a weight and factors. Terms whose own share
+doesn't differ between the two labels by MIN_Z standard errors start with a long record of
+past steps and shrink more: rare ones hardly move, or a vocabulary of hundreds of thousands
+would be learned by heart, while frequent ones still learn what a pair of them tells. Scoring
+sees every term of every document, a chunk of documents at a time.
 
 Defined cases: a null or empty text has no terms and the bias' score; a null doc_id is
 scored but never trained on or held out; repeated rows are scored alike; without labels
@@ -35,6 +36,8 @@ FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS, MIN_DOCS, MIN_Z = 8000, 3, 4.0
 BUCKETS = 1 << 20
 FACTORS, EPOCHS, BATCH = 4, 60, 256
+#: Starting sums of squared slopes and shrinkage, for weights and for factors: of telling terms, and of all others.
+TELLING, NEUTRAL = ((1e-8, 1e-8), (1e-6, 1e-5)), ((0.3, 0.1), (1e-4, 1e-4))
 THRESHOLD = 0.7
 
 #: Terms are runs of letters and of bytes outside ASCII.
@@ -103,14 +106,18 @@ def train(bucket: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int
     """Fit on documents' distinct buckets, end to end by ``first``, with adaptive steps on mini-batches."""
     rng = np.random.default_rng(3)
     share = label.mean() if len(label) else 0.0
-    known = telling(bucket, first, label) if 0.0 < share < 1.0 else np.zeros(0, np.int64)
+    known, docs = np.unique(bucket, return_counts=True)
+    known = known[docs >= MIN_DOCS] if 0.0 < share < 1.0 else np.zeros(0, np.int64)
     model = Machine(known, np.zeros(len(known)), 0.01 * rng.standard_normal((len(known), FACTORS)), np.zeros(1))
     if not 0.0 < share < 1.0:
         return model
     model.bias[0] = np.log(share / (1 - share))
     at, off = model.places(bucket, first)
     adam = Adam([model.bias], 0.02)
-    pace_w, pace_v = np.full(len(known), 1e-8), np.full((len(known), FACTORS), 1e-8)
+    tells = np.isin(known, telling(bucket, first, label))
+    pace_w, pace_v = (np.where(tells, own, other) for own, other in zip(TELLING[0], NEUTRAL[0], strict=True))
+    pace_v = np.repeat(pace_v[:, None], FACTORS, axis=1)
+    shrink_w, shrink_v = (np.where(tells, own, other) for own, other in zip(TELLING[1], NEUTRAL[1], strict=True))
     for _ in range(epochs):
         order = rng.permutation(len(label))
         for i in range(0, len(order), BATCH):
@@ -121,10 +128,10 @@ def train(bucket: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int
             margin, s = model.margin(pick, own)
             slope = (sigmoid(margin) - label[rows]) / len(rows)
             each = np.repeat(slope, n)
-            there, place = np.unique(pick, return_inverse=True)
-            g_w = np.bincount(place, each, len(there)) + 1e-6 * model.weight[there]
+            there = np.flatnonzero(np.bincount(pick, minlength=len(known)))
+            g_w = np.bincount(pick, each, len(known))[there] + shrink_w[there] * model.weight[there]
             pull = each[:, None] * (np.repeat(s, n, axis=0) - model.factor[pick])
-            g_v = np.column_stack([np.bincount(place, pull[:, f], len(there)) for f in range(FACTORS)]) + 1e-5 * model.factor[there]
+            g_v = np.column_stack([np.bincount(pick, pull[:, f], len(known))[there] for f in range(FACTORS)]) + shrink_v[there, None] * model.factor[there]
             pace_w[there] += g_w * g_w
             pace_v[there] += g_v * g_v
             model.weight[there] -= 0.4 * g_w / np.sqrt(pace_w[there])

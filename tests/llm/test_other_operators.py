@@ -276,6 +276,22 @@ def test_forward_backward_sums_over_all_paths():
     assert np.allclose(got, want) and np.allclose(moves, want_moves)
 
 
+def test_machine_learns_a_pair_of_neutral_terms():
+    """Both terms are as frequent in both labels, among others that tell nothing; both or neither of them means 1."""
+    rng = np.random.default_rng(5)
+
+    def documents(n):
+        one, label = rng.permutation(n) % 2, rng.permutation(n) % 2
+        rows = [np.unique([*([1] * a), *([2] * int(a == y)), *rng.integers(10, 410, 30)]).astype(np.int64) for a, y in zip(one.tolist(), label.tolist(), strict=True)]
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), label.astype(float)
+
+    bucket, first, label = documents(3000)
+    assert not np.isin([1, 2], toxicity_fm.telling(bucket, first, label)).any()
+    model = toxicity_fm.train(bucket, first, label)
+    bucket, first, label = documents(1000)
+    assert ((model.score(bucket, first) >= 0.5) == label).mean() > 0.95
+
+
 def test_machine_learns_a_pair():
     """Two terms of which only both together mean 1: no sum of weights tells that."""
     rng = np.random.default_rng(0)
