@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from chatlake.functions.scalars import clock, escape_html
 from chatlake.operators.messages import ORDER
@@ -53,8 +58,36 @@ def export_messages(messages: DataFrame, fmt: str, path: str, mode: str = "overw
     ordered.select("chat", "line").write.mode(mode).partitionBy("chat").option("header", False).text(path)
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chat, n, digest) of rows (chat, line) sorted by chat; a digest is carried from line to line, no document is held."""
+    chat, n, digest, empty = None, 0, None, True
+
+    def row(kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chat], kind), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["chat", "n", "digest"])
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field("chat").type
+        for c, line in zip(b.column("chat").to_pylist(), b.column("line"), strict=True):
+            if digest is None or c != chat:
+                if digest is not None:
+                    yield row(kind)
+                chat, n, digest, empty = c, 0, hashlib.md5(), True
+            n += 1
+            if line.is_valid:
+                if not empty:
+                    digest.update(b"\n")
+                digest.update(line.as_buffer())
+                empty = False
+    if digest is not None:
+        yield row(kind)
+
+
 def documents(messages: DataFrame, fmt: str) -> DataFrame:
-    """(chat, n, digest): how many lines each chat's export has, and a digest of them in order, to tell what changed."""
-    lines = F.array_sort(F.collect_list(F.struct(*ORDER, "line")))
-    per = rendered(messages, fmt).groupBy("chat").agg(F.count(F.lit(1)).alias("n"), lines.alias("x"))
-    return per.select("chat", "n", F.md5(F.array_join(F.transform("x", lambda r: r["line"]), "\n").cast("binary")).alias("digest"))
+    """(chat, n, digest): how many lines each chat's export has, and a digest of them in order, to tell what changed.
+
+    The digest is that of the whole document, which is one chain: a chat is sorted on disk if need be and read once in one task.
+    """
+    lines = rendered(messages, fmt).select("chat", *ORDER, "line").repartition("chat").sortWithinPartitions("chat", *ORDER, "line")
+    schema = StructType([StructField("chat", messages.schema["chat"].dataType), StructField("n", LongType(), False), StructField("digest", StringType())])
+    return lines.select("chat", "line").mapInArrow(_digests, schema)

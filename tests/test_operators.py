@@ -141,6 +141,25 @@ def test_export_writes_each_chat_in_order(spark, tmp_path):
         render.export_messages(df, "html", f"{tmp_path}/html", mode="append")
 
 
+def test_document_digests_hold_no_whole_document(spark):
+    import hashlib
+
+    rows = [(c, ts, 0, i, "s", False, "text", t) for c in ("b", None, "a") for i, (ts, t) in enumerate([(5, "é"), (3, None), (5, "x\ny"), (1, ""), (5, "z")])] + [("d", 1, 0, 1, "s", False, "text", None)]
+    df = spark.createDataFrame(rows, "chat string, ts long, dbr int, local_id long, sender string, is_self boolean, kind string, text string").repartition(3)
+    lines = {}
+    for r in sorted(render.rendered(df, "txt").collect(), key=lambda r: (r.ts, r.dbr, r.local_id)):
+        lines.setdefault(r.chat, []).append(r.line)
+    want = {c: (len(x), hashlib.md5("\n".join(t for t in x if t is not None).encode()).hexdigest()) for c, x in lines.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        docs = render.documents(df, "txt")
+        assert {r.chat: (r.n, r.digest) for r in docs.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in docs._jdf.queryExecution().toString()
+    assert render.documents(df.filter("false"), "txt").count() == 0
+
+
 def test_streamed_tail_equals_one_batch(spark, tmp_path):
     schema = "chat string, db int, local_id long, ts long, kind string, text string"
     land, out, check = (f"file://{tmp_path}/{x}" for x in ("land", "out", "check"))
