@@ -14,10 +14,9 @@ def landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """``stream`` without rows seen before; an edited or recalled row has another content and stays."""
-    timed = stream.withColumns({"event_time": F.timestamp_seconds("ts"), "content_hash": F.xxhash64("kind", "text")})
-    return timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark([*KEY, "content_hash"])
+def hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hash of their content; an edited or recalled row has another one."""
+    return rows.withColumn("content_hash", F.xxhash64("kind", "text"))
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
@@ -29,23 +28,26 @@ def latest(snapshots: DataFrame) -> DataFrame:
 def export_tail(stream: DataFrame, out: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
     """Append each batch's new rows under ``out``, partitioned by batch, so that a batch run again replaces itself.
 
-    The tail state is what the table holds, without the batch itself, so there is nothing to keep beside it.
+    The tail state is what the table holds, without the batch itself, so there is nothing to keep beside it: repeats are
+    told by what is written, and a row is late only for its own chat. No row is too old for a chat without state, so
+    ``late`` bounds nothing any more; callers may still give it.
     """
-    spark = stream.sparkSession
+    spark, same = stream.sparkSession, [*KEY, "content_hash"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         seen = spark.read.parquet(out).filter(F.col("batch") < batch_id) if _exists(spark, out) else None
-        rows = batch.drop("event_time", "content_hash")
+        rows = hashed(batch).dropDuplicates(same)
         if seen is not None:
             ends = seen.groupBy("chat", "ts").agg(F.count(F.lit(1)).alias("n"))
             state = ends.groupBy("chat").agg(F.max("ts").alias("last_ts"), F.max_by("n", "ts").alias("n_last"))
             held = seen.select(*KEY).distinct()
             same_time = rows.join(state, "chat").filter(F.col("ts") == F.col("last_ts")).select(*rows.columns)
             later = rows.join(state, "chat", "left").filter(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))).select(*rows.columns)
-            rows = later.unionByName(same_time.join(held, list(KEY), "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            fresh = later.unionByName(same_time.join(held, list(KEY), "left_anti"))
+            rows = fresh.join(hashed(seen).select(*same).distinct(), same, "left_anti")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return deduplicated(stream, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

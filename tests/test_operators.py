@@ -160,6 +160,21 @@ def test_document_digests_hold_no_whole_document(spark):
     assert render.documents(df.filter("false"), "txt").count() == 0
 
 
+def test_tail_exports_a_chat_that_lands_later(spark, tmp_path):
+    schema = "chat string, db int, local_id long, ts long, kind string, text string"
+    land, out, check = (f"file://{tmp_path}/{x}" for x in ("land", "out", "check"))
+    one = [("a", 0, 1, 100_000_000, "text", "x")]
+    two = [("c", 0, 1, 5, "text", "old"), ("c", 0, 1, 5, "text", "old"), ("c", 1, 1, 50_000_000, "text", "newer"), ("a", 0, 2, 7, "text", "late"), ("a", 0, 1, 100_000_001, "text", "x")]
+    three = [*two, ("c", 1, 2, 50_000_001, "text", "last"), ("e", 0, 1, 1, "text", "first")]
+    for rows in (one, two, three):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+        query = tail.export_tail(tail.landed(spark, land, schema), out, check)
+        query.awaitTermination(120)
+        assert query.exception() is None
+    got = sorted((r.chat, r.db, r.local_id) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 0, 1), ("c", 0, 1), ("c", 1, 1), ("c", 1, 2), ("e", 0, 1)]
+
+
 def test_streamed_tail_equals_one_batch(spark, tmp_path):
     schema = "chat string, db int, local_id long, ts long, kind string, text string"
     land, out, check = (f"file://{tmp_path}/{x}" for x in ("land", "out", "check"))
