@@ -235,3 +235,21 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, tables: int = TAB
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9
+), reach(a, b) AS (
+  SELECT DISTINCT a, a FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), comp AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT t.vec_id, (SELECT count(*) FROM links WHERE links.a = t.vec_id) AS n_links, coalesce(c.component_id, t.vec_id) AS component_id, coalesce(c.component_id, t.vec_id) = t.vec_id AS kept
+FROM embeddings t LEFT JOIN comp c ON c.a = t.vec_id
+"""

@@ -10,6 +10,11 @@ possible links, and over each component of those with whole sets, which settles
 so a set travels once. A group too large for a task is cut into blocks, and pairs of
 blocks are compared, each in a task of its own; no pair is left out.
 
+A shingle's identity is 128 bits, two keyed lanes of its words' bytes (``text``); sizes and
+intersections count by both, and one set of shingles is told by a BLAKE2 digest of them.
+Lane one alone orders tokens and fills bitmaps, which only bring sets together. Tokens that
+are common are counted by size first, so that no task gathers the documents of one.
+
 Defined cases: a null or empty text has an empty set and no links; a text of fewer
 words than a shingle is one shingle; a null doc_id is linked with nothing and its
 component is null; rows sharing a doc_id are one node; an empty table gives an empty
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm import text as T
@@ -38,21 +43,31 @@ COMMON = 400
 GROUP_SETS, GROUP_TOKENS = 4000, 2_000_000
 
 
-def shingles(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted, end to end, and the offsets of the rows."""
+def shingles(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both lanes of the distinct shingles of each row, sorted, end to end, and the offsets of the rows."""
     n = np.diff(w.first)
-    g = T.grams(w.hashes, k)
     row = w.row_of()
-    inside = row[: len(g)] == row[k - 1 :] if len(g) else np.zeros(0, bool)
+    inside = row[: max(0, len(row) - k + 1)] == row[k - 1 :]
     short = np.flatnonzero((n > 0) & (n < k))
-    rows = np.concatenate([row[: len(g)][inside], short])
-    tokens = np.concatenate([g[inside], T.span_hash(w.hashes, w.first[short], w.first[short + 1]) if len(short) else np.zeros(0, np.uint64)])
-    order = np.lexsort((tokens, rows))
-    rows, tokens = rows[order], tokens[order]
+    rows = np.concatenate([row[: len(inside)][inside], short])
+    lanes = []
+    for lane, own in enumerate((w.hashes, w.second)):
+        alone = np.zeros(len(short), np.uint64)
+        for m in range(1, k):
+            some = n[short] == m
+            alone[some] = T.grams(own, m, lane)[w.first[short[some]]] if some.any() else 0
+        lanes.append(np.concatenate([T.grams(own, k, lane)[inside], T.mix(alone + np.uint64(1))]))
+    order = np.lexsort((lanes[1], lanes[0], rows))
+    rows, one, two = rows[order], lanes[0][order], lanes[1][order]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (tokens[1:] != tokens[:-1])
-    rows, tokens = rows[new], tokens[new]
-    return tokens, np.searchsorted(rows, np.arange(w.rows + 1))
+    new[1:] = (rows[1:] != rows[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    rows = rows[new]
+    return one[new], two[new], np.searchsorted(rows, np.arange(w.rows + 1))
+
+
+def set_bytes(one: np.ndarray, two: np.ndarray) -> bytes:
+    """A set's shingles, lane one before lane two, little-endian."""
+    return np.concatenate([one, two]).tobytes()
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -65,17 +80,18 @@ def _lists(off: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def _signatures(k: int):
-    """Size and hash of each row's set; and, with a null doc_id and size -1, tokens that are common in a batch."""
+    """Size and digest of each row's set; and, with a null doc_id and size -1, tokens that are common in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "h1", "h2"]
         for b in batches:
             every = []
             for w in T.words(b.column("text"), lower=True):
-                tokens, off = shingles(w, k)
-                h = [T.span_hash(t, off[:-1], off[1:]).view(np.int64) if len(tokens) else np.zeros(w.rows, np.int64) for t in (tokens, T.mix(tokens))]
-                every.append(tokens)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.row0, w.rows), pa.array(np.diff(off)), pa.array(h[0]), pa.array(h[1])], names)
+                one, two, off = shingles(w, k)
+                told = b"".join(T.digest(set_bytes(one[i:j], two[i:j])) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+                h = np.frombuffer(told, np.int64).reshape(-1, 2)
+                every.append(one)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(w.row0, w.rows), pa.array(np.diff(off)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names)
             tokens, count = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
             often = count >= max(2, len(b.column("doc_id")) // COMMON)
             tokens, count = tokens[often], count[often]
@@ -85,12 +101,12 @@ def _signatures(k: int):
 
 
 def _prefixes(k: int, percent: int, common: np.ndarray):
-    """Size, bitmap and prefix of each row's set; a prefix is in order of hash, common tokens last."""
+    """Size, bitmap and prefix of each row's set; a prefix is in order of hash, its ``n_late`` common tokens last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in T.words(b.column("text"), lower=True):
-                tokens, off = shingles(w, k)
+                tokens, _, off = shingles(w, k)
                 n = np.diff(off)
                 row = np.repeat(np.arange(w.rows), n)
                 late = np.isin(tokens, common)
@@ -99,54 +115,69 @@ def _prefixes(k: int, percent: int, common: np.ndarray):
                 keep = place < np.repeat(prefix_length(n, percent), n)
                 out = tokens[order][keep]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=w.rows))])
+                n_late = np.bincount(row[keep], late[order][keep], minlength=w.rows)
                 bits = [bitmap(tokens[off[i] : off[i + 1]]) if n[i] else None for i in range(w.rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(w.row0, w.rows), pa.array(n.astype(np.int64)), pa.array(bits, pa.binary()), _lists(ends, out)], ["doc_id", "n", "bits", "prefix"]
+                    [b.column("doc_id").slice(w.row0, w.rows), pa.array(n.astype(np.int64)), pa.array(bits, pa.binary()), _lists(ends, out), pa.array(n_late.astype(np.int32))],
+                    ["doc_id", "n", "bits", "prefix", "n_late"],
                 )
 
     return run
 
 
 def _meet(percent: int):
-    """A partition of (token, doc, n) to distinct (home, doc).
+    """A partition of (token, n, doc), in that order, to (home, doc).
 
-    Documents with one token form chains of sizes that can be linked; home is the least document of such a chain.
+    Documents with one token form chains of sizes that can be linked; home is the first document of such a chain.
+    Only the chain that a batch ends in is carried to the next batch, by its home and last size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([np.asarray(b.column(c)) for c in ("token", "doc_id", "n")]) for b in batches if b.num_rows]
-        if not held:
-            return
-        token, doc, n = np.concatenate(held, axis=1)
-        del held
-        order = np.lexsort((n, token))
-        token, doc, n = token[order], doc[order], n[order]
-        head = np.append(True, (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:]))
-        at = np.flatnonzero(head)
-        size = np.diff(np.append(at, len(token)))
-        least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
-        several = np.repeat(least != most, size)
-        home, doc = np.repeat(least, size)[several], doc[several]
-        order = np.lexsort((doc, home))
-        home, doc = home[order], doc[order]
-        new = np.ones(len(home), bool)
-        new[1:] = (home[1:] != home[:-1]) | (doc[1:] != doc[:-1])
-        home, doc = home[new], doc[new]
-        for i in range(0, len(home), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(home[i : i + 100_000]), pa.array(doc[i : i + 100_000])], ["home", "doc_id"])
+        carried = None  # token, last size, home, whether home is told already
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, n, doc = (np.asarray(b.column(c)) for c in ("token", "n", "doc_id"))
+            head = np.append(True, (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:]))
+            goes_on = carried is not None and carried[0] == token[0] and 100 * carried[1] >= percent * n[0]
+            at = np.flatnonzero(head)
+            size = np.diff(np.append(at, len(token)))
+            home, known = doc[at], np.zeros(len(at), bool)
+            if goes_on:
+                home[0], known[0] = carried[2], True
+            homes = np.repeat(home, size)
+            out = [(homes[homes != doc], doc[homes != doc])]
+            joined = np.zeros(len(at), bool)
+            np.logical_or.at(joined, np.repeat(np.arange(len(at)), size)[homes != doc], True)
+            told = known & (carried[3] if goes_on else False)
+            fresh = home[joined & ~told]
+            out.append((fresh, fresh))
+            carried = (token[-1], n[-1], home[-1], bool(joined[-1] or told[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["home", "doc_id"])
 
     return run
 
 
+def met_by_common(tokens: DataFrame, percent: int) -> DataFrame:
+    """The same for common tokens: chains are found among their few sizes, and documents then join their chain's home by token and size."""
+    sizes = tokens.groupBy("token", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    w = Window.partitionBy("token").orderBy("n")
+    head = F.coalesce(100 * F.lag("n").over(w) < percent * F.col("n"), F.lit(True))
+    chained = sizes.withColumn("head", head.cast("int")).withColumn("chain", F.sum("head").over(w))
+    own = Window.partitionBy("token", "chain")
+    homes = chained.withColumns({"home": F.min("least").over(own), "last": F.max("most").over(own)}).filter("home < last").select("token", "n", "home")
+    return tokens.join(stored(homes, "homes_of_common"), ["token", "n"]).select("home", "doc_id")
+
+
 def _whole(k: int):
-    """The tokens of each row's set, little-endian."""
+    """Both lanes of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rest = [b.column(c) for c in ("doc_id", "home", "blocks")]
             for w in T.words(b.column("text"), lower=True):
-                tokens, off = shingles(w, k)
-                sets = pa.array([tokens[off[i] : off[i + 1]].tobytes() for i in range(w.rows)], pa.binary())
+                one, two, off = shingles(w, k)
+                sets = pa.array([set_bytes(one[off[i] : off[i + 1]], two[off[i] : off[i + 1]]) for i in range(w.rows)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(w.row0, w.rows) for c in rest), pa.array(np.diff(off).astype(np.int64)), sets], ["doc_id", "home", "blocks", "n", "body"])
 
     return run
@@ -169,8 +200,8 @@ def _link(percent: int, exact: bool):
         for chain in chains(sizes, percent):
             if len(chain) < 2:
                 continue
-            sets = [np.frombuffer(bodies[i], np.uint64) for i in chain] if exact else None
-            bits = [bitmap(s) for s in sets] if exact else [bodies[i] for i in chain]
+            sets = [np.frombuffer(bodies[i], np.uint64).reshape(2, -1) for i in chain] if exact else None
+            bits = [bitmap(s[0]) for s in sets] if exact else [bodies[i] for i in chain]
             roots = SignatureTree([sizes[i] for i in chain], bits, percent, sets).connect([blocks[i] for i in chain] if crossing else None)
             out += [(docs[i], docs[chain[r]]) for i, r in zip(chain, roots, strict=True) if docs[i] != docs[chain[r]]]
         return out
@@ -216,10 +247,14 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     linkable = sizes.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "classes")
     firsts = stored(classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n_shingles").alias("n")), "firsts")
-    prefixes = stored(texts.filter("doc_id is not null").mapInArrow(_prefixes(shingle, percent, late), "doc_id long, n long, bits binary, prefix array<long>").filter("n > 0"), "prefixes")
+    prefixes = stored(texts.filter("doc_id is not null").mapInArrow(_prefixes(shingle, percent, late), "doc_id long, n long, bits binary, prefix array<long>, n_late int").filter("n > 0"), "prefixes")
     first = prefixes.join(firsts.select("doc_id"), "doc_id")
-    tokens = first.select("doc_id", "n", F.explode("prefix").alias("token"))
-    met = stored(tokens.repartition(partitions(spark), "token").mapInArrow(_meet(percent), "home long, doc_id long").distinct(), "met")
+    n_rare = F.size("prefix") - F.col("n_late")
+    rare = first.select("doc_id", "n", F.explode(F.slice("prefix", 1, n_rare)).alias("token"))
+    often = first.filter("n_late > 0").select("doc_id", "n", F.explode(F.slice("prefix", n_rare + 1, F.col("n_late"))).alias("token"))
+    dealt = rare.repartition(partitions(spark), "token").sortWithinPartitions("token", "n", "doc_id")
+    met = dealt.mapInArrow(_meet(percent), "home long, doc_id long").unionByName(met_by_common(often, percent))
+    met = stored(met.distinct(), "met")
     homes = met.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).alias("blocks"))
     groups = met.join(stored(homes, "homes"), "home")
     signed = groups.join(prefixes.select("doc_id", "n", F.col("bits").alias("body")), "doc_id")
@@ -245,3 +280,29 @@ def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 def op7(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=85)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, pos, pos + 3), ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS pos FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), own AS (
+  SELECT min(doc_id) AS first, list(doc_id) AS members, n.n FROM (SELECT doc_id, md5(string_agg(gram, chr(10) ORDER BY gram)) AS body FROM g GROUP BY doc_id) JOIN n USING (doc_id) GROUP BY body, n.n
+), fg AS (
+  SELECT g.doc_id, gram, own.n FROM g JOIN own ON own.first = g.doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM fg a JOIN fg b ON a.gram = b.gram AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))
+), reach(a, b) AS (
+  SELECT first, first FROM own UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), comp AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT unnest(own.members) AS doc_id, least(comp.component_id, own.first) AS component_id FROM own JOIN comp ON comp.a = own.first) m ON m.doc_id = d.doc_id
+"""

@@ -13,7 +13,10 @@ equal keys wherever they stand. Consecutive windows with one key form a piece, a
 3. texts that share a key but differ are compared word by word, a key at a time, by
    the operator's own engine: suffix automata or sparse suffix arrays;
 4. a key with over ``max_texts`` texts (a frequent short phrase in many contexts) is
-   split into its windows, which meet by the hash of all their words.
+   split into its windows, which meet by the digest of all their words.
+
+Keys are hashes and only bring texts together. The engines get the words' bytes, numbered
+within the task; equal pieces and windows are told by BLAKE2 digests of their bytes.
 
 Step 4 is what bounds a group: nothing is dropped, and no list of a hot key's
 holders is ever gathered in one task.
@@ -36,8 +39,8 @@ GRAM = 10
 MAX_PIECE = 64
 MAX_TEXTS = 1000
 
-#: One engine call: (lengths, owners, keys, words of all texts of some whole keys) to (text, start, windows, smaller document).
-Engine = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+#: One engine call: (lengths, owners, keys, word numbers and word hashes of all texts of some whole keys) to (text, start, windows, smaller document).
+Engine = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def text_key(text: Column) -> Column:
@@ -46,9 +49,9 @@ def text_key(text: Column) -> Column:
 
 
 def pieces(w: T.Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, first word within the row, windows, key, text hash) of the pieces of some rows."""
+    """(row, first word of the chunk, windows, key) of the pieces of some rows."""
     n = len(w.hashes)
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     if n < window:
         return none
     keys = T.sliding_min(T.grams(w.hashes, gram), window - gram + 1)
@@ -63,8 +66,7 @@ def pieces(w: T.Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     if not len(begin):
         return none
     stop = np.flatnonzero(np.append(((since[1:] % MAX_PIECE == 0) | ~inside[1:]) & inside[:-1], inside[-1])) + 1
-    windows = stop - begin
-    return row[begin], begin - w.first[row[begin]], windows, keys[begin], T.span_hash(w.hashes, begin, stop + window - 1)
+    return row[begin], begin, stop - begin, keys[begin]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -76,18 +78,18 @@ def _piece_rows(window: int, gram: int):
         for b in batches:
             ids, tk = b.column("doc_id"), b.column("text_key")
             for w in T.words(b.column("text")):
-                row, start, windows, key, content = pieces(w, window, gram)
+                row, begin, windows, key = pieces(w, window, gram)
                 if len(row):
-                    at = pa.array(row + w.row0)
+                    at, content = pa.array(row + w.row0), T.joined_digests(w, begin, begin + windows + window - 1)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(at), tk.take(at), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), _signed(key), _signed(content)],
+                        [ids.take(at), tk.take(at), pa.array((begin - w.first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)), _signed(key), pa.array(content, pa.binary())],
                         ["doc_id", "text_key", "start", "windows", "key", "content"],
                     )
 
     return run
 
 
-PIECE = "doc_id long, text_key long, start int, windows int, key long, content long"
+PIECE = "doc_id long, text_key long, start int, windows int, key long, content binary"
 
 
 def candidate_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -98,11 +100,11 @@ def candidate_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return stored(every.join(stored(shared, "keys"), "key"), "candidates")
 
 
-CUT = "key long, content long, owner long, words binary, start int, hash long"
+CUT = "key long, content binary, owner long, words binary, start int, hash binary"
 
 
 def _cut(window: int, max_texts: int):
-    """Cut the wanted pieces out of the texts: a piece's words, or, where its key has over ``max_texts`` texts, the hash of each window."""
+    """Cut the wanted pieces out of the texts: a piece's words, or, where its key has over ``max_texts`` texts, the digest of each window."""
     names = [c.split()[0] for c in CUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +117,8 @@ def _cut(window: int, max_texts: int):
                 at = w.first[row] + np.asarray(flat.field("start"))
                 windows = np.asarray(flat.field("windows")).astype(np.int64)
                 hot = np.asarray(flat.field("n_texts")) > max_texts
+                body, place, _ = T.joined(w)
+                size = w.ends - w.starts
                 for some in (np.flatnonzero(~hot), np.flatnonzero(hot)):
                     if not len(some):
                         continue
@@ -123,20 +127,32 @@ def _cut(window: int, max_texts: int):
                         rel = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         begin = np.repeat(first, n) + rel
                         some = np.repeat(some, n)
-                        cells = [pa.nulls(len(some), pa.binary()), pa.array(rel.astype(np.int32)), _signed(T.span_hash(w.hashes, begin, begin + window))]
+                        hashes = T.joined_digests(w, begin, begin + window, (body, place))
+                        cells = [pa.nulls(len(some), pa.binary()), pa.array(rel.astype(np.int32)), pa.array(hashes, pa.binary())]
                     else:
-                        size = n + window - 1
-                        off = np.zeros(len(size) + 1, np.int64)
-                        np.cumsum(size, out=off[1:])
-                        idx = np.repeat(first - off[:-1], size) + np.arange(off[-1])
-                        body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer((8 * off).tobytes()), pa.py_buffer(w.hashes[idx].tobytes())])
-                        cells = [body.cast(pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.int64())]
+                        last = first + n + window - 2
+                        view = memoryview(body)
+                        texts = [view[a:b] for a, b in zip(place[first].tolist(), (place[last] + size[last]).tolist(), strict=True)]
+                        cells = [pa.array(texts, pa.binary()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())]
                     pick = pa.array(some)
                     yield pa.RecordBatch.from_arrays([flat.field("key").take(pick), flat.field("content").take(pick), ids.take(pa.array(row[some] + w.row0)), *cells], names)
 
     return run
 
 
+def numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, their numbers, their hashes) of texts of words joined by one space; equal numbers are equal words."""
+    data, off = T.raw(column)
+    inside = data != 0x20
+    starts, ends, first = T.runs(inside, off)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    letters = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data[inside].tobytes())])
+    body = np.zeros(len(data) + 8, np.uint8)
+    body[: len(data)] = data
+    return np.diff(first), np.asarray(letters.dictionary_encode().indices).astype(np.int64), T.word_lanes(body, starts, ends)[0]
+
+
 def _compare(engine: Engine, chunk_words: int):
     """Run the engine over whole keys, as many at a time as a chunk holds."""
 
@@ -145,9 +161,9 @@ def _compare(engine: Engine, chunk_words: int):
 
         def settle(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            data, off = T.raw(t["words"].combine_chunks())
             key, owner = np.asarray(t["key"]), np.asarray(t["owner"])
-            hit, start, windows, other = engine(np.diff(off) // 8, owner, key, data.copy().view(np.uint64))
+            lengths, numbers, hashes = numbered(t["words"].combine_chunks())
+            hit, start, windows, other = engine(lengths, owner, key, numbers, hashes)
             pick = pa.array(hit)
             return pa.RecordBatch.from_arrays(
                 [t["key"].take(pick).combine_chunks(), t["content"].take(pick).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(other)],
@@ -170,11 +186,12 @@ def _compare(engine: Engine, chunk_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, engine: Engine, window: int = WINDOW, gram: int = GRAM, max_texts: int = MAX_TEXTS, chunk_words: int = 1 << 18) -> DataFrame:
+def repeated_spans(docs: DataFrame, engine: Engine, window: int = WINDOW, gram: int = GRAM, max_texts: int = MAX_TEXTS, chunk_words: int = 1 << 18, least_other: bool = False) -> DataFrame:
     """(doc_id, text_key, start, windows, other): runs of repeated windows, with a smaller document that has them.
 
     Runs of a document may touch or overlap; ``start`` counts words from 0. Only rows
-    with a doc_id take part. ``docs`` needs doc_id and text.
+    with a doc_id take part. ``docs`` needs doc_id and text. ``least_other`` adds, for copies of a
+    text as for its first holder, the windows that still smaller documents have.
     """
     cand = candidate_pieces(docs, window, gram)
     texts = stored(
@@ -188,7 +205,7 @@ def repeated_spans(docs: DataFrame, engine: Engine, window: int = WINDOW, gram:
     cut = stored(rows.join(wants, ["doc_id", "text_key"]).mapInArrow(_cut(window, max_texts), CUT), "cut")
     words = cut.filter("words is not null").select("key", "content", "owner", "words")
     dealt = words.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "owner", "content")
-    compared = dealt.mapInArrow(_compare(engine, chunk_words), "key long, content long, start int, windows int, other long")
+    compared = dealt.mapInArrow(_compare(engine, chunk_words), "key long, content binary, start int, windows int, other long")
     hashes = cut.filter("words is null").select("key", "content", "owner", "start", "hash")
     least = stored(hashes.groupBy("hash").agg(F.min("owner").alias("other"), F.max("owner").alias("last")).filter("other < last").drop("last"), "owners")
     met = hashes.join(least, "hash").filter("other < owner")
@@ -196,7 +213,7 @@ def repeated_spans(docs: DataFrame, engine: Engine, window: int = WINDOW, gram:
     found = stored(found, "found").withColumnsRenamed({"start": "at", "windows": "n"})
     held = cand.join(texts.select("key", "content", F.col("doc_id").alias("owner")), ["key", "content"])
     copies = held.filter("doc_id > owner").select("doc_id", "text_key", "start", "windows", F.col("owner").alias("other"))
-    owned = held.filter("doc_id = owner").join(found, ["key", "content"]).select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("windows"), "other")
+    owned = (held if least_other else held.filter("doc_id = owner")).join(found, ["key", "content"]).select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("windows"), "other")
     return copies.unionByName(owned)
 
 

@@ -10,4 +10,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.SQL,
+        "op3_embedding_dedup": embedding_dedup.SQL,
+        "op7_ngram_join": ngram_join.SQL,
+        "op8_suffix_array_dedup": suffix_dedup.SQL,
+        "op10_url_filter": url_filter.SQL,
+    }

@@ -69,7 +69,7 @@ def chains(sizes: list[int], percent: int) -> list[list[int]]:
 
 
 class SignatureTree:
-    """Sets by size and bitmap, in order of size; ``sets`` (sorted, distinct tokens) make links exact.
+    """Sets by size and bitmap, in order of size; ``sets`` (two lanes of distinct tokens, lane one sorted) make links exact.
 
     Without ``sets`` a pair is linked if sizes and bitmaps allow it: no true link is missing then.
     There is one tree for each width of bitmap. Sets that can be linked have equal widths, or
@@ -128,7 +128,9 @@ class SignatureTree:
             return False
         if self.sets is None:
             return True
-        common = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        (one, two), (other, check) = self.sets[i], self.sets[j]
+        at = np.minimum(np.searchsorted(other, one), m - 1)
+        common = int(((other[at] == one) & (check[at] == two)).sum())
         return 100 * common >= self.percent * (n + m - common)
 
     def connect(self, side: list[int] | None = None) -> list[int]:

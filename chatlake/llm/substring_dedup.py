@@ -104,7 +104,7 @@ class SuffixAutomaton:
 def automaton_engine(window: int = WINDOW):
     """The comparison of ``repeated_spans`` by suffix automata, a shard for each key."""
 
-    def engine(lengths, owners, keys, words):
+    def engine(lengths, owners, keys, words, hashes):
         ends = np.cumsum(lengths)
         hit, start, count, other = [], [], [], []
         shard = None
@@ -159,30 +159,12 @@ def _kept(column: pa.Array, spans: pa.Array) -> Iterator[tuple[int, T.Words, np.
         yield w.row0, w, ~cover(np.diff(w.first), row, start, length)
 
 
-def _joined(w: T.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of each row's kept words, joined by one space."""
-    s, e = w.starts[keep], w.ends[keep]
-    rows = w.row_of()[keep]
-    n = np.bincount(rows, minlength=w.rows)
-    size = e - s + 1
-    size[np.cumsum(n)[n > 0] - 1] -= 1  # no space after a row's last word
-    off = np.zeros(len(s) + 1, np.int64)
-    np.cumsum(size, out=off[1:])
-    out = np.full(off[-1], 0x20, np.uint8)
-    n_word = e - s
-    rel = np.arange(n_word.sum()) - np.repeat(np.cumsum(n_word) - n_word, n_word)
-    out[np.repeat(off[:-1], n_word) + rel] = w.data[np.repeat(s, n_word) + rel]
-    bounds = np.zeros(w.rows + 1, np.int64)
-    bounds[1:] = off[np.cumsum(n)]
-    return out, bounds
-
-
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         total, removed, sha = [], [], []
         for _, w, keep in _kept(b.column("text"), b.column("_spans")):
             n = np.diff(w.first)
-            body, off = _joined(w, keep)
+            body, _, off = T.joined(w, keep)
             view = memoryview(body)
             total.append(n)
             removed.append(n - np.bincount(w.row_of()[keep], minlength=w.rows))
@@ -212,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for b in batches:
             texts = []
             for row0, w, keep in _kept(b.column("text"), b.column("_spans")):
-                body, off = _joined(w, keep)
+                body, _, off = T.joined(w, keep)
                 lost = np.diff(w.first) - np.bincount(w.row_of()[keep], minlength=w.rows)
                 for i in range(w.rows):
                     texts.append(b.column("text")[row0 + i].as_py() if not lost[i] else body[off[i] : off[i + 1]].tobytes().decode() or None)
@@ -226,3 +208,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Words and windows as SQL sees them: (doc_id, pos, word), and which words a repeated window covers.
+COVERED = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents WHERE text IS NOT NULL
+), word AS (
+  SELECT doc_id, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM w
+), win AS (
+  SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 49), ' ') AS body FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM w)
+), first AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY body) AS other FROM win
+), covered AS (
+  SELECT word.doc_id, word.pos, word.word, other, count(other) OVER (PARTITION BY word.doc_id ORDER BY word.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM word LEFT JOIN (SELECT * FROM first WHERE other < doc_id) AS f ON f.doc_id = word.doc_id AND f.pos = word.pos
+)"""
+
+SQL = COVERED + """
+SELECT d.doc_id, count(c.pos) AS n_words, count_if(coalesce(c.gone, false))::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.pos) FILTER (WHERE NOT c.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN covered c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from chatlake.llm import text as T
 from chatlake.llm.passages import GRAM, WINDOW, repeated_spans
+from chatlake.llm.substring_dedup import COVERED
 
 
 def _sorted_gaps(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lexicographic order of some rows of words, and the words each shares with its predecessor there."""
-    as_bytes = np.ascontiguousarray(rows.astype(">u8")).view(np.dtype((np.void, 8 * rows.shape[1]))).ravel()
+    as_bytes = np.ascontiguousarray(rows.astype(">u4")).view(np.dtype((np.void, 4 * rows.shape[1]))).ravel()
     order = np.argsort(as_bytes, kind="stable")
     ranked = rows[order]
     differ = ranked[1:] != ranked[:-1]
@@ -40,15 +41,15 @@ def suffix_engine(window: int = WINDOW, gram: int = GRAM):
     """The comparison of ``repeated_spans`` by sparse suffix arrays."""
     reach = window - gram
 
-    def engine(lengths, owners, keys, words):
+    def engine(lengths, owners, keys, words, hashes):
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        g = T.grams(words, gram)
+        g = T.grams(hashes, gram)
         text = np.repeat(np.arange(len(lengths)), lengths)
         at = np.arange(len(g))
         kept = np.flatnonzero((g == keys.view(np.uint64)[text[: len(g)]]) & (at + gram <= ends[text[: len(g)]]))
         own = text[kept]
-        padded = np.concatenate([np.zeros(reach, np.uint64), words, np.zeros(window, np.uint64)])
+        padded = np.concatenate([np.zeros(reach, np.int64), words + 1, np.zeros(window, np.int64)])
         right = padded[kept[:, None] + reach + np.arange(window)]
         left = padded[kept[:, None] + reach - 1 - np.arange(reach)]
         r_order, r_shared = _sorted_gaps(right)
@@ -111,10 +112,17 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ``span_start`` counts words from 0; ``first_doc_id`` is the smallest document that has one of the span's windows.
     """
-    spans = repeated_spans(docs.select("doc_id", "text"), suffix_engine(window), window)
+    spans = repeated_spans(docs.select("doc_id", "text"), suffix_engine(window), window, least_other=True)
     per = spans.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "windows", "other"))).alias("spans"))
     return per.select("doc_id", "spans").mapInArrow(_maximal(window), "doc_id long, span_start long, span_words long, first_doc_id long")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return duplicate_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = COVERED + """, runs AS (
+  SELECT doc_id, pos, other, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM covered WHERE gone
+)
+SELECT doc_id, min(pos) - 1 AS span_start, count(*) AS span_words, min(other) AS first_doc_id FROM runs GROUP BY doc_id, run
+"""

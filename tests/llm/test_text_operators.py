@@ -123,6 +123,63 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute.jaccard_components(rows, 2, 85))
 
 
+def colliding_words() -> tuple[str, str]:
+    """Two different words of 1,024 letters that any polynomial hash of their bytes modulo 2 ** 64 takes for one."""
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_under_polynomial_hashes_differ(spark):
+    one, two = colliding_words()
+    rows = [(1, " ".join([one] * 60)), (2, " ".join([two] * 60)), (3, " ".join(["x" * 3000] * 60)), (4, " ".join(["x" * 3000] * 59 + ["x" * 2999]))]
+    assert sorted(map(tuple, substring_dedup.digests(frame(spark, rows)).collect())) == sorted(brute.digests(rows, 50))
+    assert {r.n_removed for r in substring_dedup.digests(frame(spark, rows[:2])).collect()} == {0}
+    assert {r.component_id for r in ngram_join.jaccard_components(frame(spark, rows[:2]), 4, 85).collect()} == {1, 2}
+    assert suffix_dedup.duplicate_spans(frame(spark, rows[:2])).count() == 0
+
+
+def test_word_lanes_tell_lengths_and_bytes():
+    column = pa.array(["a aa aaaaaaaa aaaaaaaaa " + "b" * 16 + " " + "b" * 17 + " " + "c" * 256 + " " + "c" * 257 + " " + "c" * 258, "c" * 257 + " a"])
+    w = next(T.words(column))
+    lanes = list(zip(w.hashes.tolist(), w.second.tolist(), strict=True))
+    assert len(set(lanes[:9])) == 9 and len({a for a, _ in lanes[:9]}) == 9 and lanes[9:] == [lanes[7], lanes[0]]
+
+
+def test_common_tokens_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 4)
+    rng = random.Random(7)
+    base = [f"v{i}" for i in range(50)]
+    rows = [(i, " ".join(base[:-1] + [f"e{i % 40}"] + base[: rng.randrange(8)])) for i in range(120)]
+    got = ngram_join.jaccard_components(frame(spark, rows), 2, 85).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.jaccard_components(rows, 2, 85))
+
+
+def test_registered_queries_at_their_contract(spark, tmp_path):
+    """op1, op7 and op8 on a written table, with their own windows and shingles, and beside their SQL."""
+    import duckdb
+
+    rows = list({r[0]: r for r in corpus(11, 50)}.values())
+    rows = [(d, None if t is None else t + " " + t) for d, t in rows if d is not None]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+
+    def both(query, sql):
+        got = query(spark, str(tmp_path))
+        names = sorted(got.columns)
+        rel = con.execute(sql)
+        place = [[d[0] for d in rel.description].index(c) for c in names]
+        rows = sorted(tuple(r[c] for c in names) for r in got.collect())
+        assert rows == sorted(tuple(r[i] for i in place) for r in rel.fetchall())
+        return rows
+
+    both(substring_dedup.op1, substring_dedup.SQL)
+    both(suffix_dedup.op8, suffix_dedup.SQL)
+    both(ngram_join.op7, ngram_join.SQL)
+    assert sorted(map(tuple, substring_dedup.op1(spark, str(tmp_path)).collect())) == sorted(brute.digests(rows, 50))
+    assert sorted(map(tuple, ngram_join.op7(spark, str(tmp_path)).collect())) == sorted(brute.jaccard_components(rows, 4, 85))
+
+
 def test_keep_one_per_group(spark):
     rows = list({r[0]: r for r in corpus(9, 60)}.values())
     left = ngram_join.keep_one_per_group(frame(spark, rows))
@@ -141,7 +198,7 @@ def test_signature_tree_across_widths():
     sets = [sets[i] for i in order]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (len(sets[i]) + len(sets[j]) - n)]
     want = brute.roots(range(len(sets)), links)
-    tree = SignatureTree([len(s) for s in sets], [bitmap(s) for s in sets], 85, sets)
+    tree = SignatureTree([len(s) for s in sets], [bitmap(s) for s in sets], 85, [np.stack([s, ~s]) for s in sets])
     got = tree.connect()
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(sets)) for j in range(i))
 
