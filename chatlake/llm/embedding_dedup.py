@@ -34,7 +34,9 @@ from chatlake.llm.scratch import partitions, stored
 
 COSINE = 0.9
 TABLES = 14
-BLOCK = 2048
+#: So many polytopes make a bucket; a 64-bit key holds three of up to a million axes each.
+POLYTOPES = 3
+BLOCK, HOMES = 2048, 1024
 SEED = 7
 
 
@@ -83,11 +85,6 @@ def polytope_keys(x: np.ndarray, tables: int, polytopes: int, seed: int = SEED)
     return keys
 
 
-def polytopes_for(n: int, dim: int) -> int:
-    """So many that there are several times as many buckets as vectors, 3 at most while a 64-bit key holds them."""
-    return min(3, max(1, math.ceil(math.log(max(n, 2) * 4) / math.log(2 * max(dim, 2)))))
-
-
 def matrix(column: pa.Array) -> np.ndarray:
     """The rows of a list column, all of one length, as doubles."""
     flat = np.asarray(column.flatten(), dtype=np.float64)
@@ -125,8 +122,7 @@ def _verify(least: float):
         of = np.repeat(np.arange(len(node)), np.asarray(homes.value_lengths()))
         earlier = flat < home
         names, at = np.unique(flat[earlier], return_inverse=True)
-        shared = np.zeros((len(node), max(1, len(names))), np.float32)
-        shared[of[earlier], at] = 1.0
+        whose = of[earlier]
         block = np.asarray(rows["block"])
         one, two = (np.flatnonzero(block == p) for p in pair)
         if pair[0] != pair[1] and (not len(one) or not len(two)):
@@ -137,7 +133,12 @@ def _verify(least: float):
             cosine = (x[a] @ x[two].T) / (norm[a][:, None] * norm[two][None, :])
             near[i : i + 512] = (cosine >= least) & (node[a][:, None] != node[two][None, :])
         count = np.zeros(len(node))
-        own = near & ~(shared[one] @ shared[two].T > 0)
+        own = near.copy()
+        for lo in range(0, len(names), HOMES):  # pairs that an earlier home has are counted there
+            part = (at >= lo) & (at < lo + HOMES)
+            shared = np.zeros((len(node), HOMES), np.float32)
+            shared[whose[part], at[part] - lo] = 1.0
+            own &= ~(shared[one] @ shared[two].T > 0)
         np.add.at(count, one, own @ copies[two])
         if pair[0] != pair[1]:
             np.add.at(count, two, own.T @ copies[one])
@@ -205,9 +206,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, tables: int = TAB
     rows = vectors.select("vec_id", "embedding")
     good = rows.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).distinct().withColumn("h", F.xxhash64("embedding"))
     classes = stored(good.groupBy("h", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
-    size = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    polytopes = polytopes_for(size[0], size[1] or 1)
-    hashed = classes.select("node", "embedding").mapInArrow(_keys(tables, polytopes), "node long, dim long, keys array<long>")
+    hashed = classes.select("node", "embedding").mapInArrow(_keys(tables, POLYTOPES), "node long, dim long, keys array<long>")
     keys = stored(hashed.select("node", "dim", F.explode(F.array_distinct("keys")).alias("key")), "keys")
     buckets = keys.groupBy("dim", "key").agg(F.min("node").alias("home"), F.max("node").alias("last")).filter("home < last").drop("last")
     met = stored(keys.join(stored(buckets, "buckets"), ["dim", "key"]).select("node", "dim", "home").distinct(), "met")
