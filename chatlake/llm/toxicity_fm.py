@@ -35,7 +35,7 @@ from chatlake.llm.learning import Adam, fold, sampled_labels, sigmoid
 FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS, MIN_DOCS, MIN_Z = 8000, 3, 4.0
 BUCKETS = 1 << 20
-FACTORS, EPOCHS, BATCH = 4, 60, 256
+FACTORS, EPOCHS, BATCH = 4, 45, 256
 #: Starting sums of squared slopes and shrinkage, for weights and for factors: of telling terms, and of all others.
 TELLING, NEUTRAL = ((1e-8, 1e-8), (1e-6, 1e-5)), ((0.3, 0.1), (1e-4, 1e-4))
 THRESHOLD = 0.7
@@ -57,9 +57,18 @@ def terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of x over rows' ranges; an empty range is 0."""
-    total = np.zeros((len(x) + 1, *x.shape[1:]))
-    np.cumsum(x, axis=0, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    out = np.zeros((len(first) - 1, *x.shape[1:]))
+    some = first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(x, first[:-1][some], axis=0)
+    return out
+
+
+def margins(bias: float, weight: np.ndarray, factor: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margins of documents whose terms are at places ``at``, with their sums of factors and each term's factors."""
+    v = factor[at]
+    s = _sums(v, first)
+    return bias + _sums(weight[at], first) + 0.5 * (s * s - _sums(v * v, first)).sum(axis=1), s, v
 
 
 @dataclass
@@ -79,15 +88,10 @@ class Machine:
         kept = np.concatenate([[0], np.cumsum(hit)])
         return at[hit], kept[first]
 
-    def margin(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = self.factor[at]
-        s = _sums(v, first)
-        return self.bias[0] + _sums(self.weight[at], first) + 0.5 * (s * s - _sums(v * v, first)).sum(axis=1), s
-
     def score(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
         if not self.trained:
             return np.full(len(first) - 1, 0.5)
-        return sigmoid(self.margin(*self.places(bucket, first))[0])
+        return sigmoid(margins(self.bias[0], self.weight, self.factor, *self.places(bucket, first))[0])
 
 
 def telling(bucket: np.ndarray, first: np.ndarray, label: np.ndarray, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> np.ndarray:
@@ -118,25 +122,31 @@ def train(bucket: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int
     pace_w, pace_v = (np.where(tells, own, other) for own, other in zip(TELLING[0], NEUTRAL[0], strict=True))
     pace_v = np.repeat(pace_v[:, None], FACTORS, axis=1)
     shrink_w, shrink_v = (np.where(tells, own, other) for own, other in zip(TELLING[1], NEUTRAL[1], strict=True))
+    order = rng.permutation(len(label))
+    batches = []
+    for i in range(0, len(order), BATCH):
+        rows = order[i : i + BATCH]
+        n = off[rows + 1] - off[rows]
+        own = np.concatenate([[0], np.cumsum(n)])
+        there, local = np.unique(at[np.repeat(off[rows] - own[:-1], n) + np.arange(own[-1])], return_inverse=True)
+        batches.append((label[rows], n, own, there, local))
     for _ in range(epochs):
-        order = rng.permutation(len(label))
-        for i in range(0, len(order), BATCH):
-            rows = order[i : i + BATCH]
-            n = off[rows + 1] - off[rows]
-            own = np.concatenate([[0], np.cumsum(n)])
-            pick = at[np.repeat(off[rows] - own[:-1], n) + np.arange(own[-1])]
-            margin, s = model.margin(pick, own)
-            slope = (sigmoid(margin) - label[rows]) / len(rows)
+        for k in rng.permutation(len(batches)):
+            y, n, own, there, local = batches[k]
+            weight, factor = model.weight[there], model.factor[there]
+            margin, s, v = margins(model.bias[0], weight, factor, local, own)
+            slope = (sigmoid(margin) - y) / len(y)
+            adam.step([np.array([slope.sum()])])
+            if not len(there):
+                continue
             each = np.repeat(slope, n)
-            there = np.flatnonzero(np.bincount(pick, minlength=len(known)))
-            g_w = np.bincount(pick, each, len(known))[there] + shrink_w[there] * model.weight[there]
-            pull = each[:, None] * (np.repeat(s, n, axis=0) - model.factor[pick])
-            g_v = np.column_stack([np.bincount(pick, pull[:, f], len(known))[there] for f in range(FACTORS)]) + shrink_v[there, None] * model.factor[there]
+            pull = each[:, None] * (np.repeat(s, n, axis=0) - v)
+            g_w = np.bincount(local, each, len(there)) + shrink_w[there] * weight
+            g_v = np.column_stack([np.bincount(local, pull[:, f], len(there)) for f in range(FACTORS)]) + shrink_v[there, None] * factor
             pace_w[there] += g_w * g_w
             pace_v[there] += g_v * g_v
-            model.weight[there] -= 0.4 * g_w / np.sqrt(pace_w[there])
-            model.factor[there] -= 0.05 * g_v / np.sqrt(pace_v[there])
-            adam.step([np.array([slope.sum()])])
+            model.weight[there] = weight - 0.4 * g_w / np.sqrt(pace_w[there])
+            model.factor[there] = factor - 0.05 * g_v / np.sqrt(pace_v[there])
     model.trained = True
     return model
 

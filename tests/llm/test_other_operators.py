@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatlake.llm import ann_forest, embedding_dedup, mixing, packing, quality_crf, toxicity_fm, url_filter
-from tests.llm import brute
+from tests.llm import brute, recall
 
 VECTORS = "vec_id long, embedding array<float>, key long, node string"
 
@@ -65,6 +65,14 @@ def test_search(spark, shard):
     assert hits >= 0.9 * total
 
 
+def test_clustered_vectors_are_read_in_small_part():
+    """Shards of 500 vectors, clusters of 50: recall holds, and little of the table is read."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 24))[rng.integers(0, 80, 4000)] + 0.2 * rng.normal(size=(4000, 24))
+    found, share, routes = recall.measure(x, np.arange(0, 4000, 50), shard=500)
+    assert found >= 0.9 and share < 0.1 and routes < 7
+
+
 def test_empty_vectors(spark):
     assert embedding_dedup.near_duplicates(vector_frame(spark, [])).count() == 0
     assert ann_forest.search(vector_frame(spark, []), F.lit(True)).count() == 0
@@ -196,7 +204,7 @@ def test_long_runs_of_whitespace_are_packed(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [" " * 2_000_000, "ab " + "\n" * 1_500_000 + "<|endoftext|> cd", "x"]
+    texts = [" " * 2_000_000, "ab " + "\n" * 1_500_000 + "<|endoftext|> cd", "x", "z" * 2_000_000, "\n" * 2_000_000]
     got = packing.pack_documents(doc_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
@@ -292,6 +300,17 @@ def test_machine_learns_a_pair_of_neutral_terms():
     assert ((model.score(bucket, first) >= 0.5) == label).mean() > 0.95
 
 
+def test_pair_sums_equal_brute_force():
+    rng = np.random.default_rng(4)
+    model = toxicity_fm.Machine(np.array([3, 5, 8, 9]), rng.normal(size=4), rng.normal(size=(4, 3)), np.array([0.3]), True)
+    rows = [[3, 5, 8], [], [4], [9, 4, 3], [3, 5, 8, 9]]
+    got = model.score(np.array(sum(rows, []), np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    for score, row in zip(got, rows, strict=True):
+        at = [list(model.known).index(t) for t in row if t in model.known]
+        margin = 0.3 + sum(model.weight[i] for i in at) + sum(model.factor[i] @ model.factor[j] for i in at for j in at if i < j)
+        assert abs(score - 1 / (1 + np.exp(-margin))) < 1e-12
+
+
 def test_machine_learns_a_pair():
     """Two terms of which only both together mean 1: no sum of weights tells that."""
     rng = np.random.default_rng(0)
