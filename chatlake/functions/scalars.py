@@ -96,9 +96,57 @@ def message_id(db: Column, local_id: Column) -> Column:
     return F.concat_ws(":", db.cast("string"), local_id.cast("string"))
 
 
-def safe_filename(c: Column, limit: int = 150) -> Column:
-    """Characters that file systems refuse become underscores."""
-    return F.substring(F.trim(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1f]', "_")), 1, limit)
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def safe_filename(c: Column, limit: int = 150, fallback: Column | None = None) -> Column:
+    """Characters that file systems refuse become underscores; blanks and dots at the ends go, and what is empty then is ``fallback``."""
+    s = _stripped(F.btrim(_stripped(F.regexp_replace(F.coalesce(c, F.lit("")), r'[\\/:*?"<>|\x00-\x1f\x7f]', "_")), F.lit(".")))
+    return F.coalesce(filled(F.substring(s, 1, limit)), F.lit("unnamed") if fallback is None else fallback)
+
+
+def parse_message_id(c: Column) -> Column:
+    """``N:local_id`` as a struct (db, local_id); null for anything else."""
+    part = lambda k: F.regexp_extract(c, r"^\s*(\d+):(\d+)\s*$", k).try_cast("long")
+    return F.when(c.rlike(r"^\s*\d+:\d+\s*$"), F.struct(part(1).cast("int").alias("db"), part(2).alias("local_id")))
+
+
+def voice_stem(server_id: Column, create_time: Column, local_id: Column) -> Column:
+    """The file stem of a voice message: its server's id, else its time and number."""
+    return F.coalesce(F.nullif(server_id, F.lit(0)).cast("string"), F.concat_ws("_", create_time.cast("string"), local_id.cast("string")))
+
+
+def relative_path(path: Column, folder: Column, quoted: bool = False) -> Column:
+    """``path`` as seen from ``folder``, with forward slashes; ``quoted`` for use in links."""
+    p, f = F.replace(path, F.lit("\\"), F.lit("/")), F.concat(F.rtrim(F.replace(folder, F.lit("\\"), F.lit("/")), F.lit("/")), F.lit("/"))
+    out = F.when(F.startswith(p, f), F.substring(p, F.length(f) + 1, F.length(p))).otherwise(p)
+    return quote_url(out) if quoted else out
+
+
+def quote_url(c: Column) -> Column:
+    """Percent-encoded, slashes as they are."""
+    for a, b in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        c = F.replace(F.url_encode(c) if a == "+" else c, F.lit(a), F.lit(b))
+    return c
+
+
+def escape_markdown(c: Column) -> Column:
+    """Angle brackets can't open a tag."""
+    return F.replace(c, F.lit("<"), F.lit("&lt;"))
+
+
+def link_text(c: Column) -> Column:
+    """Text between a link's brackets: on one line, its own brackets escaped."""
+    return F.regexp_replace(escape_markdown(one_line(c)), r"([\[\]])", r"\\$1")
+
+
+def host_allowed(host: Column, suffixes: Sequence[str]) -> Column:
+    """Whether a host is one of ``suffixes`` or below one."""
+    out = F.lit(False)
+    for s in suffixes:
+        out = out | (host == s) | F.endswith(host, F.lit("." + s))
+    return F.coalesce(out, F.lit(False))
 
 
 def escape_html(c: Column) -> Column:
@@ -128,15 +176,15 @@ def cap_text(c: Column, limit: int = 4000) -> Column:
 
 
 def snippet(c: Column, terms: Sequence[str], width: int = 60) -> Column:
-    """``width`` characters around the first term, in the order given, that the text has."""
-    flat = one_line(c)
-    low = F.lower(flat)
+    """``width`` characters either side of where the first term, in the order given, that the text has begins; a text of up to 2 * ``width`` + 20 is whole."""
+    text = F.coalesce(c, F.lit(""))
+    low, n = F.lower(text), F.length(text)
     at = F.lit(0)
     for t in reversed(terms):
         at = F.when(F.instr(low, t.lower()) > 0, F.instr(low, t.lower())).otherwise(at)
-    begin = F.greatest(at - F.lit(width // 2), F.lit(1))
-    body = F.substring(flat, begin, F.lit(width))
-    return F.concat(F.when(begin > 1, "…").otherwise(""), body, F.when(begin + width - 1 < F.length(flat), "…").otherwise(""))
+    begin, end = F.greatest(at - F.lit(1 + width), F.lit(0)), F.least(at - F.lit(1) + width, n)
+    near = F.concat(F.when(begin > 0, "…").otherwise(""), F.substring(text, begin + 1, end - begin), F.when(end < n, "…").otherwise(""))
+    return F.when(n <= 2 * width + 20, text).when(at == 0, F.concat(F.substring(text, 1, 2 * width), F.lit("…"))).otherwise(near)
 
 
 def fold_ascii(c: Column) -> Column:
@@ -157,12 +205,12 @@ def parse_time(c: Column, now: Column, end: bool = False) -> Column:
 
     With ``end`` a date alone means its last second. Anything else is null.
     """
-    s = F.trim(c)
+    s = F.replace(F.trim(c), F.lit("/"), F.lit("-"))
     unit = F.element_at(F.create_map(*[F.lit(x) for kv in (("m", 60), ("h", 3600), ("d", 86400), ("w", 604800)) for x in kv]), F.lower(F.right(s, F.lit(1))))
     day = F.unix_seconds(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
     return (
         F.when(s.rlike(r"^\d{9,11}$"), s.try_cast("long"))
-        .when(s.rlike(r"(?i)^\d+[mhdw]$"), now - F.substring(s, F.lit(1), F.length(s) - 1).try_cast("long") * unit)
+        .when(s.rlike(r"(?i)^\d+\s*[mhdw]$"), now - F.trim(F.substring(s, F.lit(1), F.length(s) - 1)).try_cast("long") * unit)
         .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), day + F.lit(86399 if end else 0))
         .otherwise(F.unix_seconds(F.try_to_timestamp(F.replace(s, F.lit("T"), F.lit(" ")))))
     )

@@ -15,6 +15,7 @@ SYSTEM_USERNAMES = (
     "facebookapp", "feedsapp", "filehelper", "floatbottle", "fmessage", "gamecenter", "googlecontact", "helper_entry", "lbsapp", "linkedinplugin",
     "masssendapp", "medianote", "mphelper", "newsapp", "notification_messages", "notifymessage", "officialaccounts", "opencustomerservicemsg", "qmessage",
     "qqmail", "qqsync", "shakeapp", "tmessage", "userexperience_alarm", "voicevoipapp", "voiceinputapp", "voip", "voipmsg",
+    "weixin", "@placeholder_foldgroup",
 )
 
 
@@ -49,16 +50,27 @@ def filter_by_name(chats: DataFrame, text: str) -> DataFrame:
 
 
 def ranked_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, key, name, rank) of all names that match; ``patterns`` is a short list of requests."""
-    p = F.broadcast(patterns)
-    hit = F.contains(F.lower("name"), F.lower("pattern"))
-    return names.join(p, hit).select("pattern", "key", "name", match_rank(F.col("name"), F.col("pattern")).alias("rank"))
+    """(pattern, key, name, rank) of the chats that match by name or, as text, by key; the better of the two ranks counts.
+
+    Ranks 0 and 1 are equi-joins; part matches compare every name with every pattern of the request, so ``patterns`` is a short list.
+    """
+    key = F.col("key").cast("string")
+    part = F.contains(F.lower("name"), F.lower("pattern")) | F.contains(F.lower(key), F.lower("pattern"))
+    best = F.least(match_rank(F.col("name"), F.col("pattern")), match_rank(key, F.col("pattern")))
+    return names.join(patterns, part).select("pattern", "key", "name", best.alias("rank")).filter("rank is not null")
 
 
 def resolve(names: DataFrame, patterns: DataFrame, candidates: int = 20) -> DataFrame:
-    """(pattern, key, name, rank, ambiguous): the matches of each pattern's best rank, ``candidates`` of them at most."""
+    """(pattern, key, name, rank, ambiguous): an equal key if there is one, else the matches of each pattern's best rank by name, ``candidates`` of them at most.
+
+    ``key`` is the username; ranks are -1 for an equal key, 0 for an equal name, 1 but for case, 2 for a part of it.
+    """
+    key = F.col("key").cast("string")
+    hit = (key == F.col("pattern")) | F.contains(F.lower("name"), F.lower("pattern"))
+    rank = F.when(key == F.col("pattern"), -1).otherwise(match_rank(F.col("name"), F.col("pattern")))
+    found = names.join(patterns, hit).select("pattern", "key", "name", rank.alias("rank")).filter("rank is not null")
     w = Window.partitionBy("pattern")
-    ranked = ranked_matches(names, patterns).withColumn("best", F.min("rank").over(w)).filter("rank = best")
+    ranked = found.withColumn("best", F.min("rank").over(w)).filter("rank = best")
     ranked = ranked.withColumn("ambiguous", F.count(F.lit(1)).over(w) > 1).withColumn("nth", F.row_number().over(w.orderBy("name", "key")))
     return ranked.filter(F.col("nth") <= candidates).select("pattern", "key", "name", "rank", "ambiguous")
 
@@ -95,3 +107,30 @@ def all_related_visible(related: DataFrame, hidden: DataFrame) -> DataFrame:
     """Items (item) none of whose related people (person) is hidden."""
     bad = related.join(hidden, "person", "left_semi").select("item").distinct()
     return related.select("item").distinct().join(bad, "item", "left_anti")
+
+
+def duplicate_names(names: DataFrame) -> DataFrame:
+    """(name, n) of the display names that several have."""
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def with_sender_names(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``messages`` (db, real_sender_id) with ``sender_user`` from the shard's dictionary (db, id, user_name); null where it has no such id, '' for the system."""
+    d = dictionary.select("db", F.col("id").alias("real_sender_id"), F.coalesce("user_name", F.lit("")).alias("sender_user"))
+    return messages.join(d, ["db", "real_sender_id"], "left")
+
+
+def with_display(messages: DataFrame, contacts: DataFrame, nicknames: DataFrame, own: str, own_name: str = "我", system_name: str = "系统") -> DataFrame:
+    """``messages`` (chat, sender_user, real_sender_id) with ``sender`` and ``is_self``.
+
+    Oneself, then the system for an empty name, in a group the nickname there, the contact's
+    name, the username; an unknown id as such. ``contacts`` has username, display; ``nicknames`` chat, username, nick.
+    """
+    c = contacts.select(F.col("username").alias("sender_user"), "display")
+    n = nicknames.filter(F.coalesce("nick", F.lit("")) != "").select("chat", F.col("username").alias("sender_user"), "nick")
+    rows = messages.join(c, "sender_user", "left").join(n, ["chat", "sender_user"], "left")
+    user = F.col("sender_user")
+    unknown = F.concat(F.lit("未知("), F.col("real_sender_id").cast("string"), F.lit(")"))
+    shown = F.coalesce(F.when(is_group_name(F.col("chat")), F.col("nick")), F.col("display"), user)
+    name = F.when(user.isNull(), unknown).when(user == own, own_name).when(user == "", system_name).otherwise(shown)
+    return rows.withColumns({"sender": name, "is_self": F.coalesce(user == own, F.lit(False))}).drop("display", "nick")

@@ -14,8 +14,8 @@ def export_names(chats: DataFrame, fmt: str, incremental: bool = False) -> DataF
     """(username, filename): the display name, with the username where two chats share it; full and incremental exports differ."""
     shared = F.count(F.lit(1)).over(Window.partitionBy("display")) > 1
     name = F.when(F.col("shared"), F.concat("display", F.lit("_"), "username")).otherwise(F.col("display"))
-    end = "" if incremental else "_full"
-    return chats.withColumn("shared", shared).select("username", F.concat(safe_filename(name), F.lit(f"{end}.{fmt}")).alias("filename"))
+    end = "" if incremental else "_chat"
+    return chats.withColumn("shared", shared).select("username", F.concat(safe_filename(name, fallback=safe_filename(F.col("username"))), F.lit(f"{end}.{fmt}")).alias("filename"))
 
 
 def changed_documents(now: DataFrame, stored: DataFrame) -> DataFrame:

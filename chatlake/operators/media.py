@@ -62,13 +62,20 @@ def locate_voices(messages: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def sticker_info(content: Column) -> Column:
-    """The attributes of a sticker message as a map, entities undone."""
-    names, values = F.regexp_extract_all(content, F.lit(r'(\w+)\s*=\s*"([^"]*)"'), 1), F.regexp_extract_all(content, F.lit(r'(\w+)\s*=\s*"([^"]*)"'), 2)
+    """The attributes of a sticker message as a map, entities undone; a name may have hyphens and colons."""
+    pair = F.lit(r'([\w:.-]+)\s*=\s*"([^"]*)"')
+    names, values = F.regexp_extract_all(content, pair, 1), F.regexp_extract_all(content, pair, 2)
     plain = F.transform(values, lambda v: F.replace(F.replace(F.replace(F.replace(v, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")))
     first = F.transform(F.array_distinct(names), lambda n: F.element_at(plain, F.array_position(names, n).cast("int")))
     return F.map_from_arrays(F.array_distinct(names), first)
 
 
+def sticker_md5(info: Column) -> Column:
+    """The md5 among a sticker's attributes, if it is one."""
+    md5 = F.lower(F.trim(F.try_element_at(info, F.lit("md5"))))
+    return F.when(md5.rlike("^[0-9a-f]{32}$"), md5)
+
+
 def merge_urls(info: DataFrame, table: DataFrame) -> DataFrame:
     """``info`` (md5, cdn_url, thumb_url) with empty addresses filled from ``table``."""
     t = table.select("md5", F.col("cdn_url").alias("_cdn"), F.col("thumb_url").alias("_thumb"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.functions.scalars import parse_message_id
+
 ORDER = ("ts", "dbr", "local_id")
 
 
@@ -39,26 +41,58 @@ def page_flags(messages: DataFrame, paged: DataFrame) -> DataFrame:
 
 
 def context(messages: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
-    """Rows around each anchor (chat, local_id): (chat, anchor, local_id, distance)."""
-    placed = messages.withColumn("rn", F.row_number().over(Window.partitionBy("chat").orderBy(*ORDER)))
-    at = placed.join(anchors.select("chat", "local_id").distinct(), ["chat", "local_id"], "left_semi").select("chat", F.col("local_id").alias("anchor"), F.col("rn").alias("at"))
+    """Rows around each anchor (chat, db, local_id): (chat, anchor_db, anchor, db, local_id, distance). Only the anchors' chats are sorted."""
+    wanted = anchors.select("chat", "db", "local_id").distinct()
+    chats = messages.join(wanted.select("chat").distinct(), "chat", "left_semi")
+    placed = chats.withColumn("rn", F.row_number().over(Window.partitionBy("chat").orderBy(*ORDER)))
+    at = placed.join(wanted, ["chat", "db", "local_id"], "left_semi").select("chat", F.col("db").alias("anchor_db"), F.col("local_id").alias("anchor"), F.col("rn").alias("at"))
     near = at.withColumn("rn", F.explode(F.sequence(F.col("at") - before, F.col("at") + after)))
-    return near.join(placed.select("chat", "rn", "local_id"), ["chat", "rn"]).select("chat", "anchor", "local_id", (F.col("rn") - F.col("at")).alias("distance"))
+    return near.join(placed.select("chat", "rn", "db", "local_id"), ["chat", "rn"]).select("chat", "anchor_db", "anchor", "db", "local_id", (F.col("rn") - F.col("at")).alias("distance"))
 
 
 def as_of(probes: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each probe (chat, ts, local_id) the last target at or before its time, else the first one after.
+    """For each probe (chat, ts, dbr, local_id) the last target at or before its time, else the first one after.
 
-    One sort per chat: probes and targets are united, and the nearest target on either side is carried along.
+    Probes and targets are united and sorted once each way; the nearest target so far is carried along, so both
+    passes look at a row once.
     """
-    t = targets.select("chat", "ts", F.lit(0).alias("is_probe"), "local_id", F.struct("ts", "local_id").alias("target"))
-    p = probes.select("chat", "ts", F.lit(1).alias("is_probe"), "local_id", F.lit(None).cast("struct<ts:bigint,local_id:bigint>").alias("target"))
-    w = Window.partitionBy("chat").orderBy("ts", "is_probe", "local_id")
-    last = F.last("target", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("target", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = p.unionByName(t).withColumns({"back": last, "ahead": first}).filter("is_probe = 1")
+    key = "struct<ts:bigint,dbr:int,local_id:bigint>"
+    t = targets.select("chat", "ts", "dbr", F.lit(0).alias("is_probe"), "local_id", F.struct("ts", "dbr", "local_id").cast(key).alias("target"))
+    p = probes.select("chat", "ts", "dbr", F.lit(1).alias("is_probe"), "local_id", F.lit(None).cast(key).alias("target"))
+    order = ("ts", "is_probe", "dbr", "local_id")
+    so_far = (Window.unboundedPreceding, 0)
+    back = F.last("target", ignorenulls=True).over(Window.partitionBy("chat").orderBy(*order).rowsBetween(*so_far))
+    ahead = F.last("target", ignorenulls=True).over(Window.partitionBy("chat").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*so_far))
+    both = p.unionByName(t).withColumns({"back": back, "ahead": ahead}).filter("is_probe = 1")
     best = F.coalesce("back", "ahead")
-    return both.select("chat", "local_id", best["local_id"].alias("target_id"), F.col("back").isNull().alias("fell_forward"))
+    return both.select("chat", "dbr", "local_id", best["dbr"].alias("target_dbr"), best["local_id"].alias("target_id"), F.col("back").isNull().alias("fell_forward"))
+
+
+def with_cursor(messages: DataFrame, cursors: DataFrame) -> DataFrame:
+    """``messages`` of the chats in ``cursors`` (chat, cursor as N:local_id) with the sort key of that message of the chat as ``at``; a chat whose cursor is unknown drops out."""
+    wanted = cursors.select("chat", parse_message_id(F.col("cursor")).alias("_c")).select("chat", F.col("_c.db").alias("db"), F.col("_c.local_id").alias("local_id"))
+    at = messages.join(wanted, ["chat", "db", "local_id"]).select("chat", F.struct(*ORDER).alias("at"))
+    return messages.join(at, "chat")
+
+
+def page_envelope(messages: DataFrame, paged: DataFrame) -> DataFrame:
+    """(chat, count, has_more_before, has_more_after, before_cursor, after_cursor) of each chat's page."""
+    key = F.struct(*ORDER, F.concat_ws(":", F.col("db").cast("string"), F.col("local_id").cast("string")).alias("id"))
+    own = paged.groupBy("chat").agg(F.count(F.lit(1)).alias("count"), F.min(key)["id"].alias("before_cursor"), F.max(key)["id"].alias("after_cursor"))
+    return own.join(page_flags(messages, paged), "chat")
+
+
+def limited(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` of ``rows`` in ``order``, with ``has_more``: whether there are others."""
+    some = rows.orderBy(*order).limit(limit + 1)
+    w = Window.orderBy(*order)  # at most limit + 1 rows
+    return some.withColumns({"_nth": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy())}).filter(F.col("_nth") <= limit).withColumn("has_more", F.col("_n") > limit).drop("_nth", "_n")
+
+
+def in_record_order(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``nth`` within its chat: by time, then sort_seq, the oldest shard (the greatest number) first, then local_id."""
+    w = Window.partitionBy("chat").orderBy(F.coalesce("ts", F.lit(0)), F.coalesce("sort_seq", F.lit(0)), F.col("db").desc(), "local_id")
+    return messages.withColumn("nth", F.row_number().over(w))
 
 
 def profile(messages: DataFrame) -> DataFrame:
@@ -72,8 +106,14 @@ def by_id(messages: DataFrame, ids: DataFrame) -> DataFrame:
     return messages.join(ids, ["chat", "db", "local_id"], "left_semi")
 
 
+def first_of_day(messages: DataFrame) -> DataFrame:
+    """(chat, day, ts, dbr, local_id): where each day of each chat begins, by partial aggregation."""
+    day = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd")
+    return messages.groupBy("chat", day.alias("day")).agg(F.min(F.struct(*ORDER)).alias("_k")).select("chat", "day", "_k.*")
+
+
 def with_day_headings(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``day`` and ``new_day``, true where the chat's day changes."""
+    """``messages`` with ``day`` and ``new_day``, true where the chat's day changes; time is the first key of the order, so that is a day's first message."""
     day = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd")
-    previous = F.lag("day").over(Window.partitionBy("chat").orderBy(*ORDER))
-    return messages.withColumn("day", day).withColumn("new_day", F.coalesce(F.col("day") != previous, F.lit(True)))
+    begins = first_of_day(messages).withColumn("new_day", F.lit(True))
+    return messages.withColumn("day", day).join(begins, ["chat", "day", *ORDER], "left").withColumn("new_day", F.coalesce("new_day", F.lit(False)))

@@ -6,12 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from chatlake.functions.scalars import clock, escape_html
-from chatlake.operators.messages import ORDER
+from chatlake.operators.messages import ORDER, first_of_day
 
 FORMATS = ("txt", "csv", "json", "md", "html")
 
@@ -25,39 +25,82 @@ def md_line(ts: Column, sender: Column, text: Column, new_day: Column) -> Column
     return F.concat(heading, F.lit("**"), sender, F.lit("** "), F.substring(clock(ts), 12, 5), F.lit("  \n"), F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit("\n"))
 
 
-def html_line(ts: Column, sender: Column, text: Column, is_self: Column, new_day: Column) -> Column:
+CSV_COLUMNS = ("time", "sender", "is_self", "kind", "text")
+
+
+def csv_line(*cells: Column) -> Column:
+    """A row as every reader of CSV takes it: a cell with a comma, a quote or a line break is quoted, its quotes doubled."""
+    quoted = lambda x: F.when(x.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(x, F.lit("")))
+    return F.concat_ws(",", *[quoted(x) for x in cells])
+
+
+def html_line(ts: Column, sender: Column, text: Column, is_self: Column, new_day: Column, system: Column | None = None) -> Column:
     day = F.when(new_day, F.concat(F.lit('<div class="day">'), F.substring(clock(ts), 1, 10), F.lit("</div>\n"))).otherwise("")
     side = F.when(is_self, "self").otherwise("other")
-    return F.concat(day, F.lit('<div class="msg '), side, F.lit('"><b>'), escape_html(sender), F.lit("</b><p>"), escape_html(text), F.lit("</p></div>"))
+    bubble = F.concat(day, F.lit('<div class="msg '), side, F.lit('"><b>'), escape_html(sender), F.lit("</b><p>"), escape_html(text), F.lit("</p></div>"))
+    return bubble if system is None else F.when(system, F.concat(day, F.lit('<div class="sys">'), escape_html(text), F.lit("</div>"))).otherwise(bubble)
 
 
 def rendered(messages: DataFrame, fmt: str) -> DataFrame:
     """``messages`` (chat, ts, dbr, local_id, sender, is_self, kind, text) with ``line`` in a text format."""
-    day = F.substring(clock(F.col("ts")), 1, 10)
-    new_day = F.coalesce(day != F.lag(day).over(Window.partitionBy("chat").orderBy(*ORDER)), F.lit(True))
     c = F.col
     line = {
         "txt": txt_line(c("ts"), c("sender"), c("text")),
-        "csv": F.to_csv(F.struct(clock(c("ts")).alias("time"), "sender", c("is_self").cast("int").alias("is_self"), "kind", "text")),
+        "csv": csv_line(clock(c("ts")), c("sender"), F.when(c("is_self"), "1").otherwise("0"), c("kind"), c("text")),
         "json": F.to_json(F.struct("ts", clock(c("ts")).alias("time"), "sender", "is_self", "kind", "text")),
         "md": md_line(c("ts"), c("sender"), c("text"), c("_new")),
-        "html": html_line(c("ts"), c("sender"), c("text"), c("is_self"), c("_new")),
+        "html": html_line(c("ts"), c("sender"), c("text"), c("is_self"), c("_new"), c("kind") == "system"),
     }
     if fmt not in line:
         raise ValueError(f"{fmt} is none of {', '.join(FORMATS)}")
-    rows = messages.withColumn("_new", new_day) if fmt in ("md", "html") else messages
+    if fmt in ("md", "html"):
+        begins = first_of_day(messages).select("chat", *ORDER, F.lit(True).alias("_new"))
+        messages = messages.join(begins, ["chat", *ORDER], "left").withColumn("_new", F.coalesce("_new", F.lit(False)))
+    rows = messages
     return rows.withColumn("line", line[fmt]).drop("_new")
 
 
+def with_bundles(messages: DataFrame, items: DataFrame) -> DataFrame:
+    """``messages`` with the items (chat, db, local_id, path, depth, sender, text) of a forwarded bundle, two blanks a level deep, under its text."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.coalesce("sender", F.lit("")) != "", F.concat("sender", F.lit(": "))).otherwise(""), F.col("text"))
+    key = ["chat", "db", "local_id"]
+    # One message's items: at most what one message holds.
+    under = items.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("path", line.alias("line")))).alias("_items"))
+    rows = messages.join(under.select(*key, F.array_join(F.transform("_items", lambda x: x["line"]), "\n").alias("_under")), key, "left")
+    return rows.withColumn("text", F.concat_ws("\n", "text", "_under")).drop("_under")
+
+
 def export_messages(messages: DataFrame, fmt: str, path: str, mode: str = "overwrite") -> None:
-    """Write every chat's lines in order under ``path/chat=...``; ``append`` is for new rows of text formats."""
+    """Write every chat's lines in order under ``path/chat=...``; ``append`` is for new rows of text formats.
+
+    Lines are dealt by ranges of (chat, order), so a large chat is several files in order of their names; a new CSV begins
+    with a byte-order mark and its header.
+    """
     if mode == "append" and fmt in ("html", "json"):
         raise ValueError(f"{fmt} is written anew, not appended to")
-    rows = rendered(messages, fmt).select("chat", *[c for c in ORDER if c in messages.columns], "line")
-    ordered = rows.repartition("chat").sortWithinPartitions("chat", *ORDER)
+    rows = rendered(messages, fmt).select("chat", *ORDER, "line")
+    if fmt == "csv" and mode != "append":
+        kind = {f.name: f.dataType for f in rows.schema.fields}
+        head = rows.select("chat").distinct().select("chat", *[F.lit(-(2**31)).cast(kind[c]).alias(c) for c in ORDER], F.lit("\ufeff" + ",".join(CSV_COLUMNS)).alias("line"))
+        rows = head.unionByName(rows)
+    ordered = rows.repartitionByRange("chat", *ORDER).sortWithinPartitions("chat", *ORDER)
     ordered.select("chat", "line").write.mode(mode).partitionBy("chat").option("header", False).text(path)
 
 
+def export_json(messages: DataFrame) -> DataFrame:
+    """(chat, part, line): a JSON document ``{"chat": ..., "messages": [...]}`` of each chat as lines, so that no chat is one value.
+
+    ``part`` orders the lines: 0 opens the document, 1 are its messages in order, 2 closes it.
+    """
+    rows = rendered(messages, "json")
+    last = messages.groupBy("chat").agg(F.max(F.struct(*ORDER)).alias("_last"))
+    body = rows.join(last, "chat").select("chat", F.lit(1).alias("part"), *ORDER, F.concat("line", F.when(F.struct(*ORDER) == F.col("_last"), "").otherwise(",")).alias("line"))
+    none = [F.lit(None).cast(messages.schema[c].dataType).alias(c) for c in ORDER]
+    head = last.select("chat", F.lit(0).alias("part"), *none, F.concat(F.lit('{"chat":'), F.to_json(F.struct("chat")), F.lit(',"messages":[')).alias("line"))
+    tail = last.select("chat", F.lit(2).alias("part"), *none, F.lit("]}").alias("line"))
+    return head.unionByName(body).unionByName(tail)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chat, n, digest) of rows (chat, line) sorted by chat; a digest is carried from line to line, no document is held."""
     chat, n, digest, empty = None, 0, None, True

@@ -128,10 +128,10 @@ def feed_media(spark, d):
 
 
 def voice_two_stage(spark, d):
-    ev = event_messages(spark, d).filter("kind = 'click'").withColumn("server_id", F.when(F.col("local_id") % 3 == 0, F.lit(0)).otherwise(F.col("local_id") * 10).cast("long"))
+    ev = event_messages(spark, d).filter("kind = 'click'").withColumn("server_id", F.when(F.col("local_id") % 3 == 0, F.lit(0)).otherwise(F.col("server_id")).cast("long"))
     part = F.explode(F.array(F.lit("10"), F.lit("9"), F.lit("x"))).alias("data_index")
-    blobs = ev.filter("local_id % 5 <> 0").select((F.col("local_id") % 2).alias("store"), "chat", "server_id", "ts", "local_id", part).withColumn("data", F.concat_ws(":", F.col("local_id").cast("string"), "data_index").cast("binary"))
-    return media.locate_voices(ev, blobs).select("chat", "local_id", F.col("voice").cast("string").alias("voice"))
+    blobs = ev.filter("local_id % 5 <> 0").select(F.col("db").alias("store"), "chat", "server_id", "ts", "local_id", part).withColumn("data", F.concat_ws(":", F.col("local_id").cast("string"), "data_index").cast("binary"))
+    return media.locate_voices(ev, blobs).groupBy("chat", "local_id", F.col("voice").cast("string").alias("voice")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def sticker_coverage(spark, d):
@@ -152,7 +152,7 @@ def export_txt(spark, d):
 
 def export_csv_rows(spark, d):
     ev = event_messages(spark, d).withColumns({"sender": F.col("chat").cast("string"), "is_self": F.col("kind") == "view", "text": F.col("extra")})
-    return render.rendered(ev, "csv").select("chat", "local_id", "line")
+    return render.rendered(ev, "csv").select("chat", "db", "local_id", "line")
 
 
 def export_html(spark, d):
@@ -200,14 +200,14 @@ ORACLES = {
     "feed_media": """WITH m AS (SELECT vec_id AS i, CAST(vec_id AS VARCHAR) AS media_id, CAST(vec_id % 10 AS VARCHAR) AS post_id FROM embeddings)
       SELECT post_id, media_id, CASE WHEN (i + 2) % 3 <> 0 THEN media_id || '_2' END AS "full", CASE WHEN (i + 1) % 3 <> 0 THEN media_id || '_1' WHEN (i + 6) % 3 <> 0 THEN media_id || '_6' END AS thumb,
         CASE WHEN (i + 3) % 3 <> 0 THEN media_id || '_3' END AS video FROM m""",
-    "voice_two_stage": f"""WITH {EV} SELECT chat, local_id, CASE WHEN local_id % 5 <> 0 THEN local_id || ':x' || local_id || ':9' || local_id || ':10' END AS voice FROM ev WHERE kind = 'click'""",
+    "voice_two_stage": f"""WITH {EV} SELECT chat, local_id, CASE WHEN local_id % 5 <> 0 THEN local_id || ':x' || local_id || ':9' || local_id || ':10' END AS voice, count(*) AS n FROM ev WHERE kind = 'click' GROUP BY ALL""",
     "sticker_coverage": """WITH s AS (SELECT user_id % 60 AS k, count(*) AS n, bool_or(event_type = 'view') AS u FROM events GROUP BY 1)
       SELECT CAST(sum(n) AS BIGINT) AS messages, count(*) AS stickers, count(*) FILTER (u) AS with_url, count(*) FILTER (k < 20) AS with_thumb FROM s""",
     "export_txt": f"WITH {_X} SELECT chat, local_id, '[' || clock || '] ' || sender || ': ' || text AS line FROM y",
-    "export_csv_rows": f"""WITH {EV} SELECT chat, local_id, {_CLOCK.format('ts')} || ',' || chat || ',' || CASE WHEN kind = 'view' THEN 1 ELSE 0 END || ',' || kind || ',"' || replace(extra, '"', '\\"') || '"' AS line FROM ev""",
+    "export_csv_rows": f"""WITH {EV} SELECT chat, db, local_id, {_CLOCK.format('ts')} || ',' || chat || ',' || CASE WHEN kind = 'view' THEN 1 ELSE 0 END || ',' || kind || ',"' || replace(extra, '"', '""') || '"' AS line FROM ev""",
     "export_html": f"""WITH {_X}, z AS (SELECT *, substr(clock, 1, 10) AS day FROM y), w AS (SELECT *, coalesce(day <> lag(day) OVER (PARTITION BY chat ORDER BY ts, dbr, local_id), true) AS fresh FROM z)
-      SELECT chat, local_id, md5(CASE WHEN fresh THEN '<div class="day">' || day || '</div>' || chr(10) ELSE '' END || '<div class="msg ' || CASE WHEN is_self THEN 'self' ELSE 'other' END || '"><b>' || {_ESC.format('sender')}
-        || '</b><p>' || {_ESC.format('text')} || '</p></div>') AS digest FROM w""",
+      SELECT chat, local_id, md5(CASE WHEN fresh THEN '<div class="day">' || day || '</div>' || chr(10) ELSE '' END || CASE WHEN kind = 'system' THEN '<div class="sys">' || {_ESC.format('text')} || '</div>' ELSE '<div class="msg ' || CASE WHEN is_self THEN 'self' ELSE 'other' END || '"><b>' || {_ESC.format('sender')}
+        || '</b><p>' || {_ESC.format('text')} || '</p></div>' END) AS digest FROM w""",
     "export_documents": f"WITH {_X} SELECT chat, count(*) AS n, md5(string_agg('[' || clock || '] ' || sender || ': ' || text, chr(10) ORDER BY ts, dbr, local_id)) AS digest FROM y GROUP BY chat",
     "size_labels": """WITH s AS (SELECT o_orderkey, o_orderkey * o_orderkey AS n FROM orders)
       SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.1f GB', n / 1073741824.0) END AS label FROM s""",

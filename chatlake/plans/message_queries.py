@@ -20,7 +20,7 @@ def _cursor():
 
 
 def _paged(df):
-    return df.select("chat", "rn", "local_id", "ts", "kind")
+    return df.select("chat", "rn", "db", "local_id", "ts", "kind")
 
 
 def page_backward(spark, d):
@@ -55,7 +55,7 @@ def time_range_halfopen(spark, d):
 def message_lookup(spark, d):
     ev = event_messages(spark, d)
     wanted = ev.groupBy("chat", "db").agg(F.max("local_id").alias("local_id"))
-    return messages.by_id(ev, wanted).select("chat", "local_id", "kind")
+    return messages.by_id(ev, wanted).select("chat", "db", "local_id", "kind")
 
 
 def search_and_terms(spark, d):
@@ -98,8 +98,9 @@ def text_one_line(spark, d):
 
 
 def context_rows(spark, d):
-    cv = conversation_messages(spark, d)
-    return messages.context(cv, cv.filter("local_id = 3"), 2, 2)
+    """Around the events of each chat's tenth number, which both shards may have."""
+    ev = event_messages(spark, d)
+    return messages.context(ev, ev.filter("local_id % 97 = 10"), 2, 2)
 
 
 def context_asof(spark, d):
@@ -117,7 +118,7 @@ def json_extra(spark, d):
 
 
 def day_headings(spark, d):
-    return messages.with_day_headings(event_messages(spark, d)).select("chat", "local_id", "day", "new_day")
+    return messages.with_day_headings(event_messages(spark, d)).select("chat", "db", "local_id", "day", "new_day")
 
 
 
@@ -135,7 +136,7 @@ def tail_state(spark, d):
 
 def select_new(spark, d):
     ev = event_messages(spark, d)
-    return incremental.select_new(ev, incremental.tail_state(ev.filter(F.col("ts") <= CURSOR))).select("chat", "local_id")
+    return incremental.select_new(ev, incremental.tail_state(ev.filter(F.col("ts") <= CURSOR))).select("chat", "db", "local_id")
 
 
 def sync_plan(spark, d):
@@ -180,13 +181,13 @@ _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 def _page(where: str, way: str) -> str:
     order = ", ".join(f"{c} {way}" for c in ("ts", "dbr", "local_id"))
     return f"""WITH {EV}, p AS (SELECT * FROM ev {where} QUALIFY row_number() OVER (PARTITION BY chat ORDER BY {order}) <= 10)
-      SELECT chat, {_RN}, local_id, ts, kind FROM p"""
+      SELECT chat, {_RN}, db, local_id, ts, kind FROM p"""
 
 
 _FP = "count(*) FILTER (ok) AS cnt, max(local_id) FILTER (ok) AS max_id, CAST(coalesce(sum(length(kind)) FILTER (ok), 0) AS BIGINT) AS type_sum"
 _TAIL = f"tail AS (SELECT chat, ts AS last_ts, count(*) AS n_last FROM ev WHERE ts <= {CURSOR} GROUP BY chat, ts QUALIFY ts = max(ts) OVER (PARTITION BY chat))"
 _NEW = f"""WITH {EV}, {_TAIL}, placed AS (SELECT *, row_number() OVER (PARTITION BY chat, ts ORDER BY dbr, local_id) AS nth FROM ev),
-  fresh AS (SELECT p.chat, p.local_id FROM placed p LEFT JOIN tail t ON p.chat = t.chat WHERE t.chat IS NULL OR p.ts > last_ts OR (p.ts = last_ts AND nth > n_last))"""
+  fresh AS (SELECT p.chat, p.db, p.local_id FROM placed p LEFT JOIN tail t ON p.chat = t.chat WHERE t.chat IS NULL OR p.ts > last_ts OR (p.ts = last_ts AND nth > n_last))"""
 
 ORACLES = {
     "page_backward": _page(f"WHERE ts < {CURSOR}", "DESC"),
@@ -198,35 +199,35 @@ ORACLES = {
       SELECT chat, min(rn) > 1 AS has_more_before, max(rn) < min(total) AS has_more_after FROM p GROUP BY chat""",
     "time_range_inclusive": f"WITH {EV} SELECT chat, count(*) AS n FROM ev WHERE ts >= {SINCE} AND ts <= {UNTIL} GROUP BY chat",
     "time_range_halfopen": f"WITH {EV} SELECT chat, count(*) AS n FROM ev WHERE ts >= {SINCE} AND ts < {UNTIL} GROUP BY chat",
-    "message_lookup": f"WITH {EV} SELECT chat, local_id, kind FROM ev QUALIFY local_id = max(local_id) OVER (PARTITION BY chat)",
+    "message_lookup": f"WITH {EV} SELECT chat, db, local_id, kind FROM ev QUALIFY local_id = max(local_id) OVER (PARTITION BY chat, db)",
     "search_and_terms": f"{_HITS} SELECT chat, local_id FROM hits",
     "search_short_term": f"WITH {CV} SELECT chat, local_id FROM cv WHERE contains(lower(text), 'th')",
     "search_sender": f"WITH {CV} SELECT chat, local_id, sender FROM cv WHERE contains(lower(sender), 'sist')",
     "search_newest": f"{_HITS} SELECT chat, local_id FROM hits ORDER BY ts DESC, dbr DESC, local_id DESC, chat LIMIT 25",
-    "search_snippet": f"""{_HITS}, f AS (SELECT chat, local_id, {_FLAT} AS flat FROM hits),
-      g AS (SELECT *, greatest(CASE WHEN instr(lower(flat), 'the') > 0 THEN instr(lower(flat), 'the') ELSE instr(lower(flat), 'ing') END - 30, 1) AS b FROM f)
-      SELECT chat, local_id, CASE WHEN b > 1 THEN '…' ELSE '' END || substr(flat, b, 60) || CASE WHEN b + 59 < length(flat) THEN '…' ELSE '' END AS snippet FROM g""",
+    "search_snippet": f"""{_HITS}, g AS (SELECT chat, local_id, text, length(text) AS n, instr(lower(text), 'the') - 1 AS seat FROM hits)
+      SELECT chat, local_id, CASE WHEN n <= 140 THEN text ELSE CASE WHEN seat > 60 THEN '…' ELSE '' END || substr(text, greatest(seat - 60, 0) + 1, least(seat + 60, n) - greatest(seat - 60, 0))
+        || CASE WHEN seat + 60 < n THEN '…' ELSE '' END END AS snippet FROM g""",
     "search_grouped": f"{_HITS} SELECT chat, count(*) AS n, string_agg(CAST(local_id AS VARCHAR), ',' ORDER BY ts DESC, local_id DESC) AS ids FROM hits GROUP BY chat",
     "trigram_search": f"{_HITS} SELECT chat, local_id FROM hits",
     "text_cap": """WITH c AS (SELECT doc_id, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || '…[+' || (length(text) - 4000) || ' chars]' ELSE text END AS t FROM documents)
       SELECT doc_id, length(t) AS n, md5(t) AS digest FROM c""",
     "text_one_line": f"""WITH f AS (SELECT conv_id, turn, coalesce({_FLAT}, '') AS s FROM conversations)
       SELECT conv_id, turn, CASE WHEN length(s) > 50 THEN rtrim(substr(s, 1, 50)) || '…' ELSE s END AS line FROM f""",
-    "context_rows": f"""WITH {CV}, p AS (SELECT *, {_RN} FROM cv), a AS (SELECT DISTINCT chat, local_id AS anchor, rn AS rn0 FROM p WHERE local_id = 3)
-      SELECT a.chat, anchor, p.local_id, p.rn - rn0 AS distance FROM a JOIN p ON a.chat = p.chat AND p.rn BETWEEN rn0 - 2 AND rn0 + 2""",
-    "context_asof": f"""WITH {EV}, v AS (SELECT chat, ts, local_id FROM ev WHERE kind = 'view'), p AS (SELECT chat, ts, local_id FROM ev WHERE kind = 'purchase'),
-      x AS (SELECT p.chat, p.local_id, (SELECT max((v.ts, v.local_id)) FROM v WHERE v.chat = p.chat AND v.ts <= p.ts) AS b,
-        (SELECT min((v.ts, v.local_id)) FROM v WHERE v.chat = p.chat AND v.ts > p.ts) AS f FROM p)
-      SELECT chat, local_id, coalesce(b, f)[2] AS target_id, b IS NULL AS fell_forward FROM x""",
+    "context_rows": f"""WITH {EV}, p AS (SELECT *, {_RN} FROM ev), a AS (SELECT DISTINCT chat, db AS anchor_db, local_id AS anchor, rn AS rn0 FROM p WHERE local_id % 97 = 10)
+      SELECT a.chat, anchor_db, anchor, p.db, p.local_id, p.rn - rn0 AS distance FROM a JOIN p ON a.chat = p.chat AND p.rn BETWEEN rn0 - 2 AND rn0 + 2""",
+    "context_asof": f"""WITH {EV}, v AS (SELECT chat, ts, dbr, local_id FROM ev WHERE kind = 'view'), p AS (SELECT chat, ts, dbr, local_id FROM ev WHERE kind = 'purchase'),
+      x AS (SELECT p.chat, p.dbr, p.local_id, (SELECT max((v.ts, v.dbr, v.local_id)) FROM v WHERE v.chat = p.chat AND v.ts <= p.ts) AS b,
+        (SELECT min((v.ts, v.dbr, v.local_id)) FROM v WHERE v.chat = p.chat AND v.ts > p.ts) AS f FROM p)
+      SELECT chat, dbr, local_id, coalesce(b, f)[2] AS target_dbr, coalesce(b, f)[3] AS target_id, b IS NULL AS fell_forward FROM x""",
     "kind_counts": f"WITH {EV} SELECT kind, count(*) AS n FROM ev GROUP BY kind",
     "json_extra": f"WITH {EV} SELECT kind, CAST(sum(CAST(extra->>'$.k' AS BIGINT)) AS BIGINT) AS total, count(extra->>'$.k') AS n FROM ev GROUP BY kind",
     "day_headings": f"""WITH {EV}, x AS (SELECT *, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM ev)
-      SELECT chat, local_id, day, coalesce(day <> lag(day) OVER (PARTITION BY chat ORDER BY ts, dbr, local_id), true) AS new_day FROM x""",
+      SELECT chat, db, local_id, day, coalesce(day <> lag(day) OVER (PARTITION BY chat ORDER BY ts, dbr, local_id), true) AS new_day FROM x""",
     "fingerprint": f"WITH {EV}, x AS (SELECT *, ts < {CURSOR} AS ok FROM ev) SELECT chat, {_FP} FROM x GROUP BY chat",
     "tail_state": f"WITH {EV}, {_TAIL} SELECT chat, last_ts, n_last FROM tail",
-    "select_new": f"{_NEW} SELECT chat, local_id FROM fresh",
+    "select_new": f"{_NEW} SELECT chat, db, local_id FROM fresh",
     "sync_plan": f"""WITH {EV}, b AS (SELECT *, true AS ok FROM ev WHERE ts < {CURSOR} AND chat % 5 <> 0),
-      n AS (SELECT chat, ts, local_id, CASE WHEN chat % 11 = 0 THEN 'recalled' ELSE kind END AS kind, true AS ok FROM ev WHERE chat % 7 <> 0 AND (ts < {CURSOR} OR chat % 3 = 0)),
+      n AS (SELECT chat, ts, db, local_id, CASE WHEN chat % 11 = 0 THEN 'recalled' ELSE kind END AS kind, true AS ok FROM ev WHERE chat % 7 <> 0 AND (ts < {CURSOR} OR chat % 3 = 0)),
       p AS (SELECT chat, {_FP} FROM b GROUP BY chat), c AS (SELECT chat, {_FP} FROM n GROUP BY chat),
       u AS (SELECT n.chat, n.local_id, n.kind, n.local_id <= p.max_id AS ok FROM n LEFT JOIN p ON n.chat = p.chat), x AS (SELECT chat, {_FP} FROM u GROUP BY chat)
       SELECT coalesce(p.chat, c.chat) AS chat, CASE WHEN c.chat IS NULL THEN 'drop' WHEN p.chat IS NULL THEN 'rebuild'

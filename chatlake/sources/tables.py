@@ -14,10 +14,11 @@ def seconds(column) -> F.Column:
 
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message for each event: the user is the chat, the event type the kind."""
+    """One message for each event: the user is the chat, the event type the kind; events alternate between two shards, in which their numbers repeat."""
     e = table(spark, sf_dir, "events")
+    db = F.pmod("event_id", F.lit(2)).cast("int")
     return e.select(
-        F.col("user_id").alias("chat"), F.lit(0).alias("db"), F.lit(0).alias("dbr"), F.col("event_id").alias("local_id"), seconds("ts").alias("ts"),
+        F.col("user_id").alias("chat"), db.alias("db"), (-db).alias("dbr"), F.floor(F.col("event_id") / 2).cast("long").alias("local_id"), seconds("ts").alias("ts"), (F.col("event_id") * 10).alias("server_id"),
         F.col("event_type").alias("kind"), "value", F.col("props").alias("extra"),
     )
 

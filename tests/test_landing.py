@@ -53,7 +53,7 @@ def test_compact_view(spark):
 
 def test_jobs(spark, tmp_path):
     df = spark.createDataFrame([("u1", "Bob"), ("u2", "Bob"), ("u3", "A/b")], "username string, display string")
-    assert dict(map(tuple, jobs.export_names(df, "md").collect())) == {"u1": "Bob_u1_full.md", "u2": "Bob_u2_full.md", "u3": "A_b_full.md"}
+    assert dict(map(tuple, jobs.export_names(df, "md").collect())) == {"u1": "Bob_u1_chat.md", "u2": "Bob_u2_chat.md", "u3": "A_b_chat.md"}
     now, old = (spark.createDataFrame(rows, "chat string, digest string") for rows in ([("a", "1"), ("b", "2"), ("c", "3")], [("a", "1"), ("b", "0")]))
     assert sorted(r.chat for r in jobs.changed_documents(now, old).collect()) == ["b", "c"]
     log = f"{tmp_path}/log"

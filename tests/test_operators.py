@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatlake.functions import scalars as S
-from chatlake.operators import bookmarks, chats, feed, incremental, media, messages, render, search
+from chatlake.operators import bookmarks, chats, feed, incremental, media, messages, render, rooms, search
 from chatlake.streaming import tail
 
 
@@ -16,7 +16,7 @@ def value(spark, column):
     "text,end,want",
     [
         ("1700000000", False, 1700000000), ("2024-01-02", False, 1704153600), ("2024-01-02", True, 1704239999), ("2024-01-02 03:04:05", False, 1704164645),
-        ("2024-01-02T03:04:05+08:00", False, 1704135845), ("30m", False, 998200), ("12h", False, 956800), ("7d", False, 395200), ("2w", False, -209600), ("soon", False, None), ("", False, None),
+        ("2024-01-02T03:04:05+08:00", False, 1704135845), ("30m", False, 998200), (" 30 m ", False, 998200), ("2024/01/02", False, 1704153600), ("12h", False, 956800), ("7d", False, 395200), ("2w", False, -209600), ("soon", False, None), ("", False, None),
     ],
 )
 def test_parse_time(spark, text, end, want):
@@ -39,6 +39,90 @@ def test_scalars(spark):
     assert value(spark, S.pick_name(F.lit("u"), F.lit("  "), F.lit(" nick "))) == "nick"
 
 
+def test_snippets(spark):
+    long = "x" * 100 + "Needle" + "y" * 100
+    assert value(spark, S.snippet(F.lit("a  b\nneedle"), ["needle"])) == "a  b\nneedle"
+    assert value(spark, S.snippet(F.lit("z" * 140), ["none"])) == "z" * 140
+    assert value(spark, S.snippet(F.lit("z" * 141), ["none"])) == "z" * 120 + "…"
+    assert value(spark, S.snippet(F.lit(long), ["none", "NEEDLE"])) == "…" + "x" * 60 + "Needle" + "y" * 54 + "…"
+    assert value(spark, S.snippet(F.lit("needle" + "y" * 200), ["needle"])) == "needle" + "y" * 54 + "…"
+    assert value(spark, S.snippet(F.lit(None).cast("string"), ["a"])) == ""
+
+
+def test_file_names_and_paths(spark):
+    assert value(spark, S.safe_filename(F.lit(" .. a\x7fb. "))) == "a_b" and value(spark, S.safe_filename(F.lit(" . "))) == "unnamed"
+    assert value(spark, S.safe_filename(F.lit(None).cast("string"), fallback=F.lit("u"))) == "u"
+    assert value(spark, S.relative_path(F.lit("/out/c_files/a b#.jpg"), F.lit("/out/"), quoted=True)) == "c_files/a%20b%23.jpg"
+    assert value(spark, S.relative_path(F.lit("C:\\out\\x.jpg"), F.lit("C:/out"))) == "x.jpg"
+    assert value(spark, S.link_text(F.lit("a [b]\n<c>"))) == "a \\[b\\] &lt;c>"
+    assert value(spark, S.voice_stem(F.lit(0), F.lit(5), F.lit(7))) == "5_7" and value(spark, S.voice_stem(F.lit(9), F.lit(5), F.lit(7))) == "9"
+    assert tuple(value(spark, S.parse_message_id(F.lit(" 2:15 ")))) == (2, 15) and value(spark, S.parse_message_id(F.lit("2:x"))) is None
+    assert value(spark, S.host_allowed(F.lit("a.b.com"), ["b.com"])) and not value(spark, S.host_allowed(F.lit("xb.com"), ["b.com"]))
+
+
+def test_csv_is_read_back_by_csv_readers(spark):
+    import csv
+    import io
+
+    cells = ['a "b", c', "line\r\nbreak", " lead", "", None, "plain"]
+    line = value(spark, render.csv_line(*[F.lit(c).cast("string") for c in cells]))
+    assert next(csv.reader(io.StringIO(line, newline=""))) == [c or "" for c in cells]
+
+
+def test_unnamed_rooms(spark):
+    """Oneself is left out; up to three others are named, more are counted with oneself."""
+    rows = [("g1", i, u) for i, u in enumerate(["me", "a", "b", "c"])] + [("g2", i, u) for i, u in enumerate(["a", "b", "me", "c", "d"])] + [("g3", 0, "me")]
+    names = spark.createDataFrame([("a", "Alice")], "member string, display string")
+    got = dict(map(tuple, rooms.unnamed_room_names(spark.createDataFrame(rows, "room string, pos int, member string"), F.col("member") == "me", names).collect()))
+    assert got == {"g1": "Alice、b、c", "g2": "Alice、b、c等5人"}
+
+
+def test_context_tells_shards_apart(spark):
+    df = frame(spark, [("a", 0, 0, 1, 10), ("a", 1, -1, 1, 5), ("a", 1, -1, 2, 6), ("b", 0, 0, 1, 1)])
+    got = messages.context(df, df.filter("chat = 'a' and db = 1 and local_id = 1"), 1, 1).collect()
+    assert sorted((r.db, r.local_id, r.distance) for r in got) == [(1, 1, 0), (1, 2, 1)]
+
+
+def test_cursors_and_envelopes(spark):
+    df = frame(spark, [("a", i % 2, -(i % 2), i, 100 + i // 3) for i in range(12)] + [("b", 0, 0, 1, 1)])
+    at = messages.with_cursor(df, spark.createDataFrame([("a", "1:7"), ("b", "0:9")], "chat string, cursor string"))
+    assert {r.chat for r in at.collect()} == {"a"}
+    part = messages.page(at, 3, before=F.col("at"))
+    e = messages.page_envelope(df, part).first()
+    rows = sorted(((r.ts, r.dbr, r.local_id) for r in df.collect() if r.chat == "a"))
+    cut = rows[: rows.index((102, -1, 7))][-3:]
+    assert (e["count"], e.has_more_before, e.has_more_after) == (3, True, True)
+    assert (e.before_cursor, e.after_cursor) == tuple(f"{-k[1]}:{k[2]}" for k in (cut[0], cut[-1]))
+    some = messages.limited(df, 4, F.col("ts"), F.col("local_id")).collect()
+    assert len(some) == 4 and all(r.has_more for r in some) and not messages.limited(df, 13, F.col("ts")).first().has_more
+
+
+def test_display_cascade(spark):
+    rows = [("1@chatroom", "me", 1), ("1@chatroom", "", 2), ("1@chatroom", None, 3), ("1@chatroom", "a", 4), ("1@chatroom", "b", 5), ("a", "a", 6)]
+    df = spark.createDataFrame(rows, "chat string, sender_user string, real_sender_id long")
+    people = spark.createDataFrame([("a", "Alice")], "username string, display string")
+    nicks = spark.createDataFrame([("1@chatroom", "a", "Ally"), ("1@chatroom", "b", "")], "chat string, username string, nick string")
+    got = {r.real_sender_id: (r.sender, r.is_self) for r in chats.with_display(df, people, nicks, "me").collect()}
+    assert got == {1: ("我", True), 2: ("系统", False), 3: ("未知(3)", False), 4: ("Ally", False), 5: ("b", False), 6: ("Alice", False)}
+
+
+def test_json_documents_and_csv_headers(spark, tmp_path):
+    import json
+
+    df = frame(spark, [("a", 0, 0, 1, 60, "x", False, "text", "A,\"q\""), ("a", 0, 0, 2, 90, "y", True, "system", "B"), ("b", 0, 0, 3, 1, "z", True, "text", None)], ", sender string, is_self boolean, kind string, text string")
+    lines = {}
+    for r in sorted(render.export_json(df).collect(), key=lambda r: (r.part, r.ts or 0)):
+        lines.setdefault(r.chat, []).append(r.line)
+    docs = {c: json.loads("\n".join(x)) for c, x in lines.items()}
+    assert [m["sender"] for m in docs["a"]["messages"]] == ["x", "y"] and docs["b"]["chat"] == {"chat": "b"}
+    render.export_messages(df, "csv", f"{tmp_path}/csv")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "csv" / "chat=a").glob("part-*")))
+    assert text.startswith("\ufefftime,sender,is_self,kind,text\n") and text.count("time,sender") == 1 and '"A,""q"""' in text
+    assert 'class="sys"' in render.rendered(df, "html").filter("local_id = 2").first().line
+    items = spark.createDataFrame([("a", 0, 1, [0], 1, "s", "one"), ("a", 0, 1, [0, 0], 2, "", "two")], "chat string, db int, local_id long, path array<int>, depth int, sender string, text string")
+    assert render.with_bundles(df, items).filter("local_id = 1").first().text == 'A,"q"\n  s: one\n    two'
+
+
 def frame(spark, rows, extra=""):
     return spark.createDataFrame(rows, "chat string, db int, dbr int, local_id long, ts long" + extra)
 
@@ -89,7 +173,7 @@ def test_short_terms_fold_ascii_only(spark):
 
 
 def test_services_are_no_persons(spark):
-    rows = [("gh_a", 0, True), ("filehelper", 0, True), ("@x", 0, True), ("wxid_v", 8, False), ("shop", 8, True), ("5@chatroom", 8, False), ("bob", None, False), ("own", 0, True)]
+    rows = [("gh_a", 0, True), ("filehelper", 0, True), ("weixin", 0, True), ("@placeholder_foldgroup", 0, True), ("@x", 0, True), ("wxid_v", 8, False), ("shop", 8, True), ("5@chatroom", 8, False), ("bob", None, False), ("own", 0, True)]
     df = spark.createDataFrame(rows, "u string, v int, want boolean")
     assert df.filter(chats.is_not_a_person(F.col("u"), F.col("v"), ["own"]) != F.col("want")).count() == 0
 
