@@ -95,8 +95,12 @@ def query_posts(posts: DataFrame, terms: Sequence[str] = (), author: str | None
         out = out.filter(F.col("ts") >= since)
     if until is not None:
         out = out.filter(F.col("ts") < until)
-    for t in terms:
-        out = out.filter(F.contains(search_text(), F.lit(t.lower())))
+    if terms:
+        # Behind a generator the searched text is made once, however many terms look at it.
+        out = out.withColumn("_hay", F.explode(F.array(search_text())))
+        for t in terms:
+            out = out.filter(F.contains("_hay", F.lit(t.lower())))
+        out = out.drop("_hay")
     return out if limit is None else out.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
 
 

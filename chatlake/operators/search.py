@@ -41,6 +41,28 @@ def trigram_postings(messages: DataFrame) -> DataFrame:
     return rows.select("chat", "local_id", F.explode(F.array_distinct(F.when(F.size("_c") >= GRAM, grams))).alias("gram"))
 
 
+BUCKETS = 256
+
+
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def write_postings(messages: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store the posting table in BUCKETS folders by gram, sorted within each, so that a search reads the folders and row groups of its grams; ``append`` adds new messages."""
+    rows = trigram_postings(messages).withColumn("bucket", _bucket(F.col("gram")))
+    rows.repartition("bucket", F.pmod(F.xxhash64("chat"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark, path: str, terms: Sequence[str]) -> DataFrame:
+    """The stored postings of the terms' grams; other folders aren't listed."""
+    grams = sorted({t.lower()[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
+    if not grams:
+        return spark.read.parquet(path).select("gram", "chat", "local_id").limit(0)
+    wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"))).distinct().collect()]  # one row a gram of the request
+    return spark.read.parquet(path).filter(F.col("bucket").isin(*wanted) & F.col("gram").isin(*grams)).select("chat", "local_id", "gram")
+
+
 def trigram_search(messages: DataFrame, postings: DataFrame, terms: Sequence[str], exclude_kinds: Sequence[str] = ()) -> DataFrame:
     """The same rows as ``search``: candidates have every gram of the terms, and are then verified."""
     grams = sorted({t.lower()[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})

@@ -28,28 +28,42 @@ def latest(snapshots: DataFrame) -> DataFrame:
 def export_tail(stream: DataFrame, out: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
     """Append each batch's new rows under ``out``, partitioned by batch, so that a batch run again replaces itself.
 
-    The tail state is what the table holds, without the batch itself, so there is nothing to keep beside it: repeats are
-    told by what is written, and a row is late only for its own chat. No row is too old for a chat without state, so
-    ``late`` bounds nothing any more; callers may still give it.
+    Beside the table is its tail state, one folder a batch: of each chat the rows at its last time. A batch reads the
+    state before it, never the history, so its cost is that of its rows and of the chats. A row is late only for its own
+    chat, as in ``incremental.select_new``: no row is too old for a chat without state, so ``late`` bounds nothing any
+    more; callers may still give it.
     """
     spark, same = stream.sparkSession, [*KEY, "content_hash"]
+    state_path = out.rstrip("/") + "-state"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = spark.read.parquet(out).filter(F.col("batch") < batch_id) if _exists(spark, out) else None
+        held = _state_before(spark, state_path, batch_id)
         rows = hashed(batch).dropDuplicates(same)
-        if seen is not None:
-            ends = seen.groupBy("chat", "ts").agg(F.count(F.lit(1)).alias("n"))
-            state = ends.groupBy("chat").agg(F.max("ts").alias("last_ts"), F.max_by("n", "ts").alias("n_last"))
-            held = seen.select(*KEY).distinct()
-            same_time = rows.join(state, "chat").filter(F.col("ts") == F.col("last_ts")).select(*rows.columns)
-            later = rows.join(state, "chat", "left").filter(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))).select(*rows.columns)
-            fresh = later.unionByName(same_time.join(held, list(KEY), "left_anti"))
-            rows = fresh.join(hashed(seen).select(*same).distinct(), same, "left_anti")
+        if held is not None:
+            ends = held.groupBy("chat").agg(F.max("ts").alias("last_ts"))
+            placed = rows.join(ends, "chat", "left")
+            later = placed.filter(F.col("last_ts").isNull() | (F.col("ts") > F.col("last_ts"))).select(*rows.columns)
+            tied = placed.filter(F.col("ts") == F.col("last_ts")).select(*rows.columns).join(held.select(*KEY), list(KEY), "left_anti")
+            rows = later.join(held.select(*same), same, "left_anti").unionByName(tied)
         rows.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written = hashed(spark.read.schema(batch.schema).parquet(f"{out}/batch={batch_id}")).select(*same, "ts")
+        after = written if held is None else written.unionByName(held)
+        last = after.groupBy("chat").agg(F.max("ts").alias("ts"))
+        after.join(last, ["chat", "ts"], "left_semi").write.mode("overwrite").parquet(f"{state_path}/{batch_id:012d}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The state that the last batch before ``batch_id`` left, or null."""
+    if not _exists(spark, path):
+        return None
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted(s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder))
+    before = [n for n in names if n.isdigit() and int(n) < batch_id]
+    return spark.read.parquet(f"{path}/{before[-1]}") if before else None
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -164,11 +164,15 @@ def test_resolution_ladder(spark):
     assert got["bob"] == [(2, 0, False)] and got["BOBB"] == [(3, 2, False)] and len(got["Bo"]) == 4 and "zz" not in got
 
 
-def test_short_terms_fold_ascii_only(spark):
+def test_short_terms_fold_ascii_only(spark, tmp_path):
     df = frame(spark, [("a", 0, 0, 1, 1, "ÉA tale", "me", "text"), ("a", 0, 0, 2, 2, "éa", "me", "text"), ("a", 0, 0, 3, 3, "ÉATALE", "me", "voice")], ", text string, sender string, kind string")
     find = lambda terms, **k: sorted(r.local_id for r in search.search(df, terms, **k).collect())
     assert find(["éa"]) == [2] and find(["éata"]) == [3] and find(["TALE"], exclude_kinds=["voice"]) == [1]
     posted = search.trigram_postings(df)
+    search.write_postings(df, f"file://{tmp_path}/postings")
+    stored = search.read_postings(spark, f"file://{tmp_path}/postings", ["tale"])
+    assert sorted(map(tuple, stored.collect())) == sorted((r.chat, r.local_id, r.gram) for r in posted.filter("gram in ('tal', 'ale')").collect())
+    assert sorted(r.local_id for r in search.trigram_search(df, stored, ["tale"]).collect()) == [1, 3] and search.read_postings(spark, f"file://{tmp_path}/postings", ["ab"]).count() == 0
     assert sorted(r.local_id for r in search.trigram_search(df, posted, ["tale"]).collect()) == [1, 3]
 
 
