@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A labelled text over this size isn't trained on, so that what the driver gets is bounded in bytes as in rows. It is scored like any other.
+TRAIN_BYTES = 1 << 20
+
 
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null for a null id."""

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.scratch import stored
+from chatlake.llm.scratch import free_names, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -52,10 +52,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     ranked = per.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(cap))
     fill = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(total) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(
-        fill.rowsBetween(0, Window.unboundedFollowing)
-    )
+    total = Window.partitionBy()
+    level = (F.sum("source_size").over(total) * F.lit(share) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
+        F.sum("w").over(total) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
+    )  # weights are small whole numbers, so that the difference is exact
     leveled = ranked.withColumn("level", level).withColumn("open", F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level")))
     first = F.first("open", ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, 0))
     target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.coalesce(F.least(first * F.col("w"), F.col("most")), F.col("most")))
@@ -200,14 +200,15 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows that agree in doc_id, source and size share out the copies of such rows, one entry each.
     """
-    key = ("doc_id", "source", "size")
-    nth = F.row_number().over(Window.partitionBy(*[f"_{c}" for c in key]).orderBy("_copies"))
-    taken = mix_sources(docs, **parameters).select(*[F.col(c).alias(f"_{c}") for c in key], F.col("copies").alias("_copies")).withColumn("_nth", nth)
-    own = Window.partitionBy("doc_id", "source", "_words").orderBy("doc_id")
-    keyed = docs.withColumn("_words", n_words(F.col("text"))).withColumn("_own", F.row_number().over(own))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_own") == F.col("_nth"))
-    each = keyed.join(taken, same).filter("_copies > 0")
-    return each.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    doc, source, size, copies, nth, words, own, k = free_names(docs.columns, *"_doc_id _source _size _copies _nth _words _own _k".split())
+    mix = mix_sources(docs, **parameters).select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
+    taken = mix.withColumn(nth, F.row_number().over(Window.partitionBy(doc, source, size).orderBy(copies)))
+    same_rows = Window.partitionBy("doc_id", "source", words).orderBy("doc_id")
+    keyed = docs.withColumn(words, n_words(F.col("text"))).withColumn(own, F.row_number().over(same_rows))
+    c = F.col
+    same = c("doc_id").eqNullSafe(c(doc)) & c("source").eqNullSafe(c(source)) & (c(words) == c(size)) & (c(own) == c(nth))
+    each = keyed.join(taken, same).filter(c(copies) > 0)
+    return each.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), c(copies)))).select(*docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.llm import text as T
-from chatlake.llm.learning import Adam, fold, logistic, sampled_labels, sigmoid
+from chatlake.llm.learning import TRAIN_BYTES, Adam, fold, logistic, sampled_labels, sigmoid
+from chatlake.llm.scratch import free_names
 
 FOLDS, HELD_OUT = 5, 0
 TRAIN_DOCS = 3000
@@ -246,9 +247,10 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """The model of at most ``train_docs`` labelled documents outside the held-out fold."""
+    """The model of at most ``train_docs`` labelled documents outside the held-out fold, of TRAIN_BYTES at most each."""
     ids = sampled_labels(labels, "quality", fold(F.col("doc_id"), FOLDS) == HELD_OUT, train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most train_docs pairs of numbers
+    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES)
+    rows = short.join(F.broadcast(ids), "doc_id")  # at most train_docs pairs of numbers
     # One text for an id, so that the sample stays bounded where ids repeat.
     lines = rows.mapInArrow(_sample_rows, "doc_id long, label long, size binary, raw binary")
     found = lines.groupBy("doc_id").agg(F.min(F.struct("label", "size", "raw")).alias("v")).orderBy("doc_id").select("v.*").collect()
@@ -270,9 +272,9 @@ def _scores(model: Model):
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_score`` as its last column."""
-    rows = docs.withColumn("_score", F.lit(0.0))
+def scored(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs`` with the score ``name`` as its last column."""
+    rows = docs.withColumn(name, F.lit(0.0))
     return rows.mapInArrow(_scores(model), rows.schema)
 
 
@@ -285,7 +287,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, t
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``docs`` without those scored below ``threshold``."""
-    return scored(docs, fit(docs, labels, train_docs)).filter(F.col("_score") >= threshold).select(*docs.columns)
+    (name,) = free_names(docs.columns, "_score")
+    return scored(docs, fit(docs, labels, train_docs), name).filter(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from chatlake.llm import text as T
 from chatlake.llm.passages import WINDOW, cover, repeated_spans, text_key
+from chatlake.llm.scratch import free_names
 
 
 class SuffixAutomaton:
@@ -139,13 +140,14 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return repeated_spans(docs, automaton_engine(window), window)
 
 
-def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with their spans of removed words, as (start, length) in ``_spans``."""
+def _with_spans(docs: DataFrame, window: int, name: str = "_spans") -> DataFrame:
+    """``docs`` with their spans of removed words, as (start, length) in ``name``."""
+    doc, key = free_names([*docs.columns, name], "_doc_id", "_text_key")
     length = F.col("windows") + F.lit(window - 1)
-    spans = removed_spans(docs.select("doc_id", "text"), window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", length.alias("length"))).alias("_spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
-    own = (F.col("doc_id") == F.col("_doc_id")) & (text_key(F.col("text")) == F.col("_text_key"))
-    return docs.join(spans, own, "left").drop("_doc_id", "_text_key")
+    spans = removed_spans(docs.select("doc_id", "text"), window).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", length.alias("length"))).alias(name))
+    spans = spans.withColumnsRenamed({"doc_id": doc, "text_key": key})
+    own = (F.col("doc_id") == F.col(doc)) & (text_key(F.col("text")) == F.col(key))
+    return docs.join(spans, own, "left").drop(doc, key)
 
 
 def _kept(column: pa.Array, spans: pa.Array) -> Iterator[tuple[int, T.Words, np.ndarray]]:
@@ -189,11 +191,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     schema = docs.schema
     at = docs.columns.index("text")
+    (name,) = free_names(docs.columns, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for row0, w, keep in _kept(b.column("text"), b.column("_spans")):
+            for row0, w, keep in _kept(b.column("text"), b.column(name)):
                 body, _, off = T.joined(w, keep)
                 lost = np.diff(w.first) - np.bincount(w.row_of()[keep], minlength=w.rows)
                 for i in range(w.rows):
@@ -203,7 +206,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             t = pa.RecordBatch.from_arrays(columns, schema.names)
             yield t.filter(pa.compute.invert(gone))
 
-    return _with_spans(docs, window).select(*docs.columns, "_spans").mapInArrow(run, schema)
+    return _with_spans(docs, window, name).select(*docs.columns, name).mapInArrow(run, schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

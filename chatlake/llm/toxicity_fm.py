@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.llm import text as T
-from chatlake.llm.learning import Adam, fold, sampled_labels, sigmoid
+from chatlake.llm.learning import TRAIN_BYTES, Adam, fold, sampled_labels, sigmoid
 
 FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS, MIN_DOCS, MIN_Z = 8000, 3, 4.0
@@ -160,9 +160,10 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Machine:
-    """The machine of at most ``train_docs`` labelled documents outside the held-out fold."""
+    """The machine of at most ``train_docs`` labelled documents outside the held-out fold, of TRAIN_BYTES at most each."""
     ids = sampled_labels(labels, "toxic", fold(F.col("doc_id"), FOLDS) == HELD_OUT, train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most train_docs pairs of numbers
+    short = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES)
+    rows = short.join(F.broadcast(ids), "doc_id")  # at most train_docs pairs of numbers
     sample = rows.mapInArrow(_sample_rows, "doc_id long, label long, terms binary")
     found = sample.groupBy("doc_id").agg(F.min(F.struct("label", "terms")).alias("v")).orderBy("doc_id").select("v.*").collect()
     each = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in found]

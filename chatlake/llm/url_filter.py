@@ -1,12 +1,12 @@
 """URL filter: a blocked Bloom filter of listed URL prefixes, then an exact join.
 
-Main path is DataFrame functions only. Each URL yields its candidate keys, every
-suffix of its host with every listed length of its path; the Bloom filter keeps
+Main path is DataFrame functions only. Each URL yields its candidate keys, the
+suffixes of its host with as many labels as a listed host has, with every listed length of its path; the Bloom filter keeps
 the few that may be listed; an exact equi-join removes its false positives.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
-matches nothing; an empty list leaves every page with ``default``; equal pages are
-judged alike, each on its own; the input's other columns are not carried.
+matches nothing; an empty list leaves every page with ``default``; of a rule listed with
+two verdicts the greater text stands (block before allow); equal pages are judged alike, each on its own; the input's other columns are not carried.
 """
 
 from __future__ import annotations
@@ -60,12 +60,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """
     host, path = host_and_path(F.col(url_col))
     listed = rules.select(
-        F.concat(F.translate("host", UPPER, LOWER), "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.length("path").alias("n_path")
-    ).dropDuplicates(["rule"])
+        F.concat(F.translate("host", UPPER, LOWER), "path").alias("rule"), F.col("verdict").alias("rule_verdict"), F.length("path").alias("n_path"), F.size(F.split("host", r"\.")).alias("n_labels")
+    ).groupBy("rule").agg(F.max("rule_verdict").alias("rule_verdict"), F.collect_set("n_path").alias("n_path"), F.collect_set("n_labels").alias("n_labels"))
     blocks = blocks_for(listed.count())
-    lengths = listed.agg(F.sort_array(F.collect_set("n_path")).alias("lengths"))
+    # As many numbers as there are different lengths, and counts of labels, of listed paths and hosts.
+    lengths = listed.select(F.explode("n_path").alias("n")).agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    labels = listed.select(F.explode("n_labels").alias("n")).agg(F.sort_array(F.collect_set("n")).alias("labels"))
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    within = F.filter(F.col("_labels"), lambda n: n <= F.size("_parts"))
+    suffixes = F.transform(within, lambda n: F.array_join(F.slice("_parts", F.size("_parts") - n + 1, n), "."))
     fits = F.filter(F.col("_lengths"), lambda n: n <= F.length("path"))
     prefixes = F.transform(fits, lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
@@ -73,10 +76,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     maybe = F.filter(F.col("_keys"), lambda k: F.element_at(bits, _block(k, blocks) + 1).bitwiseAND(_mask(k)) == _mask(k))
     judged = (
         pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"))
-        .withColumns({"_lengths": lengths.scalar(), "_bits": bloom(listed, "rule", blocks).scalar()})
+        .withColumns({"_lengths": lengths.scalar(), "_labels": labels.scalar(), "_bits": bloom(listed, "rule", blocks).scalar(), "_parts": parts})
         .withColumn("_keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(keys))
         .withColumn("_maybe", maybe)
-        .drop("_lengths", "_bits", "_keys")
+        .drop("_lengths", "_labels", "_bits", "_keys", "_parts")
     )
     hits = (
         judged.filter(F.size("_maybe") > 0)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chatlake.llm import ann_forest, embedding_dedup, mixing, packing, quality_crf, toxicity_fm, url_filter
+from chatlake.llm import ann_forest, embedding_dedup, mixing, ngram_join, packing, quality_crf, scratch, substring_dedup, toxicity_fm, url_filter
 from tests.llm import brute, recall
 
 VECTORS = "vec_id long, embedding array<float>, key long, node string"
@@ -95,6 +95,8 @@ def test_filter_urls(spark):
         (8, "net", "", None, "allow"), (9, "net", "/", "net/", "block"), (10, "net", "", None, "allow"), (10, "net", "", None, "allow"), (None, "q.org", "/fr", None, "allow"), (11, "", "", None, "allow"),
     ]
     assert got == sorted(map(str, want))
+    long = spark.createDataFrame([(1, "a://" + "x." * 200_000 + "net/", None, None)], pages.schema)
+    assert [r.rule for r in url_filter.filter_urls(long, rules.unionByName(rules.withColumn("verdict", F.lit("allow")))).collect()] == ["net/"]
     none = url_filter.filter_urls(pages, rules.limit(0)).collect()
     assert len(none) == len(URLS) and {(r.rule, r.verdict) for r in none} == {(None, "allow")}
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
@@ -162,6 +164,25 @@ def test_mix_sources(spark):
     assert mixing.mix_sources(doc_frame(spark, [])).count() == 0 and mixing.mixed_documents(doc_frame(spark, [])).count() == 0
 
 
+def test_helper_columns_give_way_to_those_of_the_input(spark):
+    rows, labels = labelled(4)
+    names = ["_score", "_spans", "_doc_id", "_text_key", "_words", "_own", "_k", "_copies", "_nth", "_Source"]
+    docs = doc_frame(spark, rows).select("doc_id", "text", "source", *[F.lit(c).alias(c) for c in names])
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for left in (quality_crf.keep_good(docs, table), substring_dedup.remove_repeats(docs), mixing.mixed_documents(docs), ngram_join.keep_one_per_group(docs)):
+        assert left.columns == docs.columns
+        assert [tuple(r) for r in left.select(*names).distinct().collect()] == [tuple(names)]
+
+
+def test_scopes_delete_their_tables(spark):
+    with scratch.scope(spark):
+        inner = scratch.stored(spark.range(3), "inner")
+        kept = scratch.written(inner.filter("id > 0"), "kept")
+    assert kept.count() == 2 and not inner.inputFiles()[0].startswith("x")
+    with pytest.raises(Exception):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+
+
 def test_flight_keeps_the_balance():
     rng = np.random.default_rng(5)
     pi, size = rng.random(400), rng.integers(1, 2000, 400).astype(float)
