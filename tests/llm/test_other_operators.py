@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -193,23 +193,24 @@ def test_flight_keeps_the_balance():
     assert set(landed.tolist()) <= {0.0, 1.0} and abs((landed * size).sum() - (pi * size).sum()) < 5
 
 
-def test_pack_documents(spark):
+def pieces_of(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, piece, start, length, crc32) of rows (doc_id, text, ...) by the JSON tokenizer."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    rng = random.Random(3)
-    texts = ["", None, "<|endoftext|> and more", "a" * 3000, "it's 12,3 déjà\u3000vu \n\n  x", "\U0001f600 ok"] + ["lorem ipsum dolor " * rng.randint(0, 900) for _ in range(60)]
-    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "x", "s"), (2, texts[2], "s")]
-    got = packing.pack_documents(doc_frame(spark, rows)).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = []
-    for d, t, _ in rows:
+    out = []
+    for d, t, *_ in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
-        want += [(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-    assert sorted(map(str, ((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got))) == sorted(map(str, want))
+        out += [(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    return out
+
+
+def assert_gapless(pieces) -> int:
+    """The number of sequences, all of whose pieces lie end to end within 1024 tokens."""
     bins = defaultdict(list)
-    for r in got:
+    for r in pieces:
         bins[r.sequence_id].append((r.offset, r.length))
     for b in bins.values():
         at = 0
@@ -217,22 +218,24 @@ def test_pack_documents(spark):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(bins) <= -(-sum(w[3] for w in want) // 1024) + 4
+    return len(bins)
+
+
+def test_pack_documents(spark):
+    rng = random.Random(3)
+    texts = ["", None, "<|endoftext|> and more", "a" * 3000, "it's 12,3 déjà\u3000vu \n\n  x", "\U0001f600 ok"] + ["lorem ipsum dolor " * rng.randint(0, 900) for _ in range(60)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "x", "s"), (2, texts[2], "s")]
+    got = packing.pack_documents(doc_frame(spark, rows)).collect()
+    want = pieces_of(rows)
+    assert sorted(map(str, ((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got))) == sorted(map(str, want))
+    assert assert_gapless(got) <= -(-sum(w[3] for w in want) // 1024) + 4
     assert packing.pack_documents(doc_frame(spark, [])).count() == 0
 
 
 def test_long_runs_of_whitespace_are_packed(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
     texts = [" " * 2_000_000, "ab " + "\n" * 1_500_000 + "<|endoftext|> cd", "x", "z" * 2_000_000, "\n" * 2_000_000]
     got = packing.pack_documents(doc_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = []
-    for d, t in enumerate(texts):
-        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
-        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
-        want += [(d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    want = pieces_of(list(enumerate(texts)))
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
 
 
@@ -358,3 +361,61 @@ def test_pipeline_stages(spark, tmp_path):
         n = docs.count()
     assert docs.filter("doc_id >= 6000").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept, with nulls, empty and very long texts, copies, edits, repeated passages and repeated rows."""
+    rng = random.Random(8)
+    rows, labels = labelled(6)
+    word = lambda n: " ".join(f"t{rng.randrange(4000)}" for _ in range(n))
+    passage = word(70)
+    rows += [(6000 + d, t, "copies") for d, t, s in rows[10:40]]
+    rows += [(7000 + i, f"{word(40)}\n{passage} {word(30)}.", rng.choice(["a", "b", None])) for i in range(12)]
+    edited = [(d, t.rsplit(" ", 1)[0] + " end.", s) for d, t, s in rows[-6:]]
+    rows += [(8000 + i, t, s) for i, (_, t, s) in enumerate(edited)] + [rows[5], rows[-1], (9000, word(60_000) + ".", "long"), (9001, passage, "a"), (None, passage + " more", "a")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, plain = spark.read.parquet(f"{tmp_path}/documents.parquet"), lambda df: sorted(((r.doc_id, r.text, r.source, r.n_chars) for r in df.collect()), key=str)
+    before, outs = plain(docs), []
+    for _, stage in corpus_pipeline.STAGES:
+        outs.append(stage(spark, docs, str(tmp_path)))
+        if len(outs) < len(corpus_pipeline.STAGES):
+            assert outs[-1].columns == docs.columns
+            docs = scratch.stored(outs[-1], "stage")
+            outs[-1] = docs
+    good, one, cut, mix = map(plain, outs[:4])
+
+    scored = quality_crf.classify(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    kept = Counter(r.doc_id for r in scored if r.predicted)
+    assert Counter(r[0] for r in good) == kept and set(good) <= set(before)
+    truth = {d: q for d, q, _ in labels}
+    right = [r[0] in kept for r in before if truth.get(r[0]) == 1], [r[0] not in kept for r in before if truth.get(r[0]) == 0]
+    assert all(np.mean(x) >= 0.9 for x in right)
+
+    stands = [c is None or d == c for d, _, c in brute.jaccard_components([r[:2] for r in good], 5, 80)]
+    assert one == [r for r, s in zip(good, stands, strict=True) if s] and len(one) < len(good)
+
+    want = []
+    for (d, t, s, n), hit in zip(one, brute.repeated([r[:2] for r in one], 50), strict=True):
+        left = " ".join(w.decode() for w, h in zip(brute.words(t), hit, strict=True) if not h) if any(hit) else t
+        if left or not any(hit):
+            want.append((d, left, s, None if left is None else len(left)))
+    assert cut == sorted(want, key=str) and sum(r[1] != o[1] for r, o in zip(cut, one, strict=False))
+
+    size = lambda r: len(brute.words(r[1]))
+    sums, taken, times = defaultdict(int), defaultdict(int), Counter(mix)
+    for r in cut:
+        sums[r[2]] += size(r)
+    target = water_fill(sums)
+    for r, n in Counter(cut).items():
+        ratio = target[r[2]] / sums[r[2]] if sums[r[2]] else 0
+        assert n * int(ratio + 1e-9) <= times[r] <= n * int(np.ceil(ratio - 1e-9)) and times[r] <= 2 * n
+        taken[r[2]] += times[r] * size(r)
+    assert set(mix) <= set(cut)
+    assert all(abs(taken[s] - target[s]) <= max(size(r) for r in cut if r[2] == s) for s in sums)
+
+    pieces = outs[4].collect()
+    assert sorted(map(str, ((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces))) == sorted(map(str, pieces_of(mix)))
+    assert_gapless(pieces)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
