@@ -11,8 +11,8 @@ is as many tasks as its size asks for.
 
 Defined cases: a null text has size 0; a null source is a source, the last one;
 a source without words has target 0 and takes nothing; rows that repeat a doc_id
-are documents of their own; an empty table gives an empty result; other columns of
-the input are kept if their names don't clash with the result's.
+are documents of their own; an empty table gives an empty result; ``mixed_documents``
+carries all columns of the input, ``mix_sources`` has its own.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ TOTAL_SHARE = 1.5
 MAX_RATIO = 2.0
 BLOCK_ROWS = 512
 TRADES = 4
+DEFAULTS = {"weights": WEIGHTS, "share": TOTAL_SHARE, "cap": MAX_RATIO, "seed": 1}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -168,16 +169,15 @@ def cube_sample(rows: DataFrame, seed: int = 1) -> DataFrame:
     return done
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: row (its number here), doc_id, source, size."""
-    named = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return stored(named.withColumn("row", F.monotonically_increasing_id()), "sizes")
+def sized(rows: DataFrame, row: str) -> DataFrame:
+    """One narrow row per document: row (its number, in the column ``row``), doc_id, source, size."""
+    return stored(rows.select(F.col(row).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = MAX_RATIO, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
-    sizes = sized(docs)
-    return _mix(sizes, weights, share, cap, seed).drop("row")
+    rows = docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    return _mix(sized(rows, "row"), weights, share, cap, seed).drop("row")
 
 
 def _mix(sizes: DataFrame, weights, share, cap, seed) -> DataFrame:
@@ -196,19 +196,15 @@ def _mix(sizes: DataFrame, weights, share, cap, seed) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents of the mix, each repeated as often as it is taken, with all their columns.
+    """The documents of the mix, each row repeated as often as it is taken, with all its columns.
 
-    Rows that agree in doc_id, source and size share out the copies of such rows, one entry each.
+    Rows are numbered in a stored table, so that equal rows stay apart and texts are shuffled once, by row.
     """
-    doc, source, size, copies, nth, words, own, k = free_names(docs.columns, *"_doc_id _source _size _copies _nth _words _own _k".split())
-    mix = mix_sources(docs, **parameters).select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
-    taken = mix.withColumn(nth, F.row_number().over(Window.partitionBy(doc, source, size).orderBy(copies)))
-    same_rows = Window.partitionBy("doc_id", "source", words).orderBy("doc_id")
-    keyed = docs.withColumn(words, n_words(F.col("text"))).withColumn(own, F.row_number().over(same_rows))
-    c = F.col
-    same = c("doc_id").eqNullSafe(c(doc)) & c("source").eqNullSafe(c(source)) & (c(words) == c(size)) & (c(own) == c(nth))
-    each = keyed.join(taken, same).filter(c(copies) > 0)
-    return each.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), c(copies)))).select(*docs.columns)
+    row, copies, k = free_names(docs.columns, "_row", "_copies", "_k")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    taken = _mix(sized(rows, row), **{**DEFAULTS, **parameters}).filter("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    each = rows.join(taken, row)
+    return each.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
