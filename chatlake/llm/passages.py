@@ -8,15 +8,17 @@ equal keys wherever they stand. Consecutive windows with one key form a piece, a
 20 windows of text. Then
 
 1. keys seen in one document only are dropped (an aggregation with partial sums);
-2. pieces with equal text are one text; its first document is the owner, every
-   other holder is repeated as a whole (aggregation, then a join on plain tables);
-3. texts that share a key but differ are compared word by word, a key at a time, by
-   the operator's own engine: suffix automata or sparse suffix arrays;
+2. pieces with equal text are one text (an aggregation), which stands for its first holder,
+   the owner, and, where later documents hold it too, a second time for all of those;
+3. the texts of a key, both times, are compared word by word, a key at a time, by
+   the operator's own engine: suffix automata or sparse suffix arrays; what it finds
+   for a text goes to the text's holders by a join;
 4. a key with over ``max_texts`` texts (a frequent short phrase in many contexts) is
-   split into its windows, which meet by the digest of all their words.
+   split into its windows, which meet by the digest of all their words; there, later
+   holders of a text repeat it as a whole.
 
 Keys are hashes and only bring texts together. The engines get the words' bytes, numbered
-within the task; equal pieces and windows are told by BLAKE2 digests of their bytes.
+within the task; equal texts, and windows of hot keys, are told by BLAKE2 digests of their bytes.
 
 Step 4 is what bounds a group: nothing is dropped, and no list of a hot key's
 holders is ever gathered in one task.
@@ -100,11 +102,11 @@ def candidate_pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return stored(every.join(stored(shared, "keys"), "key"), "candidates")
 
 
-CUT = "key long, content binary, owner long, words binary, start int, hash binary"
+CUT = "key long, content binary, owner long, last long, words binary, start int, hash binary"
 
 
-def _cut(window: int, max_texts: int):
-    """Cut the wanted pieces out of the texts: a piece's words, or, where its key has over ``max_texts`` texts, the digest of each window."""
+def _cut(window: int):
+    """Cut the wanted pieces out of the texts: a piece's words, or, where its key is hot, the digest of each window."""
     names = [c.split()[0] for c in CUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def _cut(window: int, max_texts: int):
                 row = np.repeat(np.arange(w.rows), np.asarray(own.value_lengths()))
                 at = w.first[row] + np.asarray(flat.field("start"))
                 windows = np.asarray(flat.field("windows")).astype(np.int64)
-                hot = np.asarray(flat.field("n_texts")) > max_texts
+                hot = np.asarray(flat.field("hot"))
                 body, place, _ = T.joined(w)
                 size = w.ends - w.starts
                 for some in (np.flatnonzero(~hot), np.flatnonzero(hot)):
@@ -135,7 +137,7 @@ def _cut(window: int, max_texts: int):
                         texts = [view[a:b] for a, b in zip(place[first].tolist(), (place[last] + size[last]).tolist(), strict=True)]
                         cells = [pa.array(texts, pa.binary()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())]
                     pick = pa.array(some)
-                    yield pa.RecordBatch.from_arrays([flat.field("key").take(pick), flat.field("content").take(pick), ids.take(pa.array(row[some] + w.row0)), *cells], names)
+                    yield pa.RecordBatch.from_arrays([flat.field("key").take(pick), flat.field("content").take(pick), ids.take(pa.array(row[some] + w.row0)), flat.field("last").take(pick), *cells], names)
 
     return run
 
@@ -154,7 +156,7 @@ def numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _compare(engine: Engine, chunk_words: int):
-    """Run the engine over whole keys, as many at a time as a chunk holds."""
+    """Run the engine over whole keys, as many at a time as a chunk holds; a text with later holders takes part for the last of them too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -163,11 +165,19 @@ def _compare(engine: Engine, chunk_words: int):
             t = t.combine_chunks()
             key, owner = np.asarray(t["key"]), np.asarray(t["owner"])
             lengths, numbers, hashes = numbered(t["words"].combine_chunks())
-            hit, start, windows, other = engine(lengths, owner, key, numbers, hashes)
-            pick = pa.array(hit)
+            again = np.flatnonzero(np.asarray(t["last"].is_valid()))
+            of = np.concatenate([np.arange(len(key)), again])
+            who = np.concatenate([owner, np.asarray(t["last"].take(pa.array(again)))])
+            copy = np.arange(len(of)) >= len(key)
+            order = np.lexsort((copy, who, key[of]))
+            of, who, copy = of[order], who[order], copy[order]
+            n = lengths[of]
+            word = np.arange(n.sum()) + np.repeat((np.cumsum(lengths) - lengths)[of] - (np.cumsum(n) - n), n)
+            hit, start, windows, other = engine(n, who, key[of], numbers[word], hashes[word])
+            pick = pa.array(of[hit])
             return pa.RecordBatch.from_arrays(
-                [t["key"].take(pick).combine_chunks(), t["content"].take(pick).combine_chunks(), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(other)],
-                ["key", "content", "start", "windows", "other"],
+                [t["key"].take(pick).combine_chunks(), t["content"].take(pick).combine_chunks(), pa.array(copy[hit]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(other)],
+                ["key", "content", "copy", "start", "windows", "other"],
             )
 
         for b in batches:
@@ -194,27 +204,28 @@ def repeated_spans(docs: DataFrame, engine: Engine, window: int = WINDOW, gram:
     text as for its first holder, the windows that still smaller documents have.
     """
     cand = candidate_pieces(docs, window, gram)
-    texts = stored(
-        cand.groupBy("key", "content").agg(F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("first")).select("key", "content", "first.*"), "texts"
-    )
-    kinds = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1"), "kinds")
-    differ = stored(texts.join(kinds, "key"), "differ")
+    least = F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("first")
+    firsts = cand.groupBy("key", "content").agg(least, F.max("doc_id").alias("last"))
+    texts = stored(firsts.select("key", "content", "first.*", F.when(F.col("last") > F.col("first.doc_id"), F.col("last")).alias("last")), "texts")
+    hot_keys = stored(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_texts).select("key", F.lit(True).alias("hot")), "hot")
+    texts = texts.join(hot_keys, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
-    wants = differ.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "content", "start", "windows", "n_texts")).alias("wants"))
+    wants = texts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "content", "start", "windows", "last", "hot")).alias("wants"))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    cut = stored(rows.join(wants, ["doc_id", "text_key"]).mapInArrow(_cut(window, max_texts), CUT), "cut")
-    words = cut.filter("words is not null").select("key", "content", "owner", "words")
+    cut = stored(rows.join(wants, ["doc_id", "text_key"]).mapInArrow(_cut(window), CUT), "cut")
+    words = cut.filter("words is not null").select("key", "content", "owner", "last", "words")
     dealt = words.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "owner", "content")
-    compared = dealt.mapInArrow(_compare(engine, chunk_words), "key long, content binary, start int, windows int, other long")
+    compared = dealt.mapInArrow(_compare(engine, chunk_words), "key long, content binary, copy boolean, start int, windows int, other long")
     hashes = cut.filter("words is null").select("key", "content", "owner", "start", "hash")
     least = stored(hashes.groupBy("hash").agg(F.min("owner").alias("other"), F.max("owner").alias("last")).filter("other < last").drop("last"), "owners")
-    met = hashes.join(least, "hash").filter("other < owner")
-    found = compared.unionByName(met.select("key", "content", "start", F.lit(1).alias("windows"), "other"))
-    found = stored(found, "found").withColumnsRenamed({"start": "at", "windows": "n"})
-    held = cand.join(texts.select("key", "content", F.col("doc_id").alias("owner")), ["key", "content"])
-    copies = held.filter("doc_id > owner").select("doc_id", "text_key", "start", "windows", F.col("owner").alias("other"))
-    owned = (held if least_other else held.filter("doc_id = owner")).join(found, ["key", "content"]).select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("windows"), "other")
-    return copies.unionByName(owned)
+    whose = F.explode(F.array(F.lit(False), F.lit(True))) if least_other else F.lit(False)
+    met = hashes.join(least, "hash").filter("other < owner").select("key", "content", whose.alias("copy"), "start", F.lit(1).alias("windows"), "other")
+    found = stored(compared.unionByName(met), "found").withColumnsRenamed({"start": "at", "windows": "n"})
+    owners = texts.select("key", "content", F.col("doc_id").alias("owner"), "hot")
+    held = cand.join(owners, ["key", "content"]).withColumn("copy", F.col("doc_id") > F.col("owner"))
+    copies = held.filter("hot and copy").select("doc_id", "text_key", "start", "windows", F.col("owner").alias("other"))
+    by_engine = held.join(found, ["key", "content", "copy"]).select("doc_id", "text_key", (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("windows"), "other")
+    return copies.unionByName(by_engine)
 
 
 def cover(counts: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
