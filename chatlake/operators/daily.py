@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.operators import incremental, jobs, render
+from chatlake.sources import chat_files
 
 #: Formats that new lines are appended to; the others are written anew.
 APPENDED = ("txt", "csv", "md")
@@ -48,34 +49,49 @@ def rendered_count(lines: DataFrame, fmt: str) -> DataFrame:
 def export_all(messages: DataFrame, fmt: str, out: str, run: str, since: int | None = None, until: int | None = None, only: Sequence | None = None) -> DataFrame:
     """Export all chats, or ``only`` some, under ``out/fmt``, and return (chat, n) of new messages.
 
-    Appended formats get a part ``run`` with the rows that the stored state doesn't have, and a new state; the others
-    are written anew for the chats whose digest has changed. The state is a table beside the files, written with
-    them and keyed by run, so that a run repeated after a failure replaces its own part.
+    Appended formats get a run with the rows that the committed runs don't have: header, byte-order mark and a day's
+    heading stand once, whatever the number of runs. The others are written anew for the chats whose fingerprint has changed,
+    and the older runs' documents of those go once the run is committed. A run repeated after a failure replaces its own
+    part; one that fails leaves what was there (``sources.chat_files``).
     """
     spark = messages.sparkSession
     rows = jobs.exported(messages, since, until)
     rows = rows if only is None else rows.filter(F.col("chat").isin(*only))
-    state_path = f"{out}/_state/{fmt}"
-    before = _states(spark, state_path, run)
+    path, kind = f"{out}/{fmt}", messages.schema["chat"].dataType
+    before = chat_files.tails(spark, path, without=run)
+    before = None if before is None else before.withColumn("chat", F.col("chat").cast(kind))
     if fmt in APPENDED:
-        state = None if before is None else before.groupBy("chat").agg(F.max(F.struct("last_ts", "n_last")).alias("s")).select("chat", "s.*")
+        state = None if before is None else chat_files.ends(before)
         new = rows if state is None else incremental.select_new(rows, state)
-        render.export_messages(new, fmt, f"{out}/{fmt}/run={run}")
-        ends = incremental.tail_state(new)
-        if state is not None:
-            # Rows added at a time that was the last one already count on from there.
-            old = state.select("chat", F.col("last_ts").alias("o_ts"), F.col("n_last").alias("o_n"))
-            ends = ends.join(old, "chat", "left").select("chat", "last_ts", (F.col("n_last") + F.when(F.col("last_ts") == F.col("o_ts"), F.col("o_n")).otherwise(0)).alias("n_last"))
-        ends.write.mode("overwrite").parquet(f"{state_path}/run={run}")
-        return new.groupBy("chat").agg(F.count(F.lit(1)).alias("n"))
-    now = render.documents(rows, fmt)
-    known = None if before is None else before.groupBy("chat").agg(F.max_by(F.struct("digest", "n"), "at").alias("s")).select("chat", "s.*")
-    changed = now if known is None else jobs.changed_documents(now, known)
-    again = rows.join(changed.select("chat"), "chat", "left_semi")
-    render.export_messages(again, fmt, f"{out}/{fmt}/run={run}")
-    changed.withColumn("at", F.lit(run)).write.mode("overwrite").parquet(f"{state_path}/run={run}")
-    old = changed.select("chat").withColumn("_n", F.lit(0)) if known is None else known.select("chat", F.col("n").alias("_n"))
-    return changed.join(old, "chat", "left").select("chat", F.greatest(F.col("n") - F.coalesce("_n", F.lit(0)), F.lit(0)).alias("n"))
+        chat_files.write_run(render.document_rows(new, fmt, state), path, run)
+        written = chat_files.tails(spark, path).filter(F.col("run") == run)
+        return written.groupBy(F.col("chat").cast(kind).alias("chat")).agg(F.sum("n").alias("n")).filter("n > 0")
+    state_path = f"{out}/_state/{fmt}"
+    now = render.fingerprints(rows, fmt)
+    states = _states(spark, state_path, run)
+    known = None if states is None else states.groupBy("chat").agg(F.max_by(F.struct("digest", "n"), "at").alias("s")).select("chat", "s.*")
+    changed = (now if known is None else jobs.changed_documents(now, known)).persist()  # written and counted from one reading
+    try:
+        again = rows.join(changed.select("chat"), "chat", "left_semi")
+        chat_files.write_run(render.document_rows(again, fmt), path, run)
+        changed.withColumn("at", F.lit(run)).write.mode("overwrite").parquet(f"{state_path}/run={run}")
+        chat_files.forget_older(spark, path, run)
+    finally:
+        changed.unpersist()
+    done = spark.read.parquet(f"{state_path}/run={run}")
+    old = done.select("chat").withColumn("_n", F.lit(0)) if known is None else known.select("chat", F.col("n").alias("_n"))
+    return done.join(old, "chat", "left").select("chat", F.greatest(F.col("n") - F.coalesce("_n", F.lit(0)), F.lit(0)).alias("n"))
+
+
+def publish_all(spark: SparkSession, fmt: str, out: str, names: DataFrame, folder: str) -> DataFrame:
+    """(chat, file, status): one file a chat in ``folder``, named by ``names`` (chat, file), replaced only where its bytes change.
+
+    A Markdown file ends with a note of its state, made of the same commits as its lines.
+    """
+    path, end = f"{out}/{fmt}", None
+    if fmt == "md" and (held := chat_files.tails(spark, path)) is not None:
+        end = chat_files.ends(held).select("chat", F.concat(state_note(F.col("last_ts"), F.col("n_last")), F.lit("\n")).alias("end"))
+    return chat_files.publish(spark, path, names, folder, newest=fmt not in APPENDED, end=end)
 
 
 def _states(spark: SparkSession, path: str, run: str) -> DataFrame | None:

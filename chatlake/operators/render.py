@@ -41,8 +41,11 @@ def html_line(ts: Column, sender: Column, text: Column, is_self: Column, new_day
     return bubble if system is None else F.when(system, F.concat(day, F.lit('<div class="sys">'), escape_html(text), F.lit("</div>"))).otherwise(bubble)
 
 
-def rendered(messages: DataFrame, fmt: str) -> DataFrame:
-    """``messages`` (chat, ts, dbr, local_id, sender, is_self, kind, text) with ``line`` in a text format."""
+def rendered(messages: DataFrame, fmt: str, begun: DataFrame | None = None) -> DataFrame:
+    """``messages`` (chat, ts, dbr, local_id, sender, is_self, kind, text) with ``line`` in a text format.
+
+    ``begun`` (chat, last_ts) are documents that go on: a day they end in has its heading already.
+    """
     c = F.col
     line = {
         "txt": txt_line(c("ts"), c("sender"), c("text")),
@@ -55,11 +58,31 @@ def rendered(messages: DataFrame, fmt: str) -> DataFrame:
         raise ValueError(f"{fmt} is none of {', '.join(FORMATS)}")
     if fmt in ("md", "html"):
         begins = first_of_day(messages).select("chat", *ORDER, F.lit(True).alias("_new"))
+        if begun is not None:
+            day = lambda ts: F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd")
+            held = begun.select("chat", day(c("last_ts")).alias("_day"))
+            begins = begins.join(held, (begins["chat"] == held["chat"]) & (day(c("ts")) == c("_day")), "left_anti")
         messages = messages.join(begins, ["chat", *ORDER], "left").withColumn("_new", F.coalesce("_new", F.lit(False)))
     rows = messages
     return rows.withColumn("line", line[fmt]).drop("_new")
 
 
+def document_rows(messages: DataFrame, fmt: str, begun: DataFrame | None = None) -> DataFrame:
+    """(chat, ts, line) in order for ``chat_files``: dealt by ranges of (chat, order), so a large chat is the work of several tasks.
+
+    A CSV begins with a byte-order mark and its header, unless it goes on.
+    """
+    rows = rendered(messages, fmt, begun).select("chat", *ORDER, F.col("ts").alias("_at"), "line")
+    if fmt == "csv":
+        kind = {f.name: f.dataType for f in rows.schema.fields}
+        chats = rows.select("chat").distinct()
+        chats = chats if begun is None else chats.join(begun.select("chat"), "chat", "left_anti")
+        least = {c: F.lit(-(2**31)).cast(kind[c]).alias(c) for c in ORDER}
+        head = chats.select("chat", *least.values(), F.lit(None).cast(kind["ts"]).alias("_at"), F.lit("\ufeff" + ",".join(CSV_COLUMNS)).alias("line"))
+        rows = head.unionByName(rows)
+    return rows.repartitionByRange("chat", *ORDER).sortWithinPartitions("chat", *ORDER).select("chat", F.col("_at").alias("ts"), "line")
+
+
 def with_bundles(messages: DataFrame, items: DataFrame) -> DataFrame:
     """``messages`` with the items (chat, db, local_id, path, depth, sender, text) of a forwarded bundle, two blanks a level deep, under its text."""
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.when(F.coalesce("sender", F.lit("")) != "", F.concat("sender", F.lit(": "))).otherwise(""), F.col("text"))
@@ -134,3 +157,14 @@ def documents(messages: DataFrame, fmt: str) -> DataFrame:
     lines = rendered(messages, fmt).select("chat", *ORDER, "line").repartition("chat").sortWithinPartitions("chat", *ORDER, "line")
     schema = StructType([StructField("chat", messages.schema["chat"].dataType), StructField("n", LongType(), False), StructField("digest", StringType())])
     return lines.select("chat", "line").mapInArrow(_digests, schema)
+
+
+def fingerprints(messages: DataFrame, fmt: str) -> DataFrame:
+    """(chat, n, digest) to tell which documents changed: sums of hashes of each line with its place in the order.
+
+    Sums don't depend on the order of adding, so tasks add up their own rows first and no chat is one task's work.
+    """
+    place = F.to_json(F.struct(*ORDER))
+    h = [F.xxhash64(F.lit(seed), place, F.coalesce("line", F.lit(""))) for seed in (1, 2)]
+    halves = [F.sum(part) for x in h for part in (F.shiftright(x, 32), x.bitwiseAND(0xFFFFFFFF))]
+    return rendered(messages, fmt).groupBy("chat").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", *[s.cast("string") for s in halves]).alias("digest"))
