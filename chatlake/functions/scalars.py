@@ -214,3 +214,23 @@ def parse_time(c: Column, now: Column, end: bool = False) -> Column:
         .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), day + F.lit(86399 if end else 0))
         .otherwise(F.unix_seconds(F.try_to_timestamp(F.replace(s, F.lit("T"), F.lit(" ")))))
     )
+
+
+# The named entities of XML.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def unescape_entities(s: Column) -> Column:
+    """``s`` with named and numeric entities undone, each once: what an undone one spells stays as it is."""
+    parts = F.regexp_extract_all(F.concat(s, F.lit("&;")), F.lit(r"(?s)(.*?)(&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|amp|);)"), 1)
+    marks = F.regexp_extract_all(F.concat(s, F.lit("&;")), F.lit(r"(?s)(.*?)&((?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|amp|));"), 2)
+
+    def undone(m: Column) -> Column:
+        code = F.when(F.lower(m).startswith("#x"), F.conv(F.substring(m, 3, 6), 16, 10)).when(m.startswith("#"), F.substring(m, 2, 7)).cast("long")
+        # A code point as UTF-32, which Java reads; what is none stays.
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.create_map(*[x for k, v in ENTITIES.items() for x in (F.lit(k), F.lit(v))])
+        known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(m == "", "").when(known, char).otherwise(F.coalesce(F.try_element_at(named, m), F.concat(F.lit("&"), m, F.lit(";"))))
+
+    return F.array_join(F.zip_with(parts, F.transform(marks, undone), lambda p, m: F.concat(p, m)), "")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.functions.scalars import voice_stem
 from chatlake.operators.media import format_of
 
 KEY = ("chat", "db", "local_id")
@@ -54,8 +55,11 @@ def existing_by_stem(wanted: DataFrame, files: DataFrame, extensions: Sequence[s
     return there.withColumn("_nth", F.row_number().over(Window.partitionBy("stem").orderBy(place, "path"))).filter("_nth = 1").select("stem", "path")
 
 
-def with_media(records: DataFrame, images: DataFrame | None = None, videos: DataFrame | None = None, audio: DataFrame | None = None, stickers: DataFrame | None = None) -> DataFrame:
-    """``records`` with image_path, video_path, poster_path, audio_path and sticker_path from what the locators found, by (chat, db, local_id) and a sticker's md5."""
+def with_media(records: DataFrame, images: DataFrame | None = None, videos: DataFrame | None = None, audio: DataFrame | None = None, stickers: DataFrame | None = None, voices: DataFrame | None = None) -> DataFrame:
+    """``records`` with image_path, video_path, poster_path, audio_path, voice and sticker_path from what the locators found, by (chat, db, local_id) and a sticker's md5.
+
+    ``voices`` are blobs as ``media.locate_voices`` gives them; a record has its own as ``voice`` and the name of a file for it as ``voice_stem``.
+    """
     out = records
     if images is not None:
         out = out.join(images.select(*KEY, F.col("path").alias("image_path")), list(KEY), "left")
@@ -63,6 +67,8 @@ def with_media(records: DataFrame, images: DataFrame | None = None, videos: Data
         out = out.join(videos.select(*KEY, F.col("video").alias("video_path"), F.col("poster").alias("poster_path")), list(KEY), "left")
     if audio is not None:
         out = out.join(audio.select(*KEY, F.col("path").alias("audio_path")), list(KEY), "left")
+    if voices is not None:
+        out = out.join(voices.select(*KEY, "voice"), list(KEY), "left").withColumn("voice_stem", F.when(F.col("voice").isNotNull(), voice_stem(F.col("server_id"), F.col("ts"), F.col("local_id"))))
     if stickers is not None:
         out = out.join(stickers.select("md5", F.col("path").alias("sticker_path")), "md5", "left")
     return out

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from chatlake.functions.decoders import decode_blob
 from chatlake.functions.scalars import first_filled, to_double, to_long
 from chatlake.operators.enrich import lookup
 from chatlake.operators.feed import clean_xml
@@ -23,7 +25,9 @@ BOOKMARK = f"""favitem STRUCT<_type: STRING, title: STRING, desc: STRING, source
 
 
 def parse_bookmarks(raw: DataFrame) -> DataFrame:
-    """Bookmarks of rows (local_id, type, update_time, content); ``kind`` is null where the XML can't be parsed."""
+    """Bookmarks of rows (local_id, type, update_time, content); ``kind`` is null where the XML can't be parsed. Content in bytes, compressed or not, is decoded first."""
+    if isinstance(raw.schema["content"].dataType, BinaryType):
+        raw = raw.withColumn("content", decode_blob(F.col("content")))
     x = F.from_xml(F.concat(F.lit("<_r>"), clean_xml(F.col("content")), F.lit("</_r>")), BOOKMARK)["favitem"]
     rows = raw.withColumn("_x", F.explode(F.array(x)))  # parsed once, whatever filters follow
     r = F.col("_x")

@@ -126,8 +126,10 @@ def with_display(messages: DataFrame, contacts: DataFrame, nicknames: DataFrame,
     Oneself, then the system for an empty name, in a group the nickname there, the contact's
     name, the username; an unknown id as such. ``contacts`` has username, display; ``nicknames`` chat, username, nick.
     """
-    c = contacts.select(F.col("username").alias("sender_user"), "display")
-    n = nicknames.filter(F.coalesce("nick", F.lit("")) != "").select("chat", F.col("username").alias("sender_user"), "nick")
+    # A username that is there twice, as a contact and a stranger say, must not double its messages; ``source`` tells which stands.
+    place = F.when(F.col("source") == "contact", 0).otherwise(1) if "source" in contacts.columns else F.lit(0)
+    c = contacts.groupBy(F.col("username").alias("sender_user")).agg(F.min(F.struct(place.alias("p"), F.col("display").alias("display")))["display"].alias("display"))
+    n = nicknames.filter(F.coalesce("nick", F.lit("")) != "").groupBy("chat", F.col("username").alias("sender_user")).agg(F.min("nick").alias("nick"))
     rows = messages.join(c, "sender_user", "left").join(n, ["chat", "sender_user"], "left")
     user = F.col("sender_user")
     unknown = F.concat(F.lit("未知("), F.col("real_sender_id").cast("string"), F.lit(")"))

@@ -88,10 +88,19 @@ def publish_all(spark: SparkSession, fmt: str, out: str, names: DataFrame, folde
 
     A Markdown file ends with a note of its state, made of the same commits as its lines.
     """
-    path, end = f"{out}/{fmt}", None
-    if fmt == "md" and (held := chat_files.tails(spark, path)) is not None:
-        end = chat_files.ends(held).select("chat", F.concat(state_note(F.col("last_ts"), F.col("n_last")), F.lit("\n")).alias("end"))
-    return chat_files.publish(spark, path, names, folder, newest=fmt not in APPENDED, end=end)
+    return chat_files.publish(spark, f"{out}/{fmt}", names, folder, newest=fmt not in APPENDED, end=_notes(spark, fmt, out))
+
+
+def exported_digests(spark: SparkSession, fmt: str, out: str) -> DataFrame:
+    """(chat, size, sha256) of every chat's exported document, a Markdown one with its note."""
+    held = chat_files.tails(spark, f"{out}/{fmt}")
+    return chat_files.document_digests(spark, f"{out}/{fmt}", held.select("chat").distinct(), newest=fmt not in APPENDED, end=_notes(spark, fmt, out))
+
+
+def _notes(spark: SparkSession, fmt: str, out: str) -> DataFrame | None:
+    """(chat, end): what stands behind each document."""
+    held = chat_files.tails(spark, f"{out}/{fmt}") if fmt == "md" else None
+    return None if held is None else chat_files.ends(held).select("chat", F.concat(state_note(F.col("last_ts"), F.col("n_last")), F.lit("\n")).alias("end"))
 
 
 def _states(spark: SparkSession, path: str, run: str) -> DataFrame | None:

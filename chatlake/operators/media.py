@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.functions.scalars import cache_key
+from chatlake.functions.scalars import cache_key, unescape_entities
 
+#: What a message is known by; numbers repeat across shards.
+KEY = ("chat", "db", "local_id")
 #: Image variants, best first: high resolution, plain, thumbnail.
 VARIANTS = ["_h", "", "_t"]
 #: Variants of cached feed media. Fixed values.
@@ -19,16 +23,17 @@ def md5_in(binary: Column) -> Column:
 
 
 def locate_images(messages: DataFrame, files: DataFrame) -> DataFrame:
-    """(chat, local_id, path) of the best file of each image message.
+    """(chat, db, local_id, path) of the best file of each image message.
 
-    ``messages`` has chat, local_id, ts, md5; ``files`` chat, md5, month, variant, path. Files of the
+    ``messages`` has chat, db, local_id, ts, md5, without db where there is one shard; ``files`` chat, md5, month, variant, path. Files of the
     message's month or of a day next to it come first, by variant, then those of any month.
     """
     months = F.array(*[F.date_format(F.timestamp_seconds(F.col("ts") + d * 86400), "yyyy-MM") for d in (-1, 0, 1)])
     both = messages.withColumn("_months", months).join(files, ["chat", "md5"])
     order = [F.when(F.array_contains("_months", F.col("month")), 0).otherwise(1), F.array_position(F.array(*map(F.lit, VARIANTS)), F.col("variant")), F.col("month").desc(), F.col("path")]
-    nth = F.row_number().over(Window.partitionBy("chat", "local_id").orderBy(*order))
-    return both.withColumn("_nth", nth).filter("_nth = 1").select("chat", "local_id", "path")
+    key = [k for k in KEY if k in messages.columns]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return both.withColumn("_nth", nth).filter("_nth = 1").select(*key, "path")
 
 
 def newest_copies(files: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def locate_feed_media(media: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def locate_voices(messages: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(chat, local_id, voice): the blob of each voice message by (chat, server_id), else by (chat, ts, local_id).
+    """(chat, db, local_id, voice): the blob of each voice message by (chat, server_id), else by (chat, ts, local_id).
 
     Of several stores the one with the least number wins; its chunks are joined by index,
     an index that is no number counting as 0.
@@ -58,14 +63,14 @@ def locate_voices(messages: DataFrame, blobs: DataFrame) -> DataFrame:
     by_server = whole.filter("server_id <> 0").groupBy("chat", "server_id").agg(F.min_by("voice", "store").alias("by_server"))
     by_time = whole.groupBy("chat", "ts", "local_id").agg(F.min_by("voice", "store").alias("by_time"))
     both = messages.join(by_server, ["chat", "server_id"], "left").join(by_time, ["chat", "ts", "local_id"], "left")
-    return both.select("chat", "local_id", F.coalesce("by_server", "by_time").alias("voice"))
+    return both.select(*[k for k in KEY if k in messages.columns], F.coalesce("by_server", "by_time").alias("voice"))
 
 
 def sticker_info(content: Column) -> Column:
     """The attributes of a sticker message as a map, entities undone; a name may have hyphens and colons."""
     pair = F.lit(r'([\w:.-]+)\s*=\s*"([^"]*)"')
     names, values = F.regexp_extract_all(content, pair, 1), F.regexp_extract_all(content, pair, 2)
-    plain = F.transform(values, lambda v: F.replace(F.replace(F.replace(F.replace(v, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")))
+    plain = F.transform(values, unescape_entities)
     first = F.transform(F.array_distinct(names), lambda n: F.element_at(plain, F.array_position(names, n).cast("int")))
     return F.map_from_arrays(F.array_distinct(names), first)
 
@@ -92,6 +97,12 @@ def sticker_status(stickers: DataFrame, cached: DataFrame, local: DataFrame, att
     return s.select("md5", status.alias("status"))
 
 
+def distinct_stickers(messages: DataFrame, order: Sequence[str] = ("ts", "dbr", "local_id")) -> DataFrame:
+    """(md5, cdn_url, thumb_url, n) of each sticker: what its last message in ``order`` says, and how many messages it has; what has no md5 is left out."""
+    last = F.max_by(F.struct("cdn_url", "thumb_url"), F.struct(*order))
+    return messages.filter("md5 is not null").groupBy("md5").agg(last.alias("_last"), F.count(F.lit(1)).alias("n")).select("md5", "_last.*", "n")
+
+
 def coverage(messages: DataFrame) -> DataFrame:
     """(messages, stickers, with_url, with_thumb) of sticker messages (md5, cdn_url, thumb_url)."""
     per = messages.groupBy("md5").agg(F.max(F.coalesce("cdn_url", F.lit("")) != "").alias("u"), F.max(F.coalesce("thumb_url", F.lit("")) != "").alias("t"), F.count(F.lit(1)).alias("n"))

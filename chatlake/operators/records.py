@@ -15,16 +15,16 @@ NAMED = r'(?i)(?:username|usr)(?:>\s*(?:<!\[CDATA\[)?|\s*=\s*")\s*([A-Za-z0-9_\-
 
 
 def media_seconds(content: Column, kind: Column) -> Column:
-    """Seconds of a voice (``voicelength`` in thousandths) or video (``playlength``) message, null without a positive number."""
+    """Whole seconds, one at least, of a voice (``voicelength`` in thousandths) or video (``playlength``) message; null without a positive number."""
     of = lambda name: F.regexp_extract(content, rf'{name}\s*=\s*"\s*(\d+(?:\.\d+)?)\s*"', 1).try_cast("double")
     s = F.when(kind == "voice", of("voicelength") / 1000).when(kind == "video", of("playlength"))
-    return F.when(s > 0, F.bround(s, 1))
+    return F.when(s > 0, F.greatest(F.lit(1), F.floor(s + 0.5)).cast("long"))
 
 
 def local_names(messages: DataFrame, names: DataFrame, content: Column) -> DataFrame:
     """``messages`` with ``_names``, a map of the usernames in its own XML to the names (username, display) they have: a join, whatever the number of people."""
     found = messages.select(*KEY, F.explode(F.array_distinct(F.regexp_extract_all(content, F.lit(NAMED), 1))).alias("username"))
-    known = found.join(names.select("username", "display").dropDuplicates(["username"]), "username")
+    known = found.join(names.groupBy("username").agg(F.min_by("display", "place").alias("display") if "place" in names.columns else F.min("display").alias("display")), "username")
     # One message's names: at most what one message mentions.
     own = known.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("username", "display"))).alias("_names"))
     return messages.join(own, list(KEY), "left").withColumn("_names", F.coalesce("_names", F.create_map().cast("map<string,string>")))
@@ -48,7 +48,8 @@ def message_records(raw: DataFrame, dictionary: DataFrame, contacts: DataFrame,
     low = F.col("local_type").bitwiseAND(F.lit(4294967295))
     still = F.coalesce("_named", F.lit("")) == ""
     rows = rows.withColumn("sender_user", F.when(group & still & (low != 10000), F.coalesce(enrich.sender_in_xml(F.col("content")), F.col("_named"))).otherwise(F.col("_named"))).drop("_named")
-    shown = contacts.select("username", "display").unionByName(raw.sparkSession.createDataFrame([(own, "我")], "username string, display string"))
+    # Oneself is 我, whatever one's own contact says.
+    shown = contacts.select("username", "display", F.lit(1).alias("place")).unionByName(raw.sparkSession.createDataFrame([(own, "我", 0)], "username string, display string, place int"))
     rows = chats.with_display(local_names(rows, shown, F.col("content")), contacts, nicknames, own)
     done = enrich.enrich_messages(rows, prefixed=False)
     out = done.withColumns(

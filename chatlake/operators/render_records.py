@@ -59,7 +59,7 @@ def compact(messages: DataFrame) -> DataFrame:
     order = ("ts", "dbr", "local_id")
     day = F.substring(clock(F.col("ts")), 1, 10)
     new = F.coalesce(day != F.lag(day).over(Window.partitionBy("chat").orderBy(*order)), F.lit(True))
-    mark = F.when(F.col("kind").isin("image", "voice", "video", "emoji", "file"), F.concat(F.lit(" #"), F.concat_ws(":", F.col("db").cast("string"), F.col("local_id").cast("string")))).otherwise("")
+    mark = F.when(F.col("kind").isin("image", "voice", "video", "emoji"), F.concat(F.lit(" #"), F.concat_ws(":", F.col("db").cast("string"), F.col("local_id").cast("string")))).otherwise("")
     line = F.concat(F.when(F.col("_new"), F.concat(F.lit("-- "), day, F.lit("\n"))).otherwise(""), F.substring(clock(F.col("ts")), 12, 5), F.lit(" "), F.col("sender"), F.lit(": "), F.col("text"), mark)
     rows = messages.withColumn("_new", new).withColumn("_line", line)
     per = rows.groupBy("chat").agg(F.array_sort(F.collect_list(F.struct(*order, "_line"))).alias("x"))

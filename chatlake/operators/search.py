@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from chatlake.functions.scalars import fold_ascii
 
 GRAM = 3
+#: Numbers repeat across shards and chats, so a message is known by all three.
+KEY = ("chat", "db", "local_id")
 
 
 def has_term(text: Column, term: str) -> Column:
@@ -34,11 +36,11 @@ def search(messages: DataFrame, terms: Sequence[str], exclude_kinds: Sequence[st
 
 
 def trigram_postings(messages: DataFrame) -> DataFrame:
-    """(gram, chat, local_id): every distinct three characters of every lower-cased text."""
-    rows = messages.filter(F.length("text") >= GRAM).select("chat", "local_id", F.split(F.lower("text"), "").alias("_c"))
+    """(gram, chat, db, local_id): every distinct three characters of every lower-cased text."""
+    rows = messages.filter(F.length("text") >= GRAM).select(*KEY, F.split(F.lower("text"), "").alias("_c"))
     at = F.sequence(F.lit(1), F.size("_c") - (GRAM - 1))
     grams = F.transform(at, lambda i: F.concat(*[F.element_at("_c", i + k) for k in range(GRAM)]))
-    return rows.select("chat", "local_id", F.explode(F.array_distinct(F.when(F.size("_c") >= GRAM, grams))).alias("gram"))
+    return rows.select(*KEY, F.explode(F.array_distinct(F.when(F.size("_c") >= GRAM, grams))).alias("gram"))
 
 
 BUCKETS = 256
@@ -58,9 +60,9 @@ def read_postings(spark, path: str, terms: Sequence[str]) -> DataFrame:
     """The stored postings of the terms' grams; other folders aren't listed."""
     grams = sorted({t.lower()[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
     if not grams:
-        return spark.read.parquet(path).select("gram", "chat", "local_id").limit(0)
+        return spark.read.parquet(path).select(*KEY, "gram").limit(0)
     wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"))).distinct().collect()]  # one row a gram of the request
-    return spark.read.parquet(path).filter(F.col("bucket").isin(*wanted) & F.col("gram").isin(*grams)).select("chat", "local_id", "gram")
+    return spark.read.parquet(path).filter(F.col("bucket").isin(*wanted) & F.col("gram").isin(*grams)).select(*KEY, "gram")
 
 
 def trigram_search(messages: DataFrame, postings: DataFrame, terms: Sequence[str], exclude_kinds: Sequence[str] = ()) -> DataFrame:
@@ -68,8 +70,9 @@ def trigram_search(messages: DataFrame, postings: DataFrame, terms: Sequence[str
     grams = sorted({t.lower()[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
     if not grams:
         return search(messages, terms, exclude_kinds)
-    keys = postings.filter(F.col("gram").isin(*grams)).groupBy("chat", "local_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams))
-    return search(messages.join(keys, ["chat", "local_id"], "left_semi"), terms, exclude_kinds)
+    # Postings that an append repeated count once.
+    keys = postings.filter(F.col("gram").isin(*grams)).groupBy(*KEY).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
+    return search(messages.join(keys, list(KEY), "left_semi"), terms, exclude_kinds)
 
 
 def grouped(hits: DataFrame) -> DataFrame:

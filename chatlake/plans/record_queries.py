@@ -151,5 +151,5 @@ ORACLES = {
       SELECT key, '0' AS path, 1 AS depth, role AS sender, turn AS ts, 'text' AS kind, 'n' || conv_id AS text, NULL AS url FROM c
       UNION ALL SELECT key, '1', 1, '', NULL, 'chat_history', '[聊天记录] in', NULL FROM c
       UNION ALL SELECT key, '1.0', 2, '', NULL, 'link', '[链接] L' || turn, 'http://x/' || turn FROM c""",
-    "media_lengths": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey > 0 THEN round_even(o_orderkey / 1000.0, 1) END WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 5)::DOUBLE END AS seconds FROM orders""",
+    "media_lengths": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey > 0 THEN greatest(1, CAST(floor(o_orderkey / 1000.0 + 0.5) AS BIGINT)) END WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS seconds FROM orders""",
 }

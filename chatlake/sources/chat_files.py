@@ -227,6 +227,27 @@ def publish(spark: SparkSession, path: str, names: DataFrame, out: str, newest:
     return rows.repartition("chat").mapInPandas(_published(path, out, commits(path), newest), "chat string, file string, status string")
 
 
+def document_digests(spark: SparkSession, path: str, chats: DataFrame, newest: bool = False, end: DataFrame | None = None) -> DataFrame:
+    """(chat, size, sha256) of the documents of ``chats`` (chat), read block by block in tasks."""
+    runs = commits(path)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            size, digest = [], []
+            for chat, tail in zip(f["chat"], f["end"], strict=True):
+                h, n = hashlib.sha256(), 0
+                for block in assembled(path, chat, runs, newest, tail):
+                    h.update(block)
+                    n += len(block)
+                size.append(n)
+                digest.append(h.hexdigest())
+            yield pd.DataFrame({"chat": f["chat"], "size": size, "sha256": digest})
+
+    rows = chats.select(F.col("chat").cast("string").alias("chat"))
+    rows = rows.withColumn("end", F.lit("")) if end is None else rows.join(end.select(F.col("chat").cast("string").alias("chat"), "end"), "chat", "left").fillna("", ["end"])
+    return rows.repartition("chat").mapInPandas(run, "chat string, size long, sha256 string")
+
+
 def forget_older(spark: SparkSession, path: str, run: str) -> int:
     """Delete the older runs' parts of the chats that ``run`` has, once it is committed; returns how many folders went."""
     runs = commits(path)

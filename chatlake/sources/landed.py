@@ -27,7 +27,7 @@ CONTACTS = {"table": "contact", "columns": "username string, local_type int, ver
 STRANGERS = CONTACTS | {"table": "stranger"}
 ROOMS = {"table": "chat_room", "columns": "username string, owner string, ext_buffer binary"}
 POSTS = {"table": "SnsTimeLine", "columns": "tid long, user_name string, content binary"}
-BOOKMARKS = {"table": "fav_db_item", "columns": "local_id long, server_id long, type int, update_time long, content string"}
+BOOKMARKS = {"table": "fav_db_item", "columns": "local_id long, server_id long, type int, update_time long, content binary"}
 BOOKMARK_TAGS = {"table": "fav_tag_db_item", "columns": "local_id long, name string"}
 BOOKMARK_TAG_BINDS = {"table": "fav_bind_tag_db_item", "columns": "tag_local_id long, fav_local_id long"}
 VOICES = {"table": "VoiceInfo", "columns": "chat_name_id long, create_time long, local_id long, svr_id long, voice_data binary, data_index string"}
