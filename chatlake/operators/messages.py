@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalars import parse_message_id
+from chatlake.operators import slices
 
 ORDER = ("ts", "dbr", "local_id")
 
@@ -41,10 +42,15 @@ def page_flags(messages: DataFrame, paged: DataFrame) -> DataFrame:
 
 
 def context(messages: DataFrame, anchors: DataFrame, before: int, after: int) -> DataFrame:
-    """Rows around each anchor (chat, db, local_id): (chat, anchor_db, anchor, db, local_id, distance). Only the anchors' chats are sorted."""
+    """Rows around each anchor (chat, db, local_id): (chat, anchor_db, anchor, db, local_id, distance).
+
+    Of the anchors' chats, only the hours near an anchor are sorted, each by itself (``slices``).
+    """
     wanted = anchors.select("chat", "db", "local_id").distinct()
-    chats = messages.join(wanted.select("chat").distinct(), "chat", "left_semi")
-    placed = chats.withColumn("rn", F.row_number().over(Window.partitionBy("chat").orderBy(*ORDER)))
+    rows = messages.select("chat", *ORDER, "db")
+    chats = rows.join(wanted.select("chat").distinct(), "chat", "left_semi")
+    anchored = rows.join(wanted, ["chat", "db", "local_id"], "left_semi").select("chat", slices.slice_of(F.col("ts")).alias("slice"))
+    placed = slices.numbered(rows, slices.around(slices.counted(chats), anchored, before, after), *ORDER)
     at = placed.join(wanted, ["chat", "db", "local_id"], "left_semi").select("chat", F.col("db").alias("anchor_db"), F.col("local_id").alias("anchor"), F.col("rn").alias("at"))
     near = at.withColumn("rn", F.explode(F.sequence(F.col("at") - before, F.col("at") + after)))
     return near.join(placed.select("chat", "rn", "db", "local_id"), ["chat", "rn"]).select("chat", "anchor_db", "anchor", "db", "local_id", (F.col("rn") - F.col("at")).alias("distance"))
@@ -53,19 +59,28 @@ def context(messages: DataFrame, anchors: DataFrame, before: int, after: int) ->
 def as_of(probes: DataFrame, targets: DataFrame) -> DataFrame:
     """For each probe (chat, ts, dbr, local_id) the last target at or before its time, else the first one after.
 
-    Probes and targets are united and sorted once each way; the nearest target so far is carried along, so both
-    passes look at a row once.
+    Probes and targets are united and each hour of a chat is sorted once each way, the nearest target so far carried along; an
+    hour's ends come from the hours before and after it (``slices``).
     """
     key = "struct<ts:bigint,dbr:int,local_id:bigint>"
     t = targets.select("chat", "ts", "dbr", F.lit(0).alias("is_probe"), "local_id", F.struct("ts", "dbr", "local_id").cast(key).alias("target"))
     p = probes.select("chat", "ts", "dbr", F.lit(1).alias("is_probe"), "local_id", F.lit(None).cast(key).alias("target"))
+    both = p.unionByName(t).withColumn("slice", slices.slice_of(F.col("ts")))
+    ends = t.groupBy("chat", slices.slice_of(F.col("ts")).alias("slice")).agg(F.max("target").alias("last"), F.min("target").alias("first"))
+    hours = ends.unionByName(p.select("chat", slices.slice_of(F.col("ts")).alias("slice"), F.lit(None).cast(key).alias("last"), F.lit(None).cast(key).alias("first")).distinct()).groupBy("chat", "slice").agg(F.max("last").alias("last"), F.min("first").alias("first"))
+    by = Window.partitionBy("chat").orderBy("slice")
+    carried = hours.select(
+        "chat", "slice", F.last("last", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("first", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)).alias("_after")
+    )
     order = ("ts", "is_probe", "dbr", "local_id")
     so_far = (Window.unboundedPreceding, 0)
-    back = F.last("target", ignorenulls=True).over(Window.partitionBy("chat").orderBy(*order).rowsBetween(*so_far))
-    ahead = F.last("target", ignorenulls=True).over(Window.partitionBy("chat").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*so_far))
-    both = p.unionByName(t).withColumns({"back": back, "ahead": ahead}).filter("is_probe = 1")
+    own = Window.partitionBy("chat", "slice")
+    back = F.last("target", ignorenulls=True).over(own.orderBy(*order).rowsBetween(*so_far))
+    ahead = F.last("target", ignorenulls=True).over(own.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*so_far))
+    found = both.withColumns({"back": back, "ahead": ahead}).filter("is_probe = 1").join(carried, ["chat", "slice"], "left")
+    found = found.withColumns({"back": F.coalesce("back", "_before"), "ahead": F.coalesce("ahead", "_after")})
     best = F.coalesce("back", "ahead")
-    return both.select("chat", "dbr", "local_id", best["dbr"].alias("target_dbr"), best["local_id"].alias("target_id"), F.col("back").isNull().alias("fell_forward"))
+    return found.select("chat", "dbr", "local_id", best["dbr"].alias("target_dbr"), best["local_id"].alias("target_id"), F.col("back").isNull().alias("fell_forward"))
 
 
 def with_cursor(messages: DataFrame, cursors: DataFrame) -> DataFrame:

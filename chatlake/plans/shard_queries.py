@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatlake.operators import attach, daily, media, search
+from chatlake.operators import attach, daily, media, merkle, search
 from chatlake.plans.chat_queries import EV
 from chatlake.plans.message_queries import CURSOR
 from chatlake.session import scratch_dir
@@ -91,8 +91,33 @@ def keyed_tail(spark, d):
     return spark.read.parquet(f"{root}/out").select("fmt", "chat", "db", "local_id")
 
 
+def _before_and_now(spark, d):
+    """Events, and events of which some have changed their kind with another, so that the sum of kinds is the same, some are gone and some are new."""
+    ev = event_messages(spark, d).select("chat", "db", "local_id", "kind", "extra")
+    before = ev.filter("chat % 13 <> 1")
+    edited = F.when(F.col("local_id") % 97 == 0, F.lit("edited")).otherwise(F.col("extra"))
+    return before, ev.filter("chat % 11 <> 2 or local_id % 3 <> 0").withColumn("extra", edited)
+
+
+def _changes(spark, before, now):
+    root = scratch_dir(spark, "trees")
+    for name, rows in (("before", before), ("now", now)):
+        merkle.write_tree(merkle.tree(rows, ["kind", "extra"], bits=4, levels=3), f"{root}/{name}")
+    return merkle.changed_ranges(spark.read.parquet(f"{root}/before"), spark.read.parquet(f"{root}/now"), bits=4, levels=3)
+
+
+def merkle_changes(spark, d):
+    return _changes(spark, *_before_and_now(spark, d))
+
+
+def merkle_rebuilt(spark, d):
+    """The stored rows, brought up to date by the changed ranges alone."""
+    before, now = _before_and_now(spark, d)
+    return merkle.rebuilt(before, now, _changes(spark, before, now), bits=4)
+
+
 _RUNS = {fmt: _two_runs(fmt) for fmt in ("txt", "csv", "md", "html")}
-QUERIES = {f.__name__: f for f in (trigram_search_shards, media_locate_shards, attached_all_media, stickers_last, keyed_tail, *_RUNS.values())}
+QUERIES = {f.__name__: f for f in (trigram_search_shards, media_locate_shards, attached_all_media, stickers_last, keyed_tail, merkle_changes, merkle_rebuilt, *_RUNS.values())}
 
 _CLOCK = "strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')"
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -106,7 +131,13 @@ def _document(line, head="''", end="''"):
 
 
 _DAY = "CASE WHEN fresh THEN {} ELSE '' END"
+_NOW = f"""WITH {EV}, b AS (SELECT chat, db, local_id, kind, extra FROM ev WHERE chat % 13 <> 1),
+      n AS (SELECT chat, db, local_id, kind, CASE WHEN local_id % 97 = 0 THEN 'edited' ELSE extra END AS extra FROM ev WHERE chat % 11 <> 2 OR local_id % 3 <> 0)"""
 ORACLES = {
+    "merkle_changes": f"""{_NOW}, d AS (SELECT DISTINCT chat, db, local_id >> 4 AS r FROM b FULL JOIN n USING (chat, db, local_id) WHERE b.extra IS DISTINCT FROM n.extra OR b.kind IS DISTINCT FROM n.kind)
+      SELECT chat, db, r << 4 AS lo, (r << 4) + 15 AS hi, CASE WHEN NOT EXISTS (SELECT 1 FROM b WHERE b.chat = d.chat AND b.db = d.db AND b.local_id >> 4 = r) THEN 'new'
+        WHEN NOT EXISTS (SELECT 1 FROM n WHERE n.chat = d.chat AND n.db = d.db AND n.local_id >> 4 = r) THEN 'gone' ELSE 'changed' END AS status FROM d""",
+    "merkle_rebuilt": f"{_NOW} SELECT * FROM n",
     "trigram_search_shards": f"WITH {EV} SELECT chat, db, local_id FROM ev WHERE kind <> 'error' AND contains(lower(kind || ' ' || extra), 'click') AND contains(lower(kind || ' ' || extra), 'k')",
     "media_locate_shards": f"""WITH {EV} SELECT chat, db, local_id, '2020-01/' || db || '/' || local_id || CASE WHEN db = 1 THEN '_h' ELSE '' END AS path FROM ev WHERE kind = 'view' AND local_id % 4 <> 0""",
     "attached_all_media": f"""WITH {EV} SELECT chat, db, local_id, CASE WHEN kind = 'view' AND local_id % 4 <> 0 THEN '2020-01/' || db || '/' || local_id || CASE WHEN db = 1 THEN '_h' ELSE '' END END AS image_path,
