@@ -1,7 +1,7 @@
 """Bytes to values: compressed text, room member lists, media durations.
 
 Only what no built-in function can read is an Arrow-batched function: zstd frames, protobuf
-messages and SILK frames. MP4 and WAV headers are read by column expressions.
+messages, and the nested boxes, chunks and frames of media files.
 """
 
 from __future__ import annotations
@@ -101,53 +101,90 @@ def room_members(rooms: DataFrame) -> DataFrame:
     return each.select("room", "pos", "m.member", "m.group_nick")
 
 
-def _big_endian(latin: Column, start: Column, n: int) -> Column:
-    return F.conv(F.hex(F.encode(F.substring(latin, start, F.lit(n)), "ISO-8859-1")), 16, 10).cast("long")
+# How files begin.
+HEADS = {b"\xff\xd8\xff": "jpg", b"\x89PNG": "png", b"GIF8": "gif", b"BM": "bmp", b"#!AMR": "amr"}
+SILK = b"#!SILK_V3"
+#: Boxes of an MP4 file that only hold others, on the way to the movie header.
+HOLDERS = (b"moov",)
 
 
-def _little_endian(latin: Column, start: Column, n: int) -> Column:
-    bytes_ = [F.ascii(F.substring(latin, start + k, F.lit(1))).cast("long") * (256**k) for k in range(n)]
-    total = bytes_[0]
-    for b in bytes_[1:]:
-        total = total + b
-    return total
-
-
-def mp4_seconds(content: Column) -> Column:
-    """Duration / time scale of the movie header of an MP4 or M4A file."""
-    latin = F.decode(content, "ISO-8859-1")
-    at = F.instr(latin, "mvhd")
-    wide = F.substring(latin, at + 4, F.lit(1)) == "\x01"
-    scale = F.when(wide, _big_endian(latin, at + 24, 4)).otherwise(_big_endian(latin, at + 16, 4))
-    length = F.when(wide, _big_endian(latin, at + 28, 8)).otherwise(_big_endian(latin, at + 20, 4))
-    return F.when((at > 0) & (scale > 0), length / scale)
-
-
-def wav_seconds(content: Column) -> Column:
-    """Bytes of the data chunk over bytes per second of a WAV file."""
-    latin = F.decode(content, "ISO-8859-1")
-    at = F.instr(latin, "data")
-    rate = _little_endian(latin, F.instr(latin, "fmt ") + 16, 4)
-    return F.when(F.startswith(latin, F.lit("RIFF")) & (at > 0) & (rate > 0), _little_endian(latin, at + 4, 4) / rate)
+def _boxes(body: memoryview) -> Iterator[tuple[bytes, memoryview]]:
+    """(name, contents) of the MP4 boxes side by side in ``body``; ends where a size can't be."""
+    at = 0
+    while at + 8 <= len(body):
+        size, head = int.from_bytes(body[at : at + 4], "big"), 8
+        if size == 1:
+            size, head = int.from_bytes(body[at + 8 : at + 16], "big"), 16
+        size = size or len(body) - at
+        if size < head:
+            return
+        yield bytes(body[at + 4 : at + 8]), body[at + head : at + size]
+        at += size
+
+
+def _movie_seconds(body: memoryview) -> float | None:
+    """Duration / time scale of the movie header, found by walking boxes, never inside what they hold."""
+    for name, inner in _boxes(body):
+        if name in HOLDERS:
+            return _movie_seconds(inner)
+        if name == b"mvhd":
+            at, wide = (20, 8) if inner[:1] == b"\x01" else (12, 4)
+            scale, length = int.from_bytes(inner[at : at + 4], "big"), int.from_bytes(inner[at + 4 : at + 4 + wide], "big")
+            return length / scale if scale and len(inner) >= at + 4 + wide else None
+    return None
+
+
+def _wave_seconds(body: memoryview) -> float | None:
+    """Bytes of the data chunk over bytes per second, by walking the chunks of a RIFF file."""
+    at, rate = 12, 0
+    while at + 8 <= len(body):
+        name, size = bytes(body[at : at + 4]), int.from_bytes(body[at + 4 : at + 8], "little")
+        if name == b"fmt ":
+            rate = int.from_bytes(body[at + 16 : at + 20], "little")
+        if name == b"data":
+            return size / rate if rate else None
+        at += 8 + size + size % 2
+    return None
+
+
+def _silk_frames(body: bytes) -> int | None:
+    start = bytes(body[: len(SILK) + 1]).find(SILK)
+    if start not in (0, 1):
+        return None
+    at, n = start + len(SILK), 0
+    while 0 < (size := int.from_bytes(body[at : at + 2], "little", signed=True)) <= len(body) - at - 2:
+        at, n = at + 2 + size, n + 1
+    return n
+
+
+def _profile(body: bytes | None) -> tuple[str | None, float | None]:
+    if body is None:
+        return None, None
+    view = memoryview(body)
+    if (frames := _silk_frames(body)) is not None:
+        return "silk", frames * 0.02
+    if body[:4] == b"RIFF":
+        kind = {b"WAVE": "wav", b"WEBP": "webp"}.get(bytes(body[8:12]), "bin")
+        return kind, _wave_seconds(view) if kind == "wav" else None
+    if body[4:8] in (b"ftyp", b"moov"):
+        return "m4a" if body[8:11] == b"M4A" else "mp4", _movie_seconds(view)
+    return next((kind for head, kind in HEADS.items() if body.startswith(head)), "bin"), None
+
+
+@F.pandas_udf(T.StructType().add("fmt", T.StringType()).add("seconds", T.DoubleType()))
+def media_profile(bodies: pd.Series) -> pd.DataFrame:
+    """A file's format, by its first bytes, and its length in seconds, by a walk over its boxes, chunks or frames; null where it has none."""
+    return pd.DataFrame([_profile(b) for b in bodies], columns=["fmt", "seconds"])
 
 
 @F.pandas_udf(T.LongType())
 def silk_frames(bodies: pd.Series) -> pd.Series:
     """The number of 20 ms frames of a SILK stream, each behind its length; null for anything else."""
-    magic = b"#!SILK_V3"
-
-    def count(body):
-        start = -1 if body is None else bytes(body[: len(magic) + 1]).find(magic)
-        if start not in (0, 1):
-            return None
-        at, n = start + len(magic), 0
-        while 0 < (size := int.from_bytes(body[at : at + 2], "little", signed=True)) <= len(body) - at - 2:
-            at, n = at + 2 + size, n + 1
-        return n
-
-    return bodies.map(count).astype("Int64")
+    return bodies.map(lambda b: None if b is None else _silk_frames(b)).astype("Int64")
 
 
 def media_seconds(kind: Column, content: Column) -> Column:
     """Seconds of a voice, audio or video file by its kind: silk, wav, mp4 or m4a."""
-    return F.when(kind == "silk", silk_frames(content) * 0.02).when(kind == "wav", wav_seconds(content)).when(kind.isin("mp4", "m4a"), mp4_seconds(content))
+    found = media_profile(content)
+    same = (kind == found["fmt"]) | (kind.isin("mp4", "m4a") & found["fmt"].isin("mp4", "m4a"))
+    return F.when(same, found["seconds"])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.functions import decoders
 from chatlake.functions.scalars import voice_stem
 from chatlake.operators.media import format_of
 
@@ -80,6 +81,8 @@ def outcomes(found: DataFrame) -> DataFrame:
     return found.groupBy("kind").agg(n("new"), n("existing"), n("missing"), n("failed"), F.count_if("only_thumb").alias("thumb_only"))
 
 
-def media_profile(content: Column, seconds: Column) -> Column:
-    """A file's format and length as one struct."""
+def media_profile(content: Column, seconds: Column | None = None) -> Column:
+    """A file's format and length as one struct; the length is read from the file unless it is given."""
+    if seconds is None:
+        return decoders.media_profile(content)
     return F.struct(format_of(content).alias("fmt"), seconds.alias("seconds"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -24,6 +24,14 @@ BOOKMARK = f"""favitem STRUCT<_type: STRING, title: STRING, desc: STRING, source
   weburlitem: STRUCT<pagetitle: STRING, pagedesc: STRING, clean_url: STRING>, locitem: STRUCT<lat: STRING, lng: STRING, label: STRING, poiname: STRING>, taglist: STRUCT<tag: ARRAY<STRING>>>"""
 
 
+def load_bookmarks(raw: DataFrame, bound: DataFrame | None = None) -> tuple[DataFrame, Observation]:
+    """Parsed bookmarks, with the tags bound to them (id, tag), and what the same reading counts: rows, parsed, failed."""
+    seen = Observation("bookmarks")
+    marks = parse_bookmarks(raw).observe(seen, F.count(F.lit(1)).alias("rows"), F.count("kind").alias("parsed"), F.count_if(F.col("kind").isNull()).alias("failed"))
+    marks = marks.filter("kind is not null")
+    return (marks if bound is None else with_tags(marks, bound)), seen
+
+
 def parse_bookmarks(raw: DataFrame) -> DataFrame:
     """Bookmarks of rows (local_id, type, update_time, content); ``kind`` is null where the XML can't be parsed. Content in bytes, compressed or not, is decoded first."""
     if isinstance(raw.schema["content"].dataType, BinaryType):

@@ -49,15 +49,38 @@ def filter_by_name(chats: DataFrame, text: str) -> DataFrame:
     return chats.filter(F.exists("names", lambda n: F.contains(F.lower(n), F.lit(text.lower()))))
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct parts of ``text`` that are ``size`` characters long."""
+    parts = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size))
+    return F.array_distinct(F.when(F.length(text) >= size, parts).otherwise(F.array().cast("array<string>")))
+
+
+def part_matches(names: DataFrame, patterns: DataFrame, keys_too: bool = False) -> DataFrame:
+    """(pattern, key, name) where the name, or as text the key, can have the pattern as a part: it has all the pattern's trigrams.
+
+    Names and patterns meet by equal grams, of three characters or all a shorter pattern has, so neither side is
+    compared with all of the other; what is found is still to be verified.
+    """
+    key = F.col("key").cast("string")
+    texts = [("name", F.lower("name"))] + ([("key", F.lower(key))] if keys_too else [])
+    text = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), t.alias("text")) for side, t in texts]))
+    sizes = F.flatten(F.array(*[_grams(F.col("t.text"), F.lit(n)) for n in (1, 2, 3)]))
+    held = names.select("key", "name", text.alias("t")).select("key", "name", "t.side", F.explode(sizes).alias("gram"))
+    low = F.lower("pattern")
+    asked = patterns.select("pattern").distinct().withColumn("_grams", _grams(low, F.least(F.length(low), F.lit(3)))).filter("pattern <> ''")
+    asked = asked.select("pattern", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
+    met = held.join(asked, "gram").groupBy("pattern", "key", "name", "side").agg(F.count_distinct("gram").alias("n"), F.max("_n").alias("_n"))
+    return met.filter("n = _n").select("pattern", "key", "name").distinct()
+
+
 def ranked_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, key, name, rank) of the chats that match by name or, as text, by key; the better of the two ranks counts.
 
-    Ranks 0 and 1 are equi-joins; part matches compare every name with every pattern of the request, so ``patterns`` is a short list.
+    Names meet patterns by grams (``part_matches``).
     """
     key = F.col("key").cast("string")
-    part = F.contains(F.lower("name"), F.lower("pattern")) | F.contains(F.lower(key), F.lower("pattern"))
     best = F.least(match_rank(F.col("name"), F.col("pattern")), match_rank(key, F.col("pattern")))
-    return names.join(patterns, part).select("pattern", "key", "name", best.alias("rank")).filter("rank is not null")
+    return part_matches(names, patterns, keys_too=True).select("pattern", "key", "name", best.alias("rank")).filter("rank is not null")
 
 
 def resolve(names: DataFrame, patterns: DataFrame, candidates: int = 20) -> DataFrame:
@@ -66,9 +89,9 @@ def resolve(names: DataFrame, patterns: DataFrame, candidates: int = 20) -> Data
     ``key`` is the username; ranks are -1 for an equal key, 0 for an equal name, 1 but for case, 2 for a part of it.
     """
     key = F.col("key").cast("string")
-    hit = (key == F.col("pattern")) | F.contains(F.lower("name"), F.lower("pattern"))
+    equal = names.select("key", "name").join(patterns.select("pattern"), key == F.col("pattern")).select("pattern", "key", "name")
     rank = F.when(key == F.col("pattern"), -1).otherwise(match_rank(F.col("name"), F.col("pattern")))
-    found = names.join(patterns, hit).select("pattern", "key", "name", rank.alias("rank")).filter("rank is not null")
+    found = equal.unionByName(part_matches(names, patterns)).distinct().select("pattern", "key", "name", rank.alias("rank")).filter("rank is not null")
     w = Window.partitionBy("pattern")
     ranked = found.withColumn("best", F.min("rank").over(w)).filter("rank = best")
     ranked = ranked.withColumn("ambiguous", F.count(F.lit(1)).over(w) > 1).withColumn("nth", F.row_number().over(w.orderBy("name", "key")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalars import first_filled, to_double, to_long, unsigned_id
@@ -81,6 +81,17 @@ def parse_stats(posts: DataFrame) -> DataFrame:
     return posts.agg(F.count(F.lit(1)).alias("rows"), F.count("kind").alias("parsed"), F.count_if(F.col("kind").isNull()).alias("failed"))
 
 
+def load_posts(raw: DataFrame, since: int | None = None, until: int | None = None) -> tuple[DataFrame, Observation]:
+    """Parsed posts in [since, until), and what the same reading counts: rows, parsed, failed.
+
+    The counts are there once an action on the posts has ended (``observation.get``); nothing is read twice. Take ``query_posts`` for order.
+    """
+    seen = Observation("posts")
+    failed = F.count_if(F.col("kind").isNull())
+    posts = parse_posts(raw).observe(seen, F.count(F.lit(1)).alias("rows"), F.count("kind").alias("parsed"), failed.alias("failed"))
+    return query_posts(posts, since=since, until=until), seen
+
+
 def search_text(row_prefix: str = "") -> Column:
     c = lambda n: F.col(row_prefix + n)
     return F.lower(F.concat_ws("\n", c("text"), c("title"), c("description"), c("source"), c("location.name"), F.array_join(F.transform(c("comments"), lambda k: k["text"]), "\n")))

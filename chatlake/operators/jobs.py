@@ -74,4 +74,11 @@ def author_of(posts: DataFrame, text: str, own: str, self_names: tuple[str, ...]
     if text.lower() in self_names:
         rank = F.when(F.col("username") == own, 0)
     per = named.withColumn("rank", rank).filter("rank is not null").groupBy("username").agg(F.count_distinct("id").alias("n"), F.min("rank").alias("rank"))
-    return per.withColumn("_best", F.min("rank").over(Window.partitionBy())).filter("rank = _best").drop("_best")
+    # The best rank is one number; joining it keeps authors in their own tasks.
+    best = per.agg(F.min("rank").alias("_best"))
+    return per.join(F.broadcast(best), per["rank"] == best["_best"]).drop("_best")
+
+
+def author_candidates(posts: DataFrame, text: str, own: str, limit: int = 20) -> DataFrame:
+    """(username, n, rank) of ``author_of``, those with the most posts first, ``limit`` at most: what to ask back where a name is ambiguous."""
+    return author_of(posts, text, own).orderBy(F.col("n").desc(), "username").limit(limit)

@@ -97,6 +97,17 @@ def page_envelope(messages: DataFrame, paged: DataFrame) -> DataFrame:
     return own.join(page_flags(messages, paged), "chat")
 
 
+def with_total(rows: DataFrame, picked: DataFrame) -> DataFrame:
+    """(total, count) of a result: how many there are, and how many were picked."""
+    return rows.agg(F.count(F.lit(1)).alias("total")).crossJoin(picked.agg(F.count(F.lit(1)).alias("count")))  # one row each
+
+
+def newest_first(paged: DataFrame) -> DataFrame:
+    """A page with ``rn`` counted from its newest message."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("chat"))
+    return paged.withColumn("rn", n - F.col("rn") + 1)
+
+
 def limited(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
     """The first ``limit`` of ``rows`` in ``order``, with ``has_more``: whether there are others."""
     some = rows.orderBy(*order).limit(limit + 1)
