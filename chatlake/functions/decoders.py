@@ -26,7 +26,9 @@ def _inflate(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if body is None:
             return None
         try:
-            return reader.decompressobj().decompress(body).decode("utf-8", errors="replace")
+            frame = reader.decompressobj()
+            out = frame.decompress(body)
+            return out.decode("utf-8", errors="replace") if frame.eof else None  # a frame cut short is broken
         except zstandard.ZstdError:
             return None
 
