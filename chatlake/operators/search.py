@@ -56,13 +56,14 @@ def write_postings(messages: DataFrame, path: str, mode: str = "overwrite") -> N
     rows.repartition("bucket", F.pmod(F.xxhash64("chat"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
-def read_postings(spark, path: str, terms: Sequence[str]) -> DataFrame:
-    """The stored postings of the terms' grams; other folders aren't listed."""
+def read_postings(spark, path: str, terms: Sequence[str], shards: bool = False) -> DataFrame:
+    """The stored postings (chat, local_id, gram) of the terms' grams, with ``shards`` db too; other folders aren't listed."""
+    key = KEY if shards else ("chat", "local_id")
     grams = sorted({t.lower()[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
     if not grams:
-        return spark.read.parquet(path).select(*KEY, "gram").limit(0)
+        return spark.read.parquet(path).select(*key, "gram").limit(0)
     wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"))).distinct().collect()]  # one row a gram of the request
-    return spark.read.parquet(path).filter(F.col("bucket").isin(*wanted) & F.col("gram").isin(*grams)).select(*KEY, "gram")
+    return spark.read.parquet(path).filter(F.col("bucket").isin(*wanted) & F.col("gram").isin(*grams)).select(*key, "gram")
 
 
 def trigram_search(messages: DataFrame, postings: DataFrame, terms: Sequence[str], exclude_kinds: Sequence[str] = ()) -> DataFrame:
@@ -70,9 +71,10 @@ def trigram_search(messages: DataFrame, postings: DataFrame, terms: Sequence[str
     grams = sorted({t.lower()[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
     if not grams:
         return search(messages, terms, exclude_kinds)
-    # Postings that an append repeated count once.
-    keys = postings.filter(F.col("gram").isin(*grams)).groupBy(*KEY).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
-    return search(messages.join(keys, list(KEY), "left_semi"), terms, exclude_kinds)
+    # Postings that an append repeated count once; without db, what shares a number is looked at together, and verified alone.
+    key = [k for k in KEY if k in postings.columns]
+    keys = postings.filter(F.col("gram").isin(*grams)).groupBy(*key).agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
+    return search(messages.join(keys, key, "left_semi"), terms, exclude_kinds)
 
 
 def grouped(hits: DataFrame) -> DataFrame:

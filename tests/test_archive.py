@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import decoders
 from chatlake.functions.scalars import unescape_entities
-from chatlake.operators import attach, bookmarks, chats, enrich, feed, jobs, media, messages
+from chatlake.operators import attach, bookmarks, chats, enrich, feed, jobs, media, messages, search
 from chatlake.sources import archive, landed
 
 
@@ -151,3 +151,16 @@ def test_contacts_that_repeat_and_candidates(spark):
     assert [tuple(r) for r in jobs.author_candidates(posts, "um", "me", 2).collect()] == [("u", 3, 2), ("v", 1, 2)]
     page = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "chat string, rn int")
     assert sorted(map(tuple, messages.newest_first(page).collect())) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)] and messages.with_total(posts, page).first() == (5, 4)
+
+
+def test_postings_of_two_shards_and_a_repeated_append(spark, tmp_path):
+    rows = [("a", 0, 0, 1, 1, "a tale told"), ("a", 1, -1, 1, 2, "told a tale"), ("a", 1, -1, 2, 3, "tales"), ("b", 0, 0, 1, 4, "ta le")]
+    df = spark.createDataFrame([(*r, "text", "s") for r in rows], "chat string, db int, dbr int, local_id long, ts long, text string, kind string, sender string")
+    path = f"file://{tmp_path}/postings"
+    search.write_postings(df, path)
+    search.write_postings(df, path, mode="append")
+    for terms in (["tale"], ["tale", "told"]):
+        want = sorted((r.chat, r.db, r.local_id) for r in search.search(df, terms).collect())
+        for postings in (search.read_postings(spark, path, terms, shards=True), search.read_postings(spark, path, terms), search.trigram_postings(df)):
+            assert sorted((r.chat, r.db, r.local_id) for r in search.trigram_search(df, postings, terms).collect()) == want
+    assert len(want) == 2
