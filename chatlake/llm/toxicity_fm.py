@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm import text as T
@@ -34,9 +34,12 @@ from chatlake.llm.learning import TRAIN_BYTES, Adam, fold, sampled_labels, sigmo
 
 FOLDS, HELD_OUT = 3, 1
 TRAIN_DOCS, MIN_DOCS, MIN_Z = 8000, 3, 4.0
+#: Bytes of all training documents' distinct terms together, four bytes each.
+TRAIN_TOTAL = 1 << 28
 BUCKETS = 1 << 20
 FACTORS, EPOCHS, BATCH = 4, 45, 256
-#: Starting sums of squared slopes and shrinkage, for weights and for factors: of telling terms, and of all others.
+#: Starting sums of squared slopes and shrinkage, for weights and for factors: of telling terms, and of all others. With EPOCHS picked by
+#: a split inside the permitted rows (tests/llm/tune_toxicity.py) among those that learn a pair of neutral terms.
 TELLING, NEUTRAL = ((1e-8, 1e-8), (1e-6, 1e-5)), ((0.3, 0.1), (1e-4, 1e-4))
 THRESHOLD = 0.7
 
@@ -159,16 +162,35 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row0, rows), b.column("label").slice(row0, rows), pa.array(body, pa.binary())], ["doc_id", "label", "terms"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Machine:
-    """The machine of at most ``train_docs`` labelled documents outside the held-out fold, of TRAIN_BYTES at most each."""
+@dataclass
+class Sample:
+    """Labelled documents: ids, distinct buckets end to end by ``first``, labels."""
+
+    doc_id: np.ndarray
+    bucket: np.ndarray
+    first: np.ndarray
+    label: np.ndarray
+
+
+def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Sample:
+    """At most ``train_docs`` labelled documents outside the held-out fold, of TRAIN_BYTES at most each and TRAIN_TOTAL in all."""
     ids = sampled_labels(labels, "toxic", fold(F.col("doc_id"), FOLDS) == HELD_OUT, train_docs)
     short = docs.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES)
     rows = short.join(F.broadcast(ids), "doc_id")  # at most train_docs pairs of numbers
-    sample = rows.mapInArrow(_sample_rows, "doc_id long, label long, terms binary")
-    found = sample.groupBy("doc_id").agg(F.min(F.struct("label", "terms")).alias("v")).orderBy("doc_id").select("v.*").collect()
-    each = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in found]
+    found = rows.mapInArrow(_sample_rows, "doc_id long, label long, terms binary").groupBy("doc_id").agg(F.min(F.struct("label", "terms")).alias("v"))
+    # The driver gets no more than TRAIN_TOTAL bytes of terms; sizes are at most train_docs numbers.
+    size = F.octet_length("v.terms").cast("long")
+    upto = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = found.withColumn("_upto", upto).filter(F.col("_upto") <= TRAIN_TOTAL).orderBy("doc_id").select("doc_id", "v.*").collect()
+    each = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in got]
     first = np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int64)
-    return train(np.concatenate(each) if each else np.zeros(0, np.int64), first, np.array([r["label"] for r in found], float))
+    return Sample(np.array([r["doc_id"] for r in got], np.int64), np.concatenate(each) if each else np.zeros(0, np.int64), first, np.array([r["label"] for r in got], float))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Machine:
+    """The machine of the ``sample`` of labelled documents."""
+    found = sample(docs, labels, train_docs)
+    return train(found.bucket, found.first, found.label)
 
 
 def _scores(model: Machine):
