@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from chatlake.functions import decoders
 from chatlake.functions.scalars import parse_time
-from chatlake.operators import attach, enrich, feed, jobs, media, messages
+from chatlake.operators import attach, enrich, feed, jobs, media, messages, render_rich
 from chatlake.plans.archive_queries import _posts
 from chatlake.plans.chat_queries import EV
 from chatlake.session import table
@@ -125,12 +125,41 @@ def page_totals(spark, d):
     return messages.with_total(ev, messages.page(ev, 5))
 
 
+def _rich(spark, d):
+    """Pictures, links, quotes, recordings and texts in turn."""
+    ev = event_messages(spark, d).withColumn("id", (F.col("server_id") / 10).cast("long"))
+    n, of = _str("id"), lambda k, v: F.when(F.col("id") % 5 == k, v)
+    kind = F.element_at(F.array(*map(F.lit, ("image", "link", "quote", "voice", "text"))), (F.col("id") % 5 + 1).cast("int"))
+    extra = F.coalesce(of(1, F.to_json(F.struct(F.concat(F.lit("T "), n).alias("title"), F.concat(F.lit("https://e.org/"), n).alias("url")))), of(2, F.to_json(F.struct(F.lit("r").alias("reply"), F.lit("s").alias("sender"), F.concat(F.lit("q"), n).alias("text")))))
+    return ev.withColumns({
+        "sender": _str("chat"), "is_self": F.col("kind") == "view", "text": F.coalesce(of(0, F.lit("[图片]")), of(3, F.lit("[语音]")), F.concat_ws(" ", "kind", "extra")),
+        "seconds": of(3, (F.col("id") % 100).cast("double")), "image_path": of(0, F.concat(F.lit("m/"), n, F.lit(" x.jpg"))), "kind": kind, "extra": extra,
+    })
+
+
+def export_md_rich(spark, d):
+    return render_rich.md_lines(_rich(spark, d)).select("chat", "db", "local_id", "line")
+
+
+def export_html_rich(spark, d):
+    return render_rich.html_lines(_rich(spark, d)).select("chat", "db", "local_id", "line")
+
+
 QUERIES = {f.__name__: f for f in (
-    decoded_content, decoded_blobs, split_types, time_literals, hashes_in_bytes, senders_in_xml, decoded_members, media_profiles, friends_preferred, author_candidates, posts_stats, page_newest_first, page_totals,
+    decoded_content, decoded_blobs, split_types, time_literals, hashes_in_bytes, senders_in_xml, decoded_members, media_profiles, friends_preferred, author_candidates, posts_stats, page_newest_first, page_totals, export_md_rich, export_html_rich,
 )}
 
 _PAGE = f"WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY ts DESC, dbr DESC, local_id DESC) AS rn FROM ev)"
+_RICH = f"""WITH {EV}, e AS (SELECT *, server_id // 10 AS id, kind || ' ' || extra AS said, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS clock FROM ev),
+      f AS (SELECT *, substr(clock, 1, 10) AS day, coalesce(substr(clock, 1, 10) <> lag(substr(clock, 1, 10)) OVER (PARTITION BY chat ORDER BY ts, dbr, local_id), true) AS fresh FROM e)"""
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 ORACLES = {
+    "export_md_rich": f"""{_RICH} SELECT chat, db, local_id, CASE WHEN fresh THEN '## ' || day || chr(10) || chr(10) ELSE '' END || '**' || chat || '** ' || substr(clock, 12, 5) || '  ' || CASE id % 5
+        WHEN 0 THEN '![[图片]](m/' || id || '%20x.jpg)' WHEN 1 THEN '[链接] [T ' || id || '](https://e.org/' || id || ')' WHEN 2 THEN 'r' WHEN 3 THEN '[语音 ' || (id % 100) || '″]' ELSE replace(said, '<', '&lt;') END || chr(10)
+        || CASE WHEN id % 5 = 2 THEN chr(10) || '> s: q' || id || chr(10) ELSE '' END AS line FROM f""",
+    "export_html_rich": f"""{_RICH} SELECT chat, db, local_id, CASE WHEN fresh THEN '<div class="day">' || day || '</div>' || chr(10) ELSE '' END || '<div class="msg ' || CASE WHEN kind = 'view' THEN 'self' ELSE 'other' END || '"><b>' || chat || '</b><p>' || CASE id % 5
+        WHEN 0 THEN '<img loading="lazy" src="m/' || id || '%20x.jpg" alt="[图片]">' WHEN 1 THEN '[链接] <a href="https://e.org/' || id || '" rel="noopener noreferrer nofollow">T ' || id || '</a>' WHEN 2 THEN 'r<div class="quote">s: q' || id || '</div>'
+        WHEN 3 THEN '[语音 ' || (id % 100) || '″]' ELSE {_ESC.format('said')} END || '</p></div>' AS line FROM f""",
     "decoded_content": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 7 <> 0 THEN md5(text) END AS digest FROM documents",
     "decoded_blobs": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR doc_id % 7 <> 0 THEN md5(text) END AS digest FROM documents",
     "split_types": """WITH t AS (SELECT o_orderkey, o_custkey, o_orderkey * 7919 % 12000 AS b FROM orders)
