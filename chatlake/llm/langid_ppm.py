@@ -38,11 +38,11 @@ from chatlake.llm.learning import fold
 FOLDS, HELD_OUT = 4, 2
 ORDER = 5
 #: The most nodes of all languages' trees together; what tasks get is some 40 bytes a node.
-MODEL_NODES = 1 << 21
+MODEL_NODES = 1 << 20
 UNKNOWN = "und"
 
 #: Positions at a time, windows that a task gathers before it hands their counts on, and entries of the memo.
-SEGMENT, GATHERED, MEMO = 1 << 18, 1 << 20, 1 << 21
+SEGMENT, GATHERED, MEMO = 1 << 18, 1 << 19, 1 << 21
 _SYMBOLS = 256
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[ord("A") : ord("Z") + 1] += np.uint64(32)
