@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions.scalars import safe_filename
@@ -34,6 +34,17 @@ def append_log(entry: DataFrame, path: str) -> None:
     entry.write.mode("append").json(path)
 
 
+def log_reading(spark: SparkSession, seen: Observation, path: str, job: str, at: str) -> dict:
+    """Append what a reading counted to the log under ``path`` and return it; the action that read must have ended.
+
+    The counts come from the reading itself (``feed.load_posts``, ``bookmarks.load_bookmarks``), so nothing is read again for the log.
+    """
+    counts = seen.get
+    entry = {"job": job, "time": at, "status": "partial" if counts["failed"] else "ok", **counts}
+    append_log(spark.createDataFrame([entry], "job string, time string, status string, rows long, parsed long, failed long"), path)
+    return entry
+
+
 def read_log(spark, path: str, schema: str) -> DataFrame:
     """A log of JSON lines; lines that can't be parsed are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

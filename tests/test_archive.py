@@ -63,6 +63,9 @@ def test_compressed_bookmarks_and_counts_of_one_reading(spark, tmp_path):
     post = "<p><TimelineObject><id>{0}</id><username>u</username><createTime>{0}</createTime><ContentObject><type>2</type></ContentObject></TimelineObject></p>"
     posts, seen = feed.load_posts(spark.createDataFrame([(i, "u", post.format(i)) for i in (5, 6, 7)] + [(8, "u", "<p")], "tid long, user_name string, content string"), since=6, until=7)
     assert [r.id for r in posts.collect()] == ["6"] and seen.get == {"rows": 4, "parsed": 3, "failed": 1}
+    jobs.log_reading(spark, seen, f"file://{tmp_path}/log", "posts", "2024-05-01")
+    (line,) = jobs.read_log(spark, f"file://{tmp_path}/log", "job string, time string, status string, rows long, parsed long, failed long").collect()
+    assert tuple(line) == ("posts", "2024-05-01", "partial", 4, 3, 1)
 
 
 def box(name, body):
