@@ -56,21 +56,23 @@ def _grams(text: Column, size: Column) -> Column:
 
 
 def part_matches(names: DataFrame, patterns: DataFrame, keys_too: bool = False) -> DataFrame:
-    """(pattern, key, name) where the name, or as text the key, can have the pattern as a part: it has all the pattern's trigrams.
+    """(pattern, key, name) where the name, or as text the key, can have the pattern as a part: it has the pattern's rarest trigram.
 
     Names and patterns meet by equal grams, of three characters or all a shorter pattern has, so neither side is
-    compared with all of the other; what is found is still to be verified.
+    compared with all of the other. Grams are counted first; what is found by the rarest is still to be verified.
     """
     key = F.col("key").cast("string")
     texts = [("name", F.lower("name"))] + ([("key", F.lower(key))] if keys_too else [])
-    text = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), t.alias("text")) for side, t in texts]))
-    sizes = F.flatten(F.array(*[_grams(F.col("t.text"), F.lit(n)) for n in (1, 2, 3)]))
-    held = names.select("key", "name", text.alias("t")).select("key", "name", "t.side", F.explode(sizes).alias("gram"))
     low = F.lower("pattern")
-    asked = patterns.select("pattern").distinct().withColumn("_grams", _grams(low, F.least(F.length(low), F.lit(3)))).filter("pattern <> ''")
-    asked = asked.select("pattern", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
-    met = held.join(asked, "gram").groupBy("pattern", "key", "name", "side").agg(F.count_distinct("gram").alias("n"), F.max("_n").alias("_n"))
-    return met.filter("n = _n").select("pattern", "key", "name").distinct()
+    asked = patterns.select("pattern").distinct().filter("pattern <> ''").withColumn("_grams", _grams(low, F.least(F.length(low), F.lit(3))))
+    asked = asked.select("pattern", F.explode("_grams").alias("gram"))
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), t.alias("text")) for side, t in texts]))
+    # Parts of three characters and less from each place; at a text's end they are shorter ones, which it has too.
+    rows = names.select("key", "name", sides.alias("t")).select("key", "name", "t.side", "t.text").filter("text <> ''")
+    places = rows.select("key", "name", "side", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("_at"))
+    held = places.select("key", "name", "side", F.explode(F.array(*[F.substring(F.col("text"), F.col("_at"), F.lit(n)) for n in (1, 2, 3)])).alias("gram"))
+    rare = held.join(asked, "gram").groupBy("pattern", "gram").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return held.join(rare, "gram").select("pattern", "key", "name").distinct()
 
 
 def ranked_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
