@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,24 +57,36 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.when(F.length(text) >= size, parts).otherwise(F.array().cast("array<string>")))
 
 
+#: Bytes of patterns, or of their grams, that are sent to every task; more of them meet the names in a shuffle.
+SENT_BYTES = 4_000_000
+
+
+def _way(few: DataFrame, *columns: str) -> str:
+    """How ``few`` meets a larger table: sent to every task if it is small, else in a shuffle; the larger side is never broadcast."""
+    size = few.agg(F.sum(reduce(add, [F.coalesce(F.octet_length(c), F.lit(0)) for c in columns]))).first()[0] or 0
+    return "broadcast" if size <= SENT_BYTES else "merge"
+
+
 def part_matches(names: DataFrame, patterns: DataFrame, keys_too: bool = False) -> DataFrame:
     """(pattern, key, name) where the name, or as text the key, can have the pattern as a part: it has the pattern's rarest trigram.
 
     Names and patterns meet by equal grams, of three characters or all a shorter pattern has, so neither side is
     compared with all of the other. Grams are counted first; what is found by the rarest is still to be verified.
+    The names' grams are never broadcast, though the planner takes them for as small as the names: the patterns' are, if they are few.
     """
     key = F.col("key").cast("string")
     texts = [("name", F.lower("name"))] + ([("key", F.lower(key))] if keys_too else [])
     low = F.lower("pattern")
     asked = patterns.select("pattern").distinct().filter("pattern <> ''").withColumn("_grams", _grams(low, F.least(F.length(low), F.lit(3))))
     asked = asked.select("pattern", F.explode("_grams").alias("gram"))
+    way = _way(asked, "pattern", "gram")
     sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), t.alias("text")) for side, t in texts]))
     # Parts of three characters and less from each place; at a text's end they are shorter ones, which it has too.
     rows = names.select("key", "name", sides.alias("t")).select("key", "name", "t.side", "t.text").filter("text <> ''")
     places = rows.select("key", "name", "side", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("_at"))
     held = places.select("key", "name", "side", F.explode(F.array(*[F.substring(F.col("text"), F.col("_at"), F.lit(n)) for n in (1, 2, 3)])).alias("gram"))
-    rare = held.join(asked, "gram").groupBy("pattern", "gram").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return held.join(rare, "gram").select("pattern", "key", "name").distinct()
+    rare = held.join(asked.hint(way), "gram").groupBy("pattern", "gram").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return held.join(rare.hint(way), "gram").select("pattern", "key", "name").distinct()  # ``rare`` has at most the grams of ``asked``
 
 
 def ranked_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:

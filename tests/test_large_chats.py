@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from chatlake.operators import merkle, messages, slices
+from chatlake.operators import chats, merkle, messages, slices
 
 SCHEMA = "chat string, db int, local_id long, kind int, text string"
 
@@ -95,3 +95,21 @@ def test_as_of_across_hours(spark):
         best = back[-1] if back else own[0] if own else (None, None, None)
         want.add((p.chat, p.dbr, p.local_id, best[1], best[2], not back))
     assert {tuple(r) for r in messages.as_of(probes, targets).collect()} == want
+
+
+def plan_of(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_grams_of_names_are_not_broadcast(spark, capsys, monkeypatch):
+    names = spark.range(3000).select(F.col("id").alias("key"), F.format_string("Name#%06d", "id").alias("name"))
+    asked = spark.createDataFrame([("name#000012",), ("29",), ("nobody",)], "pattern string")
+    want = {(p, i) for p in ("name#000012", "29") for i in range(3000) if p in f"name#{i:06d}"}
+    for limit in (chats.SENT_BYTES, 0):
+        monkeypatch.setattr(chats, "SENT_BYTES", limit)
+        found = chats.ranked_matches(names, asked)
+        plan = plan_of(found, capsys)
+        # The names' side is the left one of both joins; it stays where it is, or is shuffled where there are many patterns.
+        assert "BuildLeft" not in plan and ("BuildRight" in plan) == (limit > 0)
+        assert {(r.pattern, r.key) for r in found.collect()} == want
