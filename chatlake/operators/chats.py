@@ -105,12 +105,13 @@ def resolve(names: DataFrame, patterns: DataFrame, candidates: int = 20) -> Data
     ``key`` is the username; ranks are -1 for an equal key, 0 for an equal name, 1 but for case, 2 for a part of it.
     """
     key = F.col("key").cast("string")
-    equal = names.select("key", "name").join(patterns.select("pattern"), key == F.col("pattern")).select("pattern", "key", "name")
+    equal = names.select("key", "name").join(patterns.select("pattern").hint(_way(patterns, "pattern")), key == F.col("pattern")).select("pattern", "key", "name")
     rank = F.when(key == F.col("pattern"), -1).otherwise(match_rank(F.col("name"), F.col("pattern")))
     found = equal.unionByName(part_matches(names, patterns)).distinct().select("pattern", "key", "name", rank.alias("rank")).filter("rank is not null")
+    # The first rows by rank tell the best rank and whether two have it; tasks keep no more than those of a pattern.
     w = Window.partitionBy("pattern")
-    ranked = found.withColumn("best", F.min("rank").over(w)).filter("rank = best")
-    ranked = ranked.withColumn("ambiguous", F.count(F.lit(1)).over(w) > 1).withColumn("nth", F.row_number().over(w.orderBy("name", "key")))
+    first = found.withColumn("nth", F.row_number().over(w.orderBy("rank", "name", "key"))).filter(F.col("nth") <= max(candidates, 2))
+    ranked = first.withColumn("best", F.min("rank").over(w)).withColumn("ambiguous", F.count_if(F.col("rank") == F.col("best")).over(w) > 1).filter("rank = best")
     return ranked.filter(F.col("nth") <= candidates).select("pattern", "key", "name", "rank", "ambiguous")
 
 

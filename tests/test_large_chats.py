@@ -113,3 +113,15 @@ def test_grams_of_names_are_not_broadcast(spark, capsys, monkeypatch):
         # The names' side is the left one of both joins; it stays where it is, or is shuffled where there are many patterns.
         assert "BuildLeft" not in plan and ("BuildRight" in plan) == (limit > 0)
         assert {(r.pattern, r.key) for r in found.collect()} == want
+
+
+def test_candidates_of_a_pattern_that_all_names_have(spark, capsys):
+    names = spark.range(3000).select(F.col("id").alias("key"), F.format_string("Name#%06d", "id").alias("name"))
+    found = chats.resolve(names, spark.createDataFrame([("NAME",), ("2999",), ("name#000007",)], "pattern string"))
+    # Before rows of a pattern meet in a task, every task keeps the first of its own only.
+    plan = plan_of(found, capsys)
+    assert ", 20, Partial" in plan and "BuildLeft" not in plan
+    got = sorted((r.pattern, r.rank, r.ambiguous, r.key) for r in found.collect())
+    assert got == [("2999", -1, False, 2999), *(("NAME", 2, True, k) for k in range(20)), ("name#000007", 1, False, 7)]
+    few = chats.resolve(names, spark.createDataFrame([("NAME",)], "pattern string"), candidates=1)
+    assert [(r.key, r.ambiguous) for r in few.collect()] == [(0, True)]
