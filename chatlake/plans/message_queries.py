@@ -19,12 +19,17 @@ def _cursor():
     return F.struct(F.lit(CURSOR).cast("long").alias("ts"), F.lit(0).alias("dbr"), F.lit(0).cast("long").alias("local_id"))
 
 
+def _before():
+    """The place before every message of the cursor's second, whatever its shard."""
+    return F.struct(F.lit(CURSOR).cast("long").alias("ts"), F.lit(-(2**31)).cast("int").alias("dbr"), F.lit(-(2**63)).cast("long").alias("local_id"))
+
+
 def _paged(df):
     return df.select("chat", "rn", "db", "local_id", "ts", "kind")
 
 
 def page_backward(spark, d):
-    return _paged(messages.page(event_messages(spark, d), 10, before=_cursor()))
+    return _paged(messages.page(event_messages(spark, d), 10, before=_before()))
 
 
 def page_forward(spark, d):
@@ -41,7 +46,7 @@ def page_last(spark, d):
 
 def page_has_more(spark, d):
     ranged = event_messages(spark, d).filter(messages.in_range(F.col("ts"), SINCE, UNTIL))
-    return messages.page_flags(ranged, messages.page(ranged, 5, before=_cursor()))
+    return messages.page_flags(ranged, messages.page(ranged, 5, before=_before()))
 
 
 def time_range_inclusive(spark, d):
