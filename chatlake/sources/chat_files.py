@@ -127,6 +127,15 @@ def commits(path: str) -> dict[str, dict]:
     return dict(sorted(found.items(), key=lambda x: x[1]["number"]))
 
 
+def dealt(chats: DataFrame) -> DataFrame:
+    """``chats`` (chat, once each) over as many tasks as shuffles have: few bytes stand for many files, so the engine would join them to one task.
+
+    Dealt without a key: by (chat) they are dealt already, and that shuffle may be joined.
+    """
+    spark = chats.sparkSession
+    return chats.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def write_run(rows: DataFrame, path: str, run: str) -> None:
     """Write sorted ``rows`` (chat, ts, line) as a run of the documents under ``path``."""
     rows.sparkSession.dataSource.register(ChatFiles)
@@ -224,7 +233,7 @@ def publish(spark: SparkSession, path: str, names: DataFrame, out: str, newest:
     """
     rows = names.select(F.col("chat").cast("string").alias("chat"), "file")
     rows = rows.withColumn("end", F.lit("")) if end is None else rows.join(end.select(F.col("chat").cast("string").alias("chat"), "end"), "chat", "left").fillna("", ["end"])
-    return rows.repartition("chat").mapInPandas(_published(path, out, commits(path), newest), "chat string, file string, status string")
+    return dealt(rows).mapInPandas(_published(path, out, commits(path), newest), "chat string, file string, status string")
 
 
 def document_digests(spark: SparkSession, path: str, chats: DataFrame, newest: bool = False, end: DataFrame | None = None) -> DataFrame:
@@ -245,7 +254,7 @@ def document_digests(spark: SparkSession, path: str, chats: DataFrame, newest: b
 
     rows = chats.select(F.col("chat").cast("string").alias("chat"))
     rows = rows.withColumn("end", F.lit("")) if end is None else rows.join(end.select(F.col("chat").cast("string").alias("chat"), "end"), "chat", "left").fillna("", ["end"])
-    return rows.repartition("chat").mapInPandas(run, "chat string, size long, sha256 string")
+    return dealt(rows).mapInPandas(run, "chat string, size long, sha256 string")
 
 
 def forget_older(spark: SparkSession, path: str, run: str) -> int:
@@ -268,7 +277,7 @@ def forget_older(spark: SparkSession, path: str, run: str) -> int:
                         gone += 1
             yield pd.DataFrame({"gone": [gone]})
 
-    return own.filter(F.col("run") == run).select("chat").distinct().mapInPandas(drop, "gone long").agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
+    return dealt(own.filter(F.col("run") == run).select("chat").distinct()).mapInPandas(drop, "gone long").agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
 
 
 def vacuum(path: str) -> list[str]:

@@ -95,3 +95,11 @@ def test_fingerprints_see_edits_and_order(spark):
     assert digest(base[::-1]) == want
     assert {c for c, d in digest([("a", 1, 10, "y"), ("a", 2, 20, "x"), base[2]]).items() if d != want[c]} == {"a"}
     assert jobs.changed_documents(render.fingerprints(exportable(spark, base), "html"), render.fingerprints(exportable(spark, base), "html")).count() == 0
+
+
+def test_digests_of_few_names_are_the_work_of_several_tasks(spark, tmp_path):
+    rows = spark.range(400).select(F.format_string("c%03d", "id").alias("chat"), F.col("id").alias("ts"), F.lit("x").alias("line"))
+    chat_files.write_run(rows.coalesce(1), f"{tmp_path}/out", "1")
+    held = chat_files.tails(spark, f"{tmp_path}/out").select("chat").distinct()
+    got = chat_files.document_digests(spark, f"{tmp_path}/out", held).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 400 and {r.size for r in got} == {2} and len({r.task for r in got}) == 4
