@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +20,16 @@ def _str(c):
     return F.col(c).cast("string")
 
 
-@F.pandas_udf(T.BinaryType())
-def _packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@cache
+def _writer():
     import zstandard
 
-    writer = zstandard.ZstdCompressor()
-    for chunk in texts:
-        yield chunk.map(lambda t: None if t is None else writer.compress(t.encode()))
+    return zstandard.ZstdCompressor()
+
+
+@F.udf(T.BinaryType(), useArrow=False)
+def _packed(text: str | None) -> bytes | None:
+    return None if text is None else _writer().compress(text.encode())
 
 
 def _stored(spark, d):

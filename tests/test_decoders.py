@@ -18,6 +18,17 @@ def test_decode_content(spark):
     assert blobs[1] == "compressed hi é" and blobs[3] == "��"
 
 
+def test_texts_are_decoded_a_few_at_a_time(spark, capsys):
+    packed = zstandard.compress(b"x" * 100_000)
+    df = spark.createDataFrame([(i, packed, 4) for i in range(500)], "i int, c binary, ct int").coalesce(1)
+    for text in (decoders.decode_content(F.col("c"), F.col("ct")), decoders.decode_blob(F.col("c"))):
+        found = df.select("i", F.length(text).alias("n"))
+        found.explain()
+        # Arrow batches hold up to 10,000 rows of any length.
+        assert "ArrowEvalPython" not in capsys.readouterr().out
+        assert {r.n for r in found.collect()} == {100_000}
+
+
 def field(number, payload):
     return bytes([number << 3 | 2, len(payload)]) + payload
 
