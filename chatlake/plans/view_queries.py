@@ -71,7 +71,7 @@ def posts_view(spark, d):
 
 
 def author_names(spark, d):
-    posts = _posts(spark, d).select("username", F.lit("").alias("nickname"))
+    posts = _posts(spark, d).select("username", F.lit("").alias("nickname")).distinct()
     people = table(spark, d, "region").select(F.concat(F.lit("src"), _str("r_regionkey")).alias("username"), F.col("r_name").alias("display"), F.lower("r_name").alias("remark"), F.lit(None).cast("string").alias("nick_name"), F.lit("").alias("alias"))
     return views.author_names(posts, people.unionByName(people.join(posts.select(F.col("username").alias("s")).distinct(), F.length("s") >= 0).withColumn("username", F.col("s")).drop("s")))
 
