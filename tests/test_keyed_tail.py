@@ -1,5 +1,6 @@
 """The keyed export tail against the batch selection of new rows, across restarts and for both policies."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,49 @@ def test_many_rows_of_one_chat(spark, landing):
     land(spark, landing / "in", 0, [("a", i % 2, -(i % 2), i, 1000 + i // 50, "t", 2) for i in range(19_950, 20_100)])
     got = run(spark, landing, formats=["txt"])
     assert got.count() == 20_100 == got.select("db", "local_id").distinct().count()
+
+
+class Calls(dict):
+    """A map state that counts what is asked of it."""
+
+    n = 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.n += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.n += 1
+        self[key] = value
+
+
+def test_the_keys_of_a_bucket_are_handled_together():
+    chats, state = 2000, Calls()
+    tail = keyed_tail.Tail(["chat", "db", "dbr", "local_id", "ts"], "upsert")
+    tail.init(state)
+
+    def emitted_by(*parts):
+        frames = [pd.DataFrame([(f"c{c}", c, 0, 0, i, t) for c in range(chats) for i, t in part], columns=[keyed_tail.NAME, "chat", "db", "dbr", "local_id", "ts"]) for part in parts]
+        state.n = 0
+        out = list(tail.handleInputRows((0,), iter(frames), None))
+        assert state.n <= 2 * chats and len(out) <= 3 * len(parts)  # not a handful of calls and frames for each key
+        return sorted(set((r.local_id, r.ts, r.late) for f in out for r in f.itertuples())), sum(map(len, out))
+
+    assert emitted_by([(1, 10), (2, 20)], [(3, 20), (4, 15)]) == ([(1, 10, False), (2, 20, False), (3, 20, False), (4, 15, False)], 4 * chats)
+    assert emitted_by([(2, 20), (5, 20), (6, 19)], [(5, 20)]) == ([(5, 20, False), (6, 19, True)], 2 * chats)
+    assert emitted_by([(5, 20), (7, 30)]) == ([(7, 30, False)], chats)
+    assert state[("c7",)][:3] == (30, 1, 0)
+    assert emitted_by([(7, 30)]) == ([], 0) and state.n == chats  # what stays isn't written
+
+
+def test_many_chats_and_one_without_a_name(spark, landing):
+    names = [None, *map(str, range(3000))]
+    land(spark, landing / "in", 0, [(c, 0, 0, i, 10 * i, "x", 1) for c in names for i in (1, 2)])
+    run(spark, landing)
+    land(spark, landing / "in", 0, [(c, 0, 0, *r, "x", 2) for c in names for r in ((2, 20), (3, 20), (4, 5), (5, 40))])
+    got = run(spark, landing)
+    assert {r.fmt: r["count"] for r in got.groupBy("fmt").count().collect()} == {"txt": 4 * 3001, "csv": 4 * 3001}
+    assert {(r.chat, r.local_id) for r in got.filter("fmt = 'csv'").collect()} == {(c, i) for c in names for i in (1, 2, 3, 5)}
