@@ -6,6 +6,8 @@ import zstandard
 from pyspark.sql import functions as F
 
 from chatlake.functions import decoders
+from chatlake.plans import row_queries
+from tests.conftest import SF
 
 
 def test_decode_content(spark):
@@ -29,6 +31,13 @@ def test_texts_are_decoded_a_few_at_a_time(spark, capsys):
         assert {r.n for r in found.collect()} == {100_000}
 
 
+def test_texts_are_packed_and_decoded_a_few_at_a_time(spark, capsys):
+    for query in (row_queries.decoded_content, row_queries.decoded_blobs):
+        query(spark, SF).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("BatchEvalPython [_packed") == 1 == plan.count("BatchEvalPython [_inflate") and "Arrow" not in plan
+
+
 def field(number, payload):
     return bytes([number << 3 | 2, len(payload)]) + payload
 
